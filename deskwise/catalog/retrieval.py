@@ -190,13 +190,13 @@ def any_match(t):
 
 
 @query("describe_similarity", CASE_SQL + """
-SELECT rank, count(*) AS count, round(avg(similarity), 6) AS mean, round(stddev_samp(similarity), 6) AS std,
-       min(similarity) AS min, round(quantile_cont(similarity, 0.25), 6) AS p25,
-       round(quantile_cont(similarity, 0.5), 6) AS p50, round(quantile_cont(similarity, 0.75), 6) AS p75,
+SELECT rank, count(*) AS count, round(avg(similarity), 8) AS mean, round(stddev_samp(similarity), 8) AS std,
+       min(similarity) AS min, round(quantile_cont(similarity, 0.25), 8) AS p25,
+       round(quantile_cont(similarity, 0.5), 8) AS p50, round(quantile_cont(similarity, 0.75), 8) AS p75,
        max(similarity) AS max FROM cases GROUP BY rank""")
 def describe_similarity(t):
     out = metrics.describe_scores(cases(t), "rank", "similarity")
-    return as_bigint(out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")}), "rank")
+    return as_bigint(out.withColumns({c: F.round(c, 8) for c in ("mean", "std", "p25", "p50", "p75")}), "rank")
 
 
 @query("intent_retrieval_table", LONG_SQL + "SELECT true_intent, count(*) FILTER (rank = 1) AS support, " + ", ".join(
