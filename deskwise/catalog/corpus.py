@@ -84,7 +84,7 @@ _AFTER = s.ctes(
 
 @query("bounded_history_after", _AFTER + "SELECT message_id, customer_message, agent_response FROM first_rows")
 def bounded_history_after(t):
-    df = pairs(t).withColumns({c: tx.clean_text(c, "runtime") for c in corpus.PAIR})
+    df = cu.clean_columns(pairs(t), corpus.PAIR, "runtime")
     df = ranking.first_n(cu.non_empty(df, *corpus.PAIR), "pos", RUNTIME.history_limit)
     return df.select("message_id", *corpus.PAIR)
 

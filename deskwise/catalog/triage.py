@@ -13,6 +13,7 @@ from deskwise.config import BATCH, RUNTIME, TriageConfig
 from deskwise.functions import lexicon as lx
 from deskwise.operators import decisions, failures, metrics, quality
 from deskwise.plans import triage as plan
+from deskwise.session import materialize
 
 # The phrase lists use words that occur in the test prose; the flow keeps its own defaults besides.
 # Centroid confidences lie lower than those of the trained classifier, hence the threshold.
@@ -40,9 +41,9 @@ def queries_with_text(t):
     return queries, history
 
 
-def triaged(t, cfg: TriageConfig):
+def triaged(t, cfg: TriageConfig, stored: bool = False):
     queries, history = queries_with_text(t)
-    found = plan.retrieve_cases(queries, history, cfg, True, ("intent_confidence",))
+    found = plan.retrieve_cases(queries, history, cfg, True, ("intent_confidence",), stored)
     return plan.triage(queries, found, cfg, keep=("true_intent",)), found, history
 
 
@@ -194,7 +195,7 @@ for _profile in ("runtime", "batch"):
         *triage_ctes(CONF[_profile]), _text, f"w AS (SELECT query_id, {_wide} FROM texts GROUP BY query_id)",
     ) + "SELECT tri.* , w.* EXCLUDE (query_id) FROM tri LEFT JOIN w ON w.query_id = tri.query_id")
     def triage_wide(t, profile=_profile):
-        rows, found, history = triaged(t, CONF[profile])
+        rows, found, history = triaged(t, CONF[profile], stored=True)
         return plan.triage_wide(rows, found, history, CONF[profile])
 
 
@@ -332,7 +333,9 @@ _TABLES = [
 
 def evaluation_tables(t):
     """(classified, retrieved, escalated, screened) of one batch run."""
-    rows, found, _ = triaged(t, CONF["batch"])
+    # The evaluators are separate steps over one stored run, as they would be in production.
+    rows, found, _ = triaged(t, CONF["batch"], stored=True)
+    rows = materialize(rows, "triaged")
     first = found.where(F.col("rank") == 1).select("query_id", F.col("intent").alias("retrieved_1_intent"))
     retrieved = rows.select(
         "query_id", "customer_message", F.col("true_intent").alias("corrected_intent")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskwise.functions import lexicon as lx
+from deskwise.functions.columns import col, let
 
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -33,15 +34,6 @@ SIGNATURE = {
 TOKEN = rf"[{WORD}]{{2,}}"
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once per row, also inside nested lambdas."""
-    return F.transform(F.array(value), use)[0]
-
-
 def any_of(flags: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags, F.lit(False))
 
@@ -112,13 +104,12 @@ def contains_any(c: Column | str, terms: Sequence[str], whole_word: bool = False
     if whole_word:
         body = "|".join(rf"\Q{t}\E" for t in terms)
         return F.regexp_like(text, F.lit(rf"(?<![{WORD}])(?:{body})(?![{WORD}])"))
-    return any_of([text.contains(t) for t in terms])
+    return let(text, lambda low: any_of([low.contains(t) for t in terms]))
 
 
 def contains_any_in(c: Column | str, terms: Column | str) -> Column:
     """As :func:`contains_any` with the term list in an array column."""
-    text = F.lower(col(c))
-    return F.exists(col(terms), lambda t: F.contains(text, t))
+    return let(F.lower(col(c)), lambda low: F.exists(col(terms), lambda t: low.contains(t)))
 
 
 def straight_quotes(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from deskwise.functions.text import col, let
+from deskwise.functions.columns import col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
+from deskwise.functions.columns import col, compute_once
 
 ROW = "__row"
 
@@ -62,11 +63,17 @@ def drop_acknowledgements(df: DataFrame, column: str) -> DataFrame:
 def keep_language(
     df: DataFrame, columns: Sequence[str], lang: str = "en", threshold: float = 0.80
 ) -> DataFrame:
+    """Rows whose every column is in ``lang`` by the share of function words."""
     for c in columns:
         df = df.where(tx.language_share(c, lang) >= threshold)
     return df
 
 
+def clean_columns(df: DataFrame, columns: Sequence[str], profile: str) -> DataFrame:
+    """Cleaned texts in place, computed once whatever filters follow."""
+    return compute_once(df, {c: tx.clean_text(c, profile) for c in columns})
+
+
 def first_rows(
     df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str], n: int = 1
 ) -> DataFrame:
@@ -76,8 +83,8 @@ def first_rows(
     a key that holds a third of the rows sends at most ``n`` of them per task. The 64-bit hash leads
     the sort, which compares eight bytes where keys are long texts.
     """
-    cols = [tx.col(k) for k in keys]
-    window = Window.partitionBy(F.xxhash64(*cols), *cols).orderBy(*[tx.col(o) for o in order])
+    cols = [col(k) for k in keys]
+    window = Window.partitionBy(F.xxhash64(*cols), *cols).orderBy(*[col(o) for o in order])
     return df.withColumn(ROW, F.row_number().over(window)).where(F.col(ROW) <= n).drop(ROW)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from deskwise.config import TriageConfig
 from deskwise.functions import lexicon as lx
-from deskwise.functions.text import contains_any
+from deskwise.functions.columns import compute_once
+from deskwise.functions.text import contains_any, strip
 
 ESCALATE, AUTO = "ESCALATE", "AUTO_HANDLE"
 
@@ -53,7 +54,7 @@ def decide(
         reason = F.nullif(joined, F.lit(""))
     calm = F.lit(lx.REASONS[cfg.profile]["none"])
     return (
-        df.withColumn("__reason", reason)
+        compute_once(df, {"__reason": reason})
         .withColumn("decision", F.when(F.col("__reason").isNull(), AUTO).otherwise(ESCALATE))
         .withColumn("escalation_reason", F.coalesce("__reason", calm))
         .drop("__reason")
@@ -81,6 +82,4 @@ def respond(df: DataFrame, profile: str, intent: str = "predicted_intent") -> Da
 
 
 def normalise_decision(c: Column | str) -> Column:
-    from deskwise.functions.text import col, strip
-
-    return F.upper(strip(col(c)))
+    return F.upper(strip(c))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     IDF,
+    NGram,
     CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
@@ -14,10 +15,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
+from deskwise.functions.columns import let
 from deskwise.functions.lexicon import FUNCTION_WORDS
 
 ENGLISH = FUNCTION_WORDS["en"]
@@ -28,7 +30,7 @@ def with_terms(
 ) -> DataFrame:
     """Array of unigrams (and bigrams of what the stop list leaves over) per row."""
     words = tx.tokens(text, stop_words)
-    return df.withColumn(out, tx.let(words, tx.with_bigrams) if bigrams else words)
+    return df.withColumn(out, let(words, tx.with_bigrams) if bigrams else words)
 
 
 def vocabulary(
@@ -63,13 +65,15 @@ def tfidf_long(
 ) -> DataFrame:
     """(id, term, tfidf) with idf = ln((1+n)/(1+df)) + 1 and unit length per document.
 
-    The vocabulary is broadcast before counting, so words outside it never reach the shuffle, and
-    a document's counts are already complete in the map-side combine.
+    Documents (one row each, so evenly) are partitioned by id once; counting and the length window
+    both use that partitioning. The vocabulary, at most ``max_features`` rows, is broadcast.
     """
     vocab = F.broadcast(vocabulary(df, terms, min_df, max_features).select("term", "df"))
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     tf = (
-        df.select(id_col, F.explode(terms).alias("term"))
+        df.select(id_col, terms)
+        .repartition(id_col)
+        .select(id_col, F.explode(terms).alias("term"))
         .join(vocab, "term")
         .groupBy(id_col, "term", "df")
         .agg(F.count(F.lit(1)).cast("double").alias("tf"))
@@ -78,8 +82,8 @@ def tfidf_long(
     raw = tf.withColumn("n", n_docs).select(
         id_col, "term", (weight * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w")
     )
-    length = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("len")).alias("tfidf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("w") / length).alias("tfidf"))
 
 
 def fit_tfidf(
@@ -152,11 +156,5 @@ def encode_with(df: DataFrame, text: str, load_model, out: str = "embedding") ->
 def char_ngrams(df: DataFrame, text: str, n: int = 3, out: str = "grams") -> DataFrame:
     """Overlapping character n-grams of the whole lower-cased text."""
     low = tx.squeeze_space(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    last = F.length("__low") - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr("__low", i, F.lit(n)))
-    empty = F.array().cast("array<string>")
-    return (
-        df.withColumn("__low", low)
-        .withColumn(out, F.when(last >= 1, grams).otherwise(empty))
-        .drop("__low")
-    )
+    chars = F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, ""))
+    return NGram(n=n, inputCol="__chars", outputCol=out).transform(df.withColumn("__chars", chars)).drop("__chars")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
+from deskwise.functions.columns import compute_once
 
 
 def _keys(golden: DataFrame, key: Column) -> DataFrame:
@@ -22,9 +23,14 @@ def exclude_ids(df: DataFrame, golden: DataFrame, key: str, golden_key: str | No
     return df.join(keys, df[key] == keys["__key"], "left_anti")
 
 
+def _text_keys(golden: DataFrame, message: str) -> DataFrame:
+    texts = compute_once(golden.select(message), {"__text": tx.strip(message)})
+    return _keys(texts, F.col("__text")).withColumn("__hash", F.xxhash64("__key"))
+
+
 def _message_join(df: DataFrame, golden: DataFrame, message: str, golden_message: str, how: str):
-    keys = _keys(golden, tx.strip(golden_message)).withColumn("__hash", F.xxhash64("__key"))
-    stripped = df.withColumn("__msg", tx.strip(message)).withColumn("__mh", F.xxhash64("__msg"))
+    keys = _text_keys(golden, golden_message)
+    stripped = compute_once(df, {"__msg": tx.strip(message)}).withColumn("__mh", F.xxhash64("__msg"))
     on = (F.col("__mh") == F.col("__hash")) & (F.col("__msg") == F.col("__key"))
     return stripped.join(keys, on, how).drop("__msg", "__mh")
 
@@ -52,8 +58,8 @@ def removed_counts(
     and both flags are counted in a single pass.
     """
     ids = _keys(golden, F.col(key)).withColumnRenamed("__key", "__gid")
-    texts = _keys(golden, tx.strip(message)).withColumn("__hash", F.xxhash64("__key"))
-    rows = df.select(F.col(key), tx.strip(message).alias("__msg"))
+    texts = _text_keys(golden, message)
+    rows = compute_once(df.select(key, message), {"__msg": tx.strip(message)}).drop(message)
     rows = rows.withColumn("__mh", F.xxhash64("__msg"))
     flagged = rows.join(ids, F.col(key) == F.col("__gid"), "left").join(
         texts, (F.col("__mh") == F.col("__hash")) & (F.col("__msg") == F.col("__key")), "left"

@@ -58,23 +58,23 @@ def fit_classifier(
     Spark divides the loss by the weight sum, which equals n for balanced weights, hence
     ``regParam = 1 / (C * n)``. The classes are those of the training data, alphabetically.
     """
-    weights = class_weights(df, label).select(label, F.col("weight").alias("__w"))
-    train = df.join(F.broadcast(weights), label)  # one row per class
-    n = train.count()
-    pipeline = Pipeline(
-        stages=[
-            StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc"),
-            LogisticRegression(
-                featuresCol=features, labelCol="__y", weightCol="__w", family="multinomial",
-                regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                maxIter=max_iter, tol=tol, predictionCol="__pred", probabilityCol="__prob",
-                rawPredictionCol="__raw",
-            ),
-        ]
+    classes = class_weights(df, label).orderBy(label).collect()  # one row per class
+    n = sum(row["support"] for row in classes)
+    lookup = df.sparkSession.createDataFrame(
+        [(row[label], float(i), row["weight"]) for i, row in enumerate(classes)],
+        f"`{label}` string, __y double, __w double",
+    )
+    train = df.join(F.broadcast(lookup), label).select("__y", "__w", features)
+    regression = LogisticRegression(
+        featuresCol=features, labelCol="__y", weightCol="__w", family="multinomial",
+        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
+        maxIter=max_iter, tol=tol, predictionCol="__pred", probabilityCol="__prob",
+        rawPredictionCol="__raw",
+    )
+    names = IndexToString(
+        inputCol="__pred", outputCol="predicted_intent", labels=[row[label] for row in classes]
     )
-    model = pipeline.fit(train)
-    names = IndexToString(inputCol="__pred", outputCol="predicted_intent", labels=model.stages[0].labels)
-    return PipelineModel(stages=[model.stages[1], names])
+    return PipelineModel(stages=[regression.fit(train), names])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

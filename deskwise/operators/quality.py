@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskwise.functions import lexicon as lx
+from deskwise.functions.columns import compute_once
 from deskwise.functions.text import contains_any, contains_any_in, strip
 
 
@@ -47,13 +48,14 @@ def screen(
     text = F.coalesce(F.col(response), F.lit(""))
     dim = F.broadcast(keywords(df.sparkSession, keyword_table))
     joined = df.join(dim, F.lower(F.coalesce(F.col(intent), F.lit(""))) == F.col("k_intent"), "left")
-    flags = joined.withColumns(
+    flags = compute_once(
+        joined,
         {
             "response_present": is_present(text),
             "actionable": is_actionable(text, action_terms),
             "safe": is_safe(text, sensitive_terms),
             "intent_relevant": F.coalesce(contains_any_in(text, "keywords"), F.lit(True)),
-        }
+        },
     ).drop("k_intent", "keywords")
     names = ("response_present", "actionable", "safe", "intent_relevant")
     total = sum((F.col(n).cast("int") for n in names[1:]), F.col(names[0]).cast("int"))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskwise.functions.text import col
+from deskwise.functions.columns import col
 from deskwise.operators.curation import first_rows
+from deskwise.session import broadcast_if_small
 
 
 def sample_key(seed: int, *ids: Column | str) -> Column:
@@ -16,37 +17,45 @@ def sample_key(seed: int, *ids: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(i).cast("string") for i in ids]))
 
 
-def hash_rank(
-    df: DataFrame,
-    key: Column,
-    groups: Sequence[str] = (),
-    name: str = "rank",
-    digits: int = 3,
-    group_size: str | None = None,
-) -> DataFrame:
-    """1-based rank by a hex hash key, overall or per group, without a one-task sort.
+def _buckets(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """Rows per (group, bucket) with the rows before it in the group and the group's size.
 
-    The first ``digits`` hex characters cut every group into ``16**digits`` even buckets. Bucket
-    counts are summed into offsets (a bounded table), rows are only sorted inside their
-    bucket: rank = offset + position. A group with a third of the rows is therefore sorted by
-    thousands of tasks. Use 4 digits beyond some 10**11 rows per group.
+    At most ``16**digits`` rows per group, so the windows over them are bounded.
     """
-    keyed = df.withColumn("__key", key).withColumn("__b", F.substring("__key", 1, digits))
-    by = list(groups)
     counts = keyed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     # The constant makes the overall ranking an explicit, bounded single group of bucket counts.
     counts = counts.withColumn("__all", F.lit(0))
     within = Window.partitionBy("__all", *by)
     running = within.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.withColumn("__off", F.sum("__n").over(running) - F.col("__n"))
-    if group_size:
-        offsets = offsets.withColumn(group_size, F.sum("__n").over(within))
-    offsets = offsets.drop("__all", "__n")
-    for g in by:
-        offsets = offsets.withColumnRenamed(g, f"__g_{g}")
-    on = [keyed["__b"] == offsets["__b"]]
-    on += [keyed[g].eqNullSafe(offsets[f"__g_{g}"]) for g in by]
-    joined = keyed.join(offsets, on).drop(offsets["__b"], *[f"__g_{g}" for g in by])
+    return offsets.withColumn("__size", F.sum("__n").over(within)).drop("__all")
+
+
+def _keyed(df: DataFrame, key: Column, digits: int) -> DataFrame:
+    return df.withColumn("__key", key).withColumn("__b", F.substring("__key", 1, digits))
+
+
+def _join_on(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet, keeping the left key columns."""
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in columns})
+    on = [left[c].eqNullSafe(renamed[f"__r_{c}"]) for c in columns]
+    return left.join(renamed, on, how).drop(*[f"__r_{c}" for c in columns])
+
+
+def hash_rank(
+    df: DataFrame, key: Column, groups: Sequence[str] = (), name: str = "rank", digits: int = 3
+) -> DataFrame:
+    """1-based rank by a hex hash key, overall or per group, without a one-task sort.
+
+    The first ``digits`` hex characters cut every group into ``16**digits`` even buckets. Bucket
+    counts are summed into offsets, rows are only sorted inside their bucket: rank = offset +
+    position. A group with a third of the rows is therefore sorted by thousands of tasks.
+    Use 4 digits beyond some 10**11 rows per group.
+    """
+    by = list(groups)
+    keyed = _keyed(df, key, digits)
+    offsets = broadcast_if_small(_buckets(keyed, by).select(*by, "__b", "__off"))
+    joined = _join_on(keyed, offsets, [*by, "__b"])
     local = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__key"))
     return joined.withColumn(name, F.col("__off") + local).drop("__key", "__b", "__off")
 
@@ -67,13 +76,36 @@ def uniform_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
 
 
 def stratified_split(
-    df: DataFrame, label: str, test_share: float, seed: int, *ids: str, name: str = "split"
+    df: DataFrame,
+    label: str,
+    test_share: float,
+    seed: int,
+    *ids: str,
+    name: str = "split",
+    digits: int = 3,
 ) -> DataFrame:
-    """Tag every row ``test`` or ``train``; each class gives ``round(share * size)`` test rows."""
-    ranked = hash_rank(df, sample_key(seed, *ids), [label], "__rank", group_size="__size")
+    """Tag every row ``test`` or ``train``; each class gives ``round(share * size)`` test rows.
+
+    Rows are not ranked and not shuffled: the hash key at the cut of every class is found on
+    (label, key) alone, by sorting only the bucket the cut falls into, and every row is then
+    compared with the cut of its class (one row per class).
+    """
+    key = sample_key(seed, *ids)
+    keyed = _keyed(df.select(label, *ids), key, digits).select(label, "__b", "__key")
     cut = F.round(F.lit(test_share) * F.col("__size"))
-    tag = F.when(F.col("__rank") <= cut, "test").otherwise("train")
-    return ranked.withColumn(name, tag).drop("__rank", "__size")
+    border = _buckets(keyed, [label]).where(
+        (F.col("__off") < cut) & (F.col("__off") + F.col("__n") >= cut)
+    ).select(label, "__b", (cut - F.col("__off")).alias("__need"))
+    local = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__key"))
+    last = (
+        _join_on(keyed, broadcast_if_small(border), [label, "__b"])
+        .withColumn("__rn", local)
+        .where(F.col("__rn") == F.col("__need"))
+        .select(label, F.col("__key").alias("__cut"))
+    )
+    tagged = _join_on(df, broadcast_if_small(last), [label], "left")
+    tag = F.when(key <= F.col("__cut"), "test").otherwise("train")
+    return tagged.withColumn(name, tag).drop("__cut")
 
 
 # Shares at which the bounded read asks for quantiles of the position, smallest first.

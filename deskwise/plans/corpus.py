@@ -13,6 +13,7 @@ from deskwise.operators import curation as cu
 from deskwise.operators import guards, ranking
 from deskwise.operators.features import fit_tfidf, with_terms
 from deskwise.operators.models import kmeans
+from deskwise.session import materialize
 
 PAIR = ("customer_message", "agent_response")
 
@@ -32,7 +33,7 @@ def clean_pairs(
     """
     a, b = PAIR
     df = pairs.dropna(subset=list(PAIR))
-    df = df.withColumns({c: tx.clean_text(c, profile) for c in PAIR})
+    df = cu.clean_columns(df, PAIR, profile)
     df = cu.non_empty(df, a, b)
     df = cu.min_length(df, PAIR, min_chars)
     df = cu.drop_acknowledgements(df, a)
@@ -48,9 +49,8 @@ def cleaning_funnel(pairs: DataFrame, profile: str = "strict", min_chars: int =
     the de-duplication counts copies, a later one counts distinct pairs.
     """
     a, b = PAIR
-    cleaned = pairs.withColumn("__full", F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns(
-        {c: tx.clean_text(c, profile) for c in PAIR}
-    )
+    full = pairs.withColumn("__full", F.col(a).isNotNull() & F.col(b).isNotNull())
+    cleaned = cu.clean_columns(full, PAIR, profile)
     per_pair = cleaned.groupBy(F.xxhash64(a, b), a, b, "__full").agg(F.count(F.lit(1)).alias("n"))
     filled = F.col("__full") & (F.col(a) != "") & (F.col(b) != "")
     long = filled & (F.length(a) >= min_chars) & (F.length(b) >= min_chars)
@@ -89,9 +89,11 @@ def discover_intents(
     """Distinct messages with a ``cluster``: TF-IDF of 1- and 2-grams, then k-means."""
     distinct = cu.dedupe_first(messages.dropna(subset=[message]), [message], order)
     ready = with_terms(distinct.withColumn("__text", tx.clean_for_clustering(message)), "__text")
+    # The vocabulary pass, the ten k-means runs and the final assignment all start here.
+    ready = materialize(ready.drop("__text"), "terms")
     features = fit_tfidf(ready, min_df=min_df, max_features=max_features).transform(ready)
     model = kmeans(features, k=k, restarts=restarts, seed=seed)
-    drop = ("__text", "terms", "__counts", "__weighted", "features")
+    drop = ("terms", "__counts", "__weighted", "features")
     return model.transform(features).drop(*drop)
 
 
@@ -135,7 +137,7 @@ def retrieval_history(pairs: DataFrame, golden: DataFrame, cfg: TriageConfig, po
     """
     a, b = PAIR
     if cfg.profile == "runtime":
-        df = pairs.withColumns({c: tx.clean_text(c, "runtime") for c in PAIR})
+        df = cu.clean_columns(pairs, PAIR, "runtime")
         df = guards.exclude_ids(cu.non_empty(df, a, b), golden, "message_id")
         return cu.dedupe_first(ranking.first_n(df, pos, cfg.history_limit), [a], [pos])
     df = ranking.first_n(pairs, pos, cfg.history_limit).dropna(subset=list(PAIR))

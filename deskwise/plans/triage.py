@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deskwise.config import TriageConfig
 from deskwise.functions import text as tx
 from deskwise.operators import decisions, retrieval
+from deskwise.session import materialize
 
 CASE_FIELDS = ("customer", "response", "intent", "intent_confidence", "similarity", "score", "intent_match")
 
@@ -24,18 +25,20 @@ def retrieve_cases(
     cfg: TriageConfig,
     exclude_self: bool = False,
     carry: tuple[str, ...] = (),
+    stored: bool = False,
     **options,
 ) -> DataFrame:
     """Re-ranked cases in long form.
 
+    ``stored`` writes them to the shared folder, for callers that use them more than once: a few
+    narrow rows per query against searching the whole history again.
     ``queries``: query_id, embedding, predicted_intent; ``history``: history_id, embedding, intent.
     """
     found = retrieval.semantic_candidates(
         queries, history, cfg.semantic_candidates, ("intent", *carry), exclude_self, **options
     )
-    return retrieval.rerank(
-        found, queries, cfg.top_k, cfg.semantic_weight, cfg.intent_weight
-    )
+    cases = retrieval.rerank(found, queries, cfg.top_k, cfg.semantic_weight, cfg.intent_weight)
+    return materialize(cases, "cases") if stored else cases
 
 
 def triage(

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +46,17 @@ def tables(spark: SparkSession, sf_dir: str):
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Compute a narrow lookup table once; mark it for broadcast if it has at most ``max_rows`` rows.
+
+    A larger table comes back unmarked, and the join shuffles.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 

@@ -43,17 +43,18 @@ def read_table(
     columns: Sequence[str] | None = None,
     fmt: str = "csv",
     na_tokens: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a message table; CSV columns are strings.
 
-    ``multiLine`` and ``escape='"'`` accept quoted line breaks and doubled quotes. A multi-line CSV
-    file cannot be split, so import it once and keep parquet from then on. Without ``columns``
-    the header alone is read, never the data, to learn the names.
+    ``escape='"'`` accepts doubled quotes, ``multi_line`` quoted line breaks. A multi-line CSV
+    file cannot be split, so switch it off for large files without such breaks, or import many
+    smaller files once and keep parquet from then on.
     """
     if fmt != "csv":
         df = spark.read.format(fmt).load(path)
         return df.select(*columns) if columns else df
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     df = strip_headers(reader.option("inferSchema", False).csv(path))
     if columns:
         df = require_columns(df, columns).select(*columns)
