@@ -14,13 +14,17 @@ from deskwise.plans import corpus
 from deskwise.sources import tables as src
 
 
+def docs(t):
+    return src.spread(t("documents"), "doc_id")
+
+
 def pairs(t):
     df = cu.pair_turns(t("conversations"))
     return df.withColumn("pos", F.col("conv_id") * 1_000_000 + F.col("turn"))
 
 
 def reviewed(t):
-    return t("documents").join(t("labels"), "doc_id")
+    return docs(t).join(t("labels"), "doc_id")
 
 
 def noisy(t):
@@ -30,7 +34,7 @@ def noisy(t):
         c("doc_id").cast("string"), F.lit(" www.example.org/"), c("lang"),
         F.lit("\n line\\nbreak\\tend ^AB, ^"), F.upper("lang"), F.lit("  "),
     )
-    return t("documents").select("doc_id", message.alias("message"), "lang", "source")
+    return docs(t).select("doc_id", message.alias("message"), "lang", "source")
 
 
 # --- sources -------------------------------------------------------------------------------
@@ -84,8 +88,10 @@ _AFTER = s.ctes(
 
 @query("bounded_history_after", _AFTER + "SELECT message_id, customer_message, agent_response FROM first_rows")
 def bounded_history_after(t):
-    df = cu.clean_columns(pairs(t), corpus.PAIR, "runtime")
-    df = ranking.first_n(cu.non_empty(df, *corpus.PAIR), "pos", RUNTIME.history_limit)
+    def keep(rows):
+        return cu.non_empty(cu.clean_columns(rows, corpus.PAIR, "runtime"), *corpus.PAIR)
+
+    df = ranking.first_n_kept(pairs(t), "pos", RUNTIME.history_limit, keep)
     return df.select("message_id", *corpus.PAIR)
 
 
@@ -99,13 +105,21 @@ def bounded_history_before(t):
     return df.withColumns({c: tx.strip(c) for c in corpus.PAIR}).select("message_id", *corpus.PAIR)
 
 
-# The limit binds on this table from sf0.01 on (60,000 rows): first rows of the order lines by key.
-@query("bounded_rows", """
-SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
-ORDER BY l_orderkey * 10 + l_linenumber LIMIT 10000""")
+# The limit binds on this table from sf0.01 on.
+@query("bounded_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10000")
 def bounded_rows(t):
-    df = t("lineitem").withColumn("pos", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return ranking.first_n(df, "pos", RUNTIME.history_limit).select("l_orderkey", "l_linenumber", "l_quantity")
+    df = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return ranking.first_n(df, "o_orderkey", RUNTIME.history_limit)
+
+
+@query("bounded_rows_kept", """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) ORDER BY o_orderkey LIMIT 10000""")
+def bounded_rows_kept(t):
+    away = t("customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    df = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return ranking.first_n_kept(
+        df, "o_orderkey", RUNTIME.history_limit, lambda rows: guards.exclude_ids(rows, away, "o_custkey")
+    )
 
 
 # --- row filters ---------------------------------------------------------------------------
@@ -154,7 +168,7 @@ def ack_filter(t):
 
 @query("english_share", f"SELECT doc_id, round({s.language_share('text')}, 6) AS share FROM documents")
 def english_share(t):
-    return t("documents").select("doc_id", F.round(tx.language_share("text"), 6).alias("share"))
+    return docs(t).select("doc_id", F.round(tx.language_share("text"), 6).alias("share"))
 
 
 # --- text ----------------------------------------------------------------------------------
@@ -166,7 +180,7 @@ def text_query(name: str, table: str, key: str, column: str, expr, sql_expr):
 
     @query(name, f"{source}SELECT {key}, {sql_expr(column)} AS cleaned FROM {table}")
     def run(t):
-        df = noisy(t) if table == "noisy" else t(table)
+        df = noisy(t) if table == "noisy" else src.spread(t(table), key)
         return df.select(key, expr(column).alias("cleaned"))
 
 
@@ -196,7 +210,7 @@ SELECT doc_id, {s.contains_any('text', ABUSE)} AS abusive, {s.contains_any('text
        {s.contains_any('text', RUNTIME.security_terms)} AS security,
        {s.contains_any('text', RUNTIME.human_terms)} AS human FROM documents""")
 def contains_any(t):
-    return t("documents").select(
+    return docs(t).select(
         "doc_id",
         tx.contains_any("text", ABUSE).alias("abusive"),
         tx.contains_any("text", URGENT).alias("urgent"),
@@ -234,7 +248,7 @@ _DOC_PAIRS = """pairs AS (SELECT doc_id::VARCHAR AS message_id, doc_id AS pos, t
 
 def doc_pairs(t):
     reply = F.concat_ws(" ", F.col("source"), F.lit("answers in"), F.col("lang"), F.col("text"))
-    return t("documents").select(
+    return docs(t).select(
         F.col("doc_id").cast("string").alias("message_id"), F.col("doc_id").alias("pos"),
         F.col("text").alias("customer_message"), reply.alias("agent_response"),
     )

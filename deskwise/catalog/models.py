@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from deskwise.catalog import sql as s
-from deskwise.catalog.corpus import pairs
+from deskwise.catalog.corpus import docs, pairs
 from deskwise.catalog.registry import query
 from deskwise.catalog.retrieval import as_bigint, intents
 from deskwise.config import BATCH
@@ -36,8 +36,8 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 
 
 def terms_of(t):
-    docs = t("documents").select("doc_id", tx.clean_for_clustering("text").alias("clean"))
-    return features.with_terms(docs, "clean").select("doc_id", "terms")
+    cleaned = docs(t).select("doc_id", tx.clean_for_clustering("text").alias("clean"))
+    return features.with_terms(cleaned, "clean").select("doc_id", "terms")
 
 
 @query("tfidf_long", _tfidf_sql(3, 5000, "tf"))
@@ -69,8 +69,8 @@ def tfidf_vectors(t):
 
 @query("kmeans_intents")
 def kmeans_intents(t):
-    docs = t("documents").where("lang = 'en'").select("doc_id", F.col("text").alias("customer_message"))
-    clustered = corpus.discover_intents(docs, ["doc_id"])
+    english = docs(t).where("lang = 'en'").select("doc_id", F.col("text").alias("customer_message"))
+    clustered = corpus.discover_intents(english, ["doc_id"])
     return clustered.select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
@@ -105,8 +105,9 @@ def lr_triage(t):
 @query("lr_report")
 def lr_report(t):
     """TF-IDF and regression with a stratified hold-out; the language is the class."""
-    docs = terms_of(t).join(t("documents").select("doc_id", "lang"), "doc_id")
-    rows = ranking.stratified_split(docs, "lang", 0.2, 42, "doc_id")
+    labelled = docs(t).select("doc_id", "lang", tx.clean_for_clustering("text").alias("clean"))
+    ready = features.with_terms(labelled, "clean").drop("clean")
+    rows = ranking.stratified_split(ready, "lang", 0.2, 42, "doc_id")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     tfidf = features.fit_tfidf(train, min_df=2, max_features=20000)
     model = models.fit_classifier(tfidf.transform(train), "features", "lang", max_iter=100, tol=1e-6)
@@ -118,8 +119,7 @@ def lr_report(t):
 @query("lang_model")
 def lang_model(t):
     """English probability of both sides of every pair, from a model of the documents."""
-    docs = t("documents").select("text", "lang")
-    model = models.fit_language(docs, "text", "lang")
+    model = models.fit_language(docs(t).select("text", "lang"), "text", "lang")
     rows = pairs(t).select("message_id", "customer_message", "agent_response")
     rows = models.language_probability(model, rows, "customer_message", out="english_customer")
     rows = models.language_probability(model, rows.drop("detected_lang"), "agent_response", out="english_response")
@@ -132,9 +132,9 @@ def lang_model(t):
 
 @query("encode_hash")
 def encode_hash(t):
-    docs = t("documents").select("doc_id", "text")
-    model = features.hashed_encoder(docs, "text")
-    out = features.encode_hashed(model, docs, "text")
+    rows = docs(t).select("doc_id", "text")
+    model = features.hashed_encoder(rows, "text")
+    out = features.encode_hashed(model, rows, "text")
     return as_bigint(
         out.select("doc_id", F.size("embedding").alias("dims"), F.round(vx.norm("embedding"), 4).alias("length")),
         "dims",

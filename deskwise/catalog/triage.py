@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskwise.catalog import sql as s
-from deskwise.catalog.corpus import ABUSE, URGENT
+from deskwise.catalog.corpus import ABUSE, URGENT, docs
 from deskwise.catalog.evaluation import rounded
 from deskwise.catalog.registry import query
 from deskwise.catalog.retrieval import sides
@@ -34,9 +34,9 @@ CONF = {
 def queries_with_text(t):
     """(queries, history) where each vector carries the document of the same id as its message."""
     queries, history = sides(t)
-    docs = t("documents").select("doc_id", F.col("text").alias("customer_message"), "source")
-    queries = queries.join(docs.drop("source"), F.col("query_id") == F.col("doc_id")).drop("doc_id")
-    answers = docs.withColumn("agent_response", F.concat_ws(" ", F.lit("answer from"), "source")).drop("source")
+    texts = docs(t).select("doc_id", F.col("text").alias("customer_message"), "source")
+    queries = queries.join(texts.drop("source"), F.col("query_id") == F.col("doc_id")).drop("doc_id")
+    answers = texts.withColumn("agent_response", F.concat_ws(" ", F.lit("answer from"), "source")).drop("source")
     history = history.join(answers, F.col("history_id") == F.col("doc_id")).drop("doc_id")
     return queries, history
 
@@ -112,7 +112,7 @@ def rule_inputs(t):
     """Documents with an intent, a confidence and a similarity taken from their labels and length."""
     c = F.col
     names = F.array(*[F.lit(i) for i in lx.INTENTS])
-    return t("documents").join(t("labels"), "doc_id", "left").select(
+    return docs(t).join(t("labels"), "doc_id", "left").select(
         "doc_id",
         c("text").alias("customer_message"),
         F.element_at(names, (F.length("source") + F.coalesce("quality", F.lit(0)) * 4).cast("int")).alias("predicted_intent"),

@@ -52,6 +52,10 @@ def vocabulary(
         .groupBy(F.col("e.t").alias("term"))
         .agg(F.sum("e.d").alias("df"), F.sum("e.c").alias("cf"))
     )
+    return _commonest(counts, min_df, max_features)
+
+
+def _commonest(counts: DataFrame, min_df: int, max_features: int) -> DataFrame:
     return counts.where(F.col("df") >= min_df).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
 
 
@@ -65,19 +69,23 @@ def tfidf_long(
 ) -> DataFrame:
     """(id, term, tfidf) with idf = ln((1+n)/(1+df)) + 1 and unit length per document.
 
-    Documents (one row each, so evenly) are partitioned by id once; counting and the length window
-    both use that partitioning. The vocabulary, at most ``max_features`` rows, is broadcast.
+    Documents (one row each, so evenly) are partitioned by id once; the vocabulary, the counting and
+    the length window all start from that one exchange. The vocabulary, at most ``max_features``
+    rows, is broadcast.
     """
-    vocab = F.broadcast(vocabulary(df, terms, min_df, max_features).select("term", "df"))
-    n_docs = df.agg(F.count(F.lit(1))).scalar()
     tf = (
         df.select(id_col, terms)
         .repartition(id_col)
         .select(id_col, F.explode(terms).alias("term"))
-        .join(vocab, "term")
-        .groupBy(id_col, "term", "df")
+        .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).cast("double").alias("tf"))
     )
+    counts = tf.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf")
+    )
+    vocab = F.broadcast(_commonest(counts, min_df, max_features).select("term", "df"))
+    n_docs = df.agg(F.count(F.lit(1))).scalar()
+    tf = tf.join(vocab, "term")
     weight = F.log("tf") + 1 if sublinear else F.col("tf")
     raw = tf.withColumn("n", n_docs).select(
         id_col, "term", (weight * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,20 +112,19 @@ def stratified_split(
 _LADDER = [10.0**-e for e in range(6, 0, -1)] + [0.2, 0.4, 0.6, 0.8]
 
 
-def first_n(df: DataFrame, pos: str, n: int, accuracy: int = 100_000) -> DataFrame:
-    """The ``n`` rows with the lowest unique numeric ``pos``, as a plain filter.
+def cutoff(df: DataFrame, pos: str, n: int, accuracy: int = 100_000):
+    """The ``n``-th lowest value of the unique numeric ``pos``; None if there are at most n rows.
 
-    ``orderBy(pos).limit(n)`` moves up to ``n`` wide rows per partition into one task. Here a
-    quantile sketch of ``pos`` gives an upper bound, the exact cut-off is found among the few positions
-    below it, and the rows are then filtered by that cut-off where they lie. If the sketch should
-    miss, the cut-off is searched without it; the result is exact either way.
+    ``orderBy(pos).limit(n)`` alone moves up to ``n`` rows per partition into one task. A quantile
+    sketch gives an upper bound first, and the exact value is found among the few positions
+    below it. Should the sketch miss, the search runs without it; the result is exact either way.
     """
     row = df.agg(
         F.count(pos).alias("n"), F.percentile_approx(pos, _LADDER, accuracy).alias("q")
     ).first()
     total = row["n"]
     if total <= n:
-        return df
+        return None
     need = n / total + 2.0 / accuracy
     bound = next((q for share, q in zip(_LADDER, row["q"]) if share >= need), None)
     for limit in ([bound] if bound is not None else []) + [None]:
@@ -133,4 +132,27 @@ def first_n(df: DataFrame, pos: str, n: int, accuracy: int = 100_000) -> DataFra
         cut = lower.orderBy(pos).limit(n).agg(F.count(pos).alias("n"), F.max(pos).alias("m")).first()
         if cut["n"] == n:
             break
-    return df.where(F.col(pos) <= cut["m"])
+    return cut["m"]
+
+
+def first_n(df: DataFrame, pos: str, n: int) -> DataFrame:
+    """The ``n`` rows with the lowest ``pos``, as a filter that leaves the rows where they lie."""
+    cut = cutoff(df, pos, n)
+    return df if cut is None else df.where(F.col(pos) <= cut)
+
+
+def first_n_kept(
+    df: DataFrame, pos: str, n: int, keep: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``first_n(keep(df))`` without running ``keep`` over the whole table.
+
+    ``keep`` (row filters, cleaning, anti-joins) sees the first ``2n`` rows, then four times as many
+    until ``n`` rows are left or the table is used up. Finding those rows reads ``pos`` alone.
+    """
+    m = 2 * n
+    while True:
+        cut = cutoff(df.select(pos), pos, m)
+        kept = keep(df if cut is None else df.where(F.col(pos) <= cut))
+        if cut is None or kept.count() >= n:
+            return first_n(kept, pos, n)
+        m *= 4

@@ -137,9 +137,14 @@ def retrieval_history(pairs: DataFrame, golden: DataFrame, cfg: TriageConfig, po
     """
     a, b = PAIR
     if cfg.profile == "runtime":
-        df = cu.clean_columns(pairs, PAIR, "runtime")
-        df = guards.exclude_ids(cu.non_empty(df, a, b), golden, "message_id")
-        return cu.dedupe_first(ranking.first_n(df, pos, cfg.history_limit), [a], [pos])
+
+        def keep(rows: DataFrame) -> DataFrame:
+            rows = cu.non_empty(cu.clean_columns(rows, PAIR, "runtime"), a, b)
+            return guards.exclude_ids(rows, golden, "message_id")
+
+        return cu.dedupe_first(
+            ranking.first_n_kept(pairs, pos, cfg.history_limit, keep), [a], [pos]
+        )
     df = ranking.first_n(pairs, pos, cfg.history_limit).dropna(subset=list(PAIR))
     df = df.withColumns({c: tx.strip(c) for c in PAIR})
     return guards.exclude_messages(cu.dedupe_first(df, [a], [pos]), golden, a)

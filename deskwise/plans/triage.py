@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deskwise.config import TriageConfig
 from deskwise.functions import text as tx
+from deskwise.functions.columns import compute_once
 from deskwise.operators import decisions, retrieval
 from deskwise.session import materialize
 
@@ -15,8 +16,13 @@ CASE_FIELDS = ("customer", "response", "intent", "intent_confidence", "similarit
 
 def split_valid(messages: DataFrame, message: str = "customer_message") -> tuple[DataFrame, DataFrame]:
     """(messages with text after cleaning, null or blank ones): bad input never stops the flow."""
-    blank = tx.clean_text(message, "runtime") == ""
-    return messages.where(~blank), messages.where(blank)
+    flagged = flag_blank(messages, message)
+    return flagged.where(~F.col("blank")).drop("blank"), flagged.where("blank").drop("blank")
+
+
+def flag_blank(messages: DataFrame, message: str = "customer_message") -> DataFrame:
+    """Adds ``blank``: nothing is left of the message after cleaning."""
+    return compute_once(messages, {"blank": tx.clean_text(message, "runtime") == ""})
 
 
 def retrieve_cases(

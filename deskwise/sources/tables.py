@@ -61,6 +61,16 @@ def read_table(
     return tokens_to_null(df) if na_tokens else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy text work to every core when a freshly read table has too few splits.
+
+    A table of one small file is read by one task. Such a table is cheap to shuffle; a table with at
+    least as many splits as the cluster has cores comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":
