@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     IDF,
@@ -106,8 +108,6 @@ def fit_tfidf(
     The vocabulary (bounded by ``max_features``) is fixed first, with a deterministic tie rule;
     the weights ``idf = ln((1+n)/(1+df)) + 1`` follow from it without a second pass.
     """
-    import math
-
     n_docs = df.count()
     rows = vocabulary(df, terms, min_df, max_features).collect()
     if not rows:
@@ -148,10 +148,6 @@ def encode_with(df: DataFrame, text: str, load_model, out: str = "embedding") ->
 
     It is called once per task, and texts arrive in Arrow batches.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
