@@ -50,6 +50,18 @@ def pair_turns(t):
     return cu.pair_turns(t("conversations"))
 
 
+@query("pair_replies", s.ctes(s.PAIRS) + "SELECT message_id, customer_message, response_id, agent_response FROM pairs")
+def pair_replies(t):
+    before = F.col("turn") - 1
+    messages = t("conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("message_id"),
+        F.concat_ws("-", F.col("conv_id"), before).alias("in_reply_to"),
+        F.col("role").alias("role"), "text",
+    )
+    people = messages.where(F.col("role").isin("user", "assistant"))
+    return cu.pair_replies(people.withColumn("inbound", F.col("role") == "user"))
+
+
 @query("na_tokens", f"""
 WITH raw AS (
   SELECT d.doc_id, CASE l.toxic WHEN 1 THEN 'NA' WHEN 0 THEN d.lang ELSE 'null' END AS note

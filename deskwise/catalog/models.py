@@ -14,7 +14,7 @@ from deskwise.functions import text as tx
 from deskwise.functions import vectors as vx
 from deskwise.functions.lexicon import FUNCTION_WORDS
 from deskwise.operators import features, metrics, models, ranking
-from deskwise.plans import corpus
+from deskwise.plans import corpus, evaluation
 from deskwise.plans import triage as plan
 
 _WORDS = f"""words AS (SELECT doc_id, [w for w in regexp_extract_all(lower(clean), '[{s.W}]{{2,}}')
@@ -84,6 +84,19 @@ def lr_predict(t):
     return out.select("vec_id", "true_intent", "predicted_intent", F.round("confidence", 4).alias("confidence"))
 
 
+@query("lr_evaluation")
+def lr_evaluation(t):
+    """Guarded training rows, fit, prediction of the golden rows, report."""
+    rows = ranking.stratified_split(intents(t), "true_intent", 0.2, 42, "vec_id")
+    rows = models.to_vector(rows.join(
+        t("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("customer_message")), "vec_id"
+    ), "embedding")
+    golden = rows.where("split = 'test'")
+    train = evaluation.training_rows(rows, golden, "vec_id", "customer_message", ["vec_id"])
+    report = evaluation.evaluate_classifier(train, golden, "features", "true_intent")["report"]
+    return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
 @query("lr_triage")
 def lr_triage(t):
     """The trained form of the flow: held-out vectors are triaged against the training history."""

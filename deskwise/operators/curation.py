@@ -44,6 +44,26 @@ def pair_turns(
     )
 
 
+def pair_replies(
+    messages: DataFrame,
+    key: str = "message_id",
+    reply_to: str = "in_reply_to",
+    inbound: str = "inbound",
+    text: str = "text",
+) -> DataFrame:
+    """The same from raw messages that name the message they answer: an equi-join on unique ids.
+
+    A message answered several times gives one pair per answer.
+    """
+    asked = messages.where(F.col(inbound)).select(
+        F.col(key).alias("message_id"), F.col(text).alias("customer_message")
+    )
+    answered = messages.where(~F.col(inbound)).select(
+        F.col(reply_to).alias("message_id"), F.col(key).alias("response_id"), F.col(text).alias("agent_response")
+    )
+    return asked.join(answered, "message_id")
+
+
 def non_empty(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.where(F.col(c) != "")
@@ -113,11 +133,12 @@ def dedupe_chain(
 def duplicate_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows beyond the first per value, one output row per column; nulls count as one value.
 
-    Values are counted per key first (map-side combined), so no distinct set is ever gathered.
+    Digests of the values are counted first (map-side combined), so no distinct set is ever
+    gathered and no text is shuffled.
     """
     parts = []
     for c in columns:
-        per_key = df.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        per_key = df.groupBy(tx.digest(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
         parts.append(
             per_key.agg(
                 F.lit(c).alias("column_name"),

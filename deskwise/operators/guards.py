@@ -88,9 +88,9 @@ def join_truth(
 
 def text_fan_out(results: DataFrame, truth: DataFrame, message: str) -> DataFrame:
     """Size of the text join without building it: per-text counts of both sides, multiplied."""
-    left = results.groupBy(message).agg(F.count(F.lit(1)).alias("n_left"))
-    right = truth.groupBy(message).agg(F.count(F.lit(1)).alias("n_right"))
-    return left.join(right, message).agg(
+    left = results.groupBy(tx.digest(message).alias("k")).agg(F.count(F.lit(1)).alias("n_left"))
+    right = truth.groupBy(tx.digest(message).alias("k")).agg(F.count(F.lit(1)).alias("n_right"))
+    return left.join(right, "k").agg(
         F.count(F.lit(1)).alias("n_texts"),
         F.coalesce(F.sum("n_left"), F.lit(0)).alias("n_matched"),
         F.coalesce(F.sum(F.col("n_left") * F.col("n_right")), F.lit(0)).alias("n_joined"),

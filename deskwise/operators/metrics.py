@@ -56,7 +56,9 @@ def reason_mix(df: DataFrame, column: str, separator: str = "; ") -> DataFrame:
 
 
 def with_correct(df: DataFrame, truth: str, predicted: str, name: str = "correct") -> DataFrame:
-    """Equality of the stripped values, null taken as empty."""
+    """Equality of the stripped values, null taken as empty; without a predicted column: false."""
+    if predicted not in df.columns:
+        return df.withColumn(name, F.lit(False))
     a, b = (strip(F.coalesce(F.col(c), F.lit(""))) for c in (truth, predicted))
     return df.withColumn(name, a == b)
 

@@ -151,6 +151,13 @@ def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``n`` rows, so that an (n, pivots) matrix stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, n):
+            yield batch.slice(start, n)
+
+
 def _assign(history: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds ``cell`` (nearest pivot) and ``angle`` to it."""
     shipped = history.sparkSession.sparkContext.broadcast(pivots)
@@ -159,9 +166,7 @@ def _assign(history: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
     def assign(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slices(batches):
             angles = _angles(_matrix(batch.column("vector")), shipped.value)
             cell = angles.argmin(axis=1)
             best = angles[np.arange(len(cell)), cell]
@@ -180,9 +185,7 @@ def _nearest_cells(queries: DataFrame, pivots, sizes, k: int) -> DataFrame:
     schema = T.StructType(queries.schema.fields + [T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def probe(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slices(batches):
             pv, counts = shipped.value
             angles = _angles(_matrix(batch.column("vector")), pv)
             order = np.argsort(angles, axis=1, kind="stable")
@@ -207,9 +210,7 @@ def _reachable_cells(probed: DataFrame, pivots, radii, sizes) -> DataFrame:
     )
 
     def prune(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slices(batches):
             pv, rad, counts = shipped.value
             angles = _angles(_matrix(batch.column("vector")), pv)
             possible = np.cos(np.maximum(angles - rad - SLACK, 0.0)) + SLACK
@@ -317,7 +318,7 @@ def semantic_candidates(
     exclude_self: bool = False,
     strategy: str = "auto",
     max_broadcast_bytes: int = 64 << 20,
-    n_pivots: int = 1024,
+    n_pivots: int = 4096,
     block_rows: int = 4096,
 ) -> DataFrame:
     """The ``min(k, n)`` most similar history rows per query.

@@ -46,32 +46,40 @@ def cleaning_funnel(pairs: DataFrame, profile: str = "strict", min_chars: int =
     """Rows left after every cleaning step, from one scan and one shuffle.
 
     Per distinct cleaned pair the number of copies and the row-local flags are kept; a step before
-    the de-duplication counts copies, a later one counts distinct pairs.
+    the de-duplication counts copies, a later one counts distinct pairs. Pairs are grouped by
+    digest, so the shuffle carries flags and counts but no text.
     """
     a, b = PAIR
-    full = pairs.withColumn("__full", F.col(a).isNotNull() & F.col(b).isNotNull())
-    cleaned = cu.clean_columns(full, PAIR, profile)
-    per_pair = cleaned.groupBy(F.xxhash64(a, b), a, b, "__full").agg(F.count(F.lit(1)).alias("n"))
-    filled = F.col("__full") & (F.col(a) != "") & (F.col(b) != "")
-    long = filled & (F.length(a) >= min_chars) & (F.length(b) >= min_chars)
-    real = long & ~tx.is_acknowledgement(a)
-    # The language test only runs on what the cheap steps leave over.
-    english_ok = F.when(
-        real, (tx.language_share(a) >= english) & (tx.language_share(b) >= english)
-    ).otherwise(F.lit(False))
-    n = F.col("n")
-
-    def rows(cond):
-        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    whole = F.col(a).isNotNull() & F.col(b).isNotNull()
+    cleaned = cu.clean_columns(pairs.select(*PAIR, whole.alias("full")), PAIR, profile)
+    filled = F.col("full") & (F.col(a) != "") & (F.col(b) != "")
+    long = (F.length(a) >= min_chars) & (F.length(b) >= min_chars)
+    wordy = ~tx.is_acknowledgement(a)
+    speaks = (tx.language_share(a) >= english) & (tx.language_share(b) >= english)
+    # The step a row gets to; the language test only runs on what the cheap steps leave over.
+    step = (
+        F.when(~F.col("full"), 1).when(~filled, 2).when(~long, 4).when(~wordy, 5).when(~speaks, 6).otherwise(7)
+    )
+    per_pair = (
+        cleaned.select(tx.digest(a, b).alias("k"), step.alias("step"))
+        .groupBy("k", "step")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+    def rows(least: int):
+        return F.coalesce(F.sum(F.when(F.col("step") >= least, F.col("n"))), F.lit(0))
+
+    def distinct(least: int):
+        return F.count_if(F.col("step") >= least)
 
     one = per_pair.agg(
-        rows(F.lit(True)).alias("1 input"),
-        rows(F.col("__full")).alias("2 not null"),
-        rows(filled).alias("3 not empty"),
-        F.count_if(filled).alias("4 distinct"),
-        F.count_if(long).alias("5 long enough"),
-        F.count_if(real).alias("6 not an acknowledgement"),
-        F.count_if(english_ok).alias("7 english"),
+        rows(1).alias("1 input"),
+        rows(2).alias("2 not null"),
+        rows(4).alias("3 not empty"),
+        distinct(4).alias("4 distinct"),
+        distinct(5).alias("5 long enough"),
+        distinct(6).alias("6 not an acknowledgement"),
+        distinct(7).alias("7 english"),
     )
     return one.unpivot([], one.columns, "step", "n_rows")
 

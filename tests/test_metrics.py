@@ -192,3 +192,31 @@ def test_review_sheet(spark):
     sheet = review.review_sheet(df, "id")
     assert sheet.count() == 50 and sheet.columns[-6:] == [*review.SCORES, review.NOTES]
     assert sheet.where("human_overall is not null").count() == 0
+
+
+def test_evaluation_tables(spark):
+    from deskwise.plans import evaluation as ev
+
+    data = [(i, " escalate" if i < 3 else "auto_handle", "ESCALATE" if i % 2 else "AUTO_HANDLE") for i in range(10)]
+    df = spark.createDataFrame(data, "i int, s string, e string")
+    out = ev.evaluate_escalation(df, "e", "s", "i")
+    assert out["binary"].first()[:4] == (1, 2, 4, 3)
+    assert [r["i"] for r in out["wrong"].collect()] == [0, 2, 3, 5, 7, 9]
+    assert rows(out["confusion"], "actual") == [("AUTO_HANDLE", 3, 2), ("ESCALATE", 4, 1)]
+    cases = spark.createDataFrame(
+        [(q, r, "A", "A" if q == r else "B", 0.5, 1) for q in (1, 2) for r in (1, 2)],
+        "query_id int, rank int, truth string, intent string, similarity double, history_id int",
+    )
+    got = ev.evaluate_retrieval(cases, "truth")
+    assert got["hit_rates"].first()[:] == (2, 0.5, 1.0, 1.0)
+    assert rows(got["consistency"], "rank") == [(1, 2, 0.5), (2, 2, 0.5)]
+    assert [r["query_id"] for r in got["worst"].collect()] == [2]
+    assert metrics.with_correct(cases, "truth", "absent").where("correct").count() == 0
+
+
+def test_training_rows_share_nothing_with_golden(spark):
+    from deskwise.plans import evaluation as ev
+
+    train = spark.createDataFrame([(1, "a"), (2, "b"), (3, " c"), (4, "d"), (5, "d")], "id int, m string")
+    golden = spark.createDataFrame([(1, "x"), (9, "c ")], "id int, m string")
+    assert [r["id"] for r in ev.training_rows(train, golden, "id", "m", ["id"]).orderBy("id").collect()] == [2, 4]
