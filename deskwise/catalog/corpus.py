@@ -19,7 +19,7 @@ def docs(t):
 
 
 def pairs(t):
-    df = cu.pair_turns(t("conversations"))
+    df = cu.pair_turns(src.spread(t("conversations"), "conv_id", "turn"))
     return df.withColumn("pos", F.col("conv_id") * 1_000_000 + F.col("turn"))
 
 

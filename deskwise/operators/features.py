@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
-from deskwise.functions.columns import let
+from deskwise.functions.columns import compute_once, let
 from deskwise.functions.lexicon import FUNCTION_WORDS
 
 ENGLISH = FUNCTION_WORDS["en"]
@@ -32,7 +32,7 @@ def with_terms(
 ) -> DataFrame:
     """Array of unigrams (and bigrams of what the stop list leaves over) per row."""
     words = tx.tokens(text, stop_words)
-    return df.withColumn(out, let(words, tx.with_bigrams) if bigrams else words)
+    return compute_once(df, {out: let(words, tx.with_bigrams) if bigrams else words})
 
 
 def vocabulary(
@@ -160,5 +160,7 @@ def encode_with(df: DataFrame, text: str, load_model, out: str = "embedding") ->
 def char_ngrams(df: DataFrame, text: str, n: int = 3, out: str = "grams") -> DataFrame:
     """Overlapping character n-grams of the whole lower-cased text."""
     low = tx.squeeze_space(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    chars = F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, ""))
-    return NGram(n=n, inputCol="__chars", outputCol=out).transform(df.withColumn("__chars", chars)).drop("__chars")
+    empty = F.array().cast("array<string>")
+    chars = F.when(F.col("__low") == "", empty).otherwise(F.split("__low", ""))
+    split = compute_once(df, {"__low": low}).withColumn("__chars", chars)
+    return NGram(n=n, inputCol="__chars", outputCol=out).transform(split).drop("__low", "__chars")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskwise.functions import vectors as vx
+from deskwise.functions.columns import compute_once
 from deskwise.operators.features import char_ngrams
 
 
@@ -147,19 +148,15 @@ def centroid_predict(scored: DataFrame, sharpness: float = 10.0) -> DataFrame:
 
 def fit_language(df: DataFrame, text: str, lang: str, dims: int = 1 << 14) -> PipelineModel:
     """Naive Bayes over hashed character trigrams of the whole text."""
-    pipeline = Pipeline(
-        stages=[
-            StringIndexer(inputCol=lang, outputCol="__y", stringOrderType="alphabetAsc"),
-            HashingTF(inputCol="grams", outputCol="__f", numFeatures=dims),
-            NaiveBayes(featuresCol="__f", labelCol="__y", probabilityCol="__prob",
-                       predictionCol="__pred", rawPredictionCol="__raw"),
-        ]
-    )
-    model = pipeline.fit(char_ngrams(df, text))
-    labels = model.stages[0].labels
-    return PipelineModel(
-        stages=[*model.stages[1:], IndexToString(inputCol="__pred", outputCol="detected_lang", labels=labels)]
+    # The labels are read before the texts are touched; the texts are then passed over once.
+    indexer = StringIndexer(inputCol=lang, outputCol="__y", stringOrderType="alphabetAsc").fit(df.select(lang))
+    hashing = HashingTF(inputCol="grams", outputCol="__f", numFeatures=dims)
+    bayes = NaiveBayes(
+        featuresCol="__f", labelCol="__y", probabilityCol="__prob", predictionCol="__pred", rawPredictionCol="__raw"
     )
+    model = bayes.fit(hashing.transform(char_ngrams(indexer.transform(df.select(text, lang)), text)))
+    names = IndexToString(inputCol="__pred", outputCol="detected_lang", labels=indexer.labels)
+    return PipelineModel(stages=[hashing, model, names])
 
 
 def language_probability(
@@ -168,6 +165,6 @@ def language_probability(
     """Probability of ``lang``; a text too short for any n-gram scores 0."""
     labels: Sequence[str] = model.stages[-1].getLabels()
     at = list(labels).index(lang)
-    scored = model.transform(char_ngrams(df, text)).withColumn("__p", vector_to_array("__prob"))
-    value = F.when(F.size("grams") > 0, F.col("__p")[at]).otherwise(F.lit(0.0))
-    return scored.withColumn(out, value).drop("grams", "__f", "__raw", "__prob", "__pred", "__p")
+    scored = model.transform(char_ngrams(df, text))
+    value = F.when(F.size("grams") > 0, vector_to_array("__prob")[at]).otherwise(F.lit(0.0))
+    return compute_once(scored, {out: value}).drop("grams", "__f", "__raw", "__prob", "__pred")
