@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskwise.functions.columns import col
-from deskwise.operators.curation import first_rows
 from deskwise.session import broadcast_if_small
 
 
@@ -64,15 +63,47 @@ def shuffled(df: DataFrame, seed: int, *ids: str, name: str = "shuffle_pos") ->
     return hash_rank(df, sample_key(seed, *ids), name=name)
 
 
+def _cut_keys(
+    df: DataFrame, groups: list[str], key: Column, want: Column, ids: Sequence[str], digits: int
+) -> DataFrame:
+    """The hash key of the ``want``-th row (a function of ``__size``) of every group.
+
+    Works on (group, key) alone: bucket counts show which bucket the cut falls into, and only the
+    rows of that bucket are sorted. Groups whose cut is 0 are missing from the result.
+    """
+    keyed = _keyed(df.select(*dict.fromkeys([*groups, *ids])), key, digits).select(*groups, "__b", "__key")
+    border = _buckets(keyed, groups).where(
+        (F.col("__off") < want) & (F.col("__off") + F.col("__n") >= want)
+    ).select(*groups, "__b", (want - F.col("__off")).alias("__need"))
+    local = F.row_number().over(Window.partitionBy(*groups, "__b").orderBy("__key"))
+    return (
+        _join_on(keyed, broadcast_if_small(border), [*groups, "__b"])
+        .withColumn("__rn", local)
+        .where(F.col("__rn") == F.col("__need"))
+        .select(*groups, F.col("__key").alias("__cut"))
+    )
+
+
 def stratified_sample(
-    df: DataFrame, strata: Sequence[str], n: int, seed: int, *ids: str
+    df: DataFrame, strata: Sequence[str], n: int, seed: int, *ids: str, digits: int = 3
 ) -> DataFrame:
-    """Exactly ``min(n, size)`` rows of every stratum."""
-    return first_rows(df, strata, [sample_key(seed, *ids)], n)
+    """Exactly ``min(n, size)`` rows of every stratum, found and filtered without moving rows."""
+    key, groups = sample_key(seed, *ids), list(strata)
+    cuts = _cut_keys(df, groups, key, F.least(F.lit(n), F.col("__size")), ids, digits)
+    picked = _join_on(df, broadcast_if_small(cuts), groups)
+    return picked.where(key <= F.col("__cut")).drop("__cut")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
-    return df.orderBy(sample_key(seed, *ids)).limit(n)
+    """``n`` rows, or all if there are fewer.
+
+    The cut-off is found on the key alone, so that only some ``n`` whole rows are sorted.
+    """
+    key = sample_key(seed, *ids)
+    number = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
+    cut = cutoff(df.select(number.alias("__pos")), "__pos", n)
+    near = df if cut is None else df.where(number <= cut)
+    return near.orderBy(key).limit(n)
 
 
 def stratified_split(
@@ -86,24 +117,12 @@ def stratified_split(
 ) -> DataFrame:
     """Tag every row ``test`` or ``train``; each class gives ``round(share * size)`` test rows.
 
-    Rows are not ranked and not shuffled: the hash key at the cut of every class is found on
-    (label, key) alone, by sorting only the bucket the cut falls into, and every row is then
-    compared with the cut of its class (one row per class).
+    Rows are not ranked and not shuffled: every row is compared with the cut key of its class.
     """
     key = sample_key(seed, *ids)
-    keyed = _keyed(df.select(label, *ids), key, digits).select(label, "__b", "__key")
-    cut = F.round(F.lit(test_share) * F.col("__size"))
-    border = _buckets(keyed, [label]).where(
-        (F.col("__off") < cut) & (F.col("__off") + F.col("__n") >= cut)
-    ).select(label, "__b", (cut - F.col("__off")).alias("__need"))
-    local = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__key"))
-    last = (
-        _join_on(keyed, broadcast_if_small(border), [label, "__b"])
-        .withColumn("__rn", local)
-        .where(F.col("__rn") == F.col("__need"))
-        .select(label, F.col("__key").alias("__cut"))
-    )
-    tagged = _join_on(df, broadcast_if_small(last), [label], "left")
+    want = F.round(F.lit(test_share) * F.col("__size"))
+    cuts = _cut_keys(df, [label], key, want, ids, digits)
+    tagged = _join_on(df, broadcast_if_small(cuts), [label], "left")
     tag = F.when(key <= F.col("__cut"), "test").otherwise("train")
     return tagged.withColumn(name, tag).drop("__cut")
 

@@ -36,6 +36,9 @@ def _matrix(column) -> np.ndarray:
     """List column to an (n, d) double matrix without Python objects."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = column.value_lengths().unique()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors differ in length: {lengths.to_pylist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1)
 
@@ -266,12 +269,26 @@ def _block_join(probes, filed, splits, k, carry, exclude_self, block_rows, schem
     return q.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInArrow(product, schema)
 
 
+def _pivots(history: DataFrame, total: int, n: int) -> np.ndarray:
+    """Some ``n`` history vectors, chosen by id hash; which ones only matters for speed.
+
+    Only rows below a hash bound that some ``2n`` rows pass are sorted for the choice.
+    """
+    key = F.xxhash64("history_id")
+    share = min(1.0, 2.0 * n / max(total, 1))
+    bound = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    rows = history.select(key.alias("k"), "vector")
+    chosen = rows.where(F.col("k") <= bound).orderBy("k").limit(n).toArrow()
+    if chosen.num_rows == 0:
+        chosen = rows.limit(1).toArrow()
+    return _matrix(chosen["vector"])
+
+
 def _grid_search(queries, history, k, carry, exclude_self, qid_type, n_pivots, block_rows):
     schema = _result_schema(history, "history_id", carry, qid_type)
     total = history.count()
     n_pivots = min(n_pivots, max(1, int(total**0.5)))
-    chosen = history.select("history_id", "vector").orderBy(F.xxhash64("history_id")).limit(n_pivots)
-    pivots = _matrix(chosen.toArrow()["vector"])
+    pivots = _pivots(history, total, n_pivots)
     filed = _assign(history.select("history_id", "vector", *carry), pivots)
     filed = materialize(filed, "filed")
 

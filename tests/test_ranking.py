@@ -66,3 +66,14 @@ def test_first_n_kept_widens_until_enough_rows_are_left(spark):
     assert sorted(r["pos"] for r in got.collect()) == [50 * i for i in range(20)]
     assert seen == [40, 160, 640, 2560]
     assert rk.first_n_kept(df, "pos", 900, lambda d: d.where("pos % 50 = 0")).count() == 200
+
+
+def test_samples_move_no_wide_rows(spark):
+    """The table itself is scanned and filtered; only keys are shuffled."""
+    df = spark.range(5000, numPartitions=8).withColumn("c", F.col("id") % 3).withColumn("wide", F.repeat(F.lit("x"), 50))
+    plan = rk.stratified_sample(df, ["c"], 20, 42, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    want = sorted(range(5000), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+    got = {r["id"] for r in rk.stratified_sample(df, ["c"], 20, 42, "id").collect()}
+    assert got == {i for c in range(3) for i in [j for j in want if j % 3 == c][:20]}
+    assert {r["id"] for r in rk.uniform_sample(df, 33, 42, "id").collect()} == set(want[:33])

@@ -130,3 +130,10 @@ def test_two_windows_share_one_shuffle(spark, crowded):
     plan = rt.rerank(found_rows, q)._jdf.queryExecution().executedPlan().toString()
     # One exchange for the candidates, at most one for the intents joined to them.
     assert 1 <= plan.count("Exchange hashpartitioning(query_id") <= 2 and "CartesianProduct" not in plan
+
+
+def test_ragged_vectors_are_refused(spark):
+    q = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<float>")
+    h = spark.createDataFrame([(5, [0.6]), (6, [1.0, 0.0, 0.0])], "history_id long, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        rt.semantic_candidates(q, h).count()
