@@ -122,7 +122,7 @@ def lr_report(t):
     ready = features.with_terms(labelled, "clean").drop("clean")
     rows = ranking.stratified_split(ready, "lang", 0.2, 42, "doc_id")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    tfidf = features.fit_tfidf(train, min_df=2, max_features=20000)
+    tfidf = features.fit_tfidf(train, min_df=2, max_features=20000, sublinear=True)
     model = models.fit_classifier(tfidf.transform(train), "features", "lang", max_iter=100, tol=1e-6)
     scored = models.predict(model, tfidf.transform(test))
     report = metrics.class_report(metrics.pair_counts(scored, "lang", "predicted_intent"))
@@ -143,6 +143,13 @@ def lang_model(t):
     )
 
 
+@query("clean_pairs_model")
+def clean_pairs_model(t):
+    """The cleaning flow with the trained language test instead of the function-word share."""
+    model = models.fit_language(docs(t).select("text", "lang"), "text", "lang")
+    return corpus.clean_pairs(pairs(t), ["pos"], language_model=model).select("message_id", *corpus.PAIR)
+
+
 @query("encode_hash")
 def encode_hash(t):
     rows = docs(t).select("doc_id", "text")

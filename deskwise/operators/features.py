@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
@@ -16,7 +17,9 @@ from pyspark.ml.feature import (
     Normalizer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,12 +99,27 @@ def tfidf_long(
     return raw.select(id_col, "term", (F.col("w") / length).alias("tfidf"))
 
 
+class SublinearTf(
+    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Term counts to ``1 + ln(count)``, entry by entry of a sparse vector."""
+
+    def __init__(self, inputCol: str = "counts", outputCol: str = "sublinear"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        damp = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), damp(self.getInputCol()))
+
+
 def fit_tfidf(
     df: DataFrame,
     terms: str = "terms",
     out: str = "features",
     min_df: int = 3,
     max_features: int = 5000,
+    sublinear: bool = False,
 ) -> PipelineModel:
     """Row-local TF-IDF transformer for Spark ML; only the vocabulary pass shuffles.
 
@@ -114,9 +132,12 @@ def fit_tfidf(
         raise ValueError("empty vocabulary: lower min_df")
     counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], terms, "__counts")
     idf = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__counts", outputCol="__weighted")
-    stages: list[Transformer] = [counts, scale, Normalizer(p=2.0, inputCol="__weighted", outputCol=out)]
-    return PipelineModel(stages=stages)
+    tf = [SublinearTf("__counts", "__tf")] if sublinear else []
+    scale = ElementwiseProduct(
+        scalingVec=Vectors.dense(idf), inputCol="__tf" if sublinear else "__counts", outputCol="__weighted"
+    )
+    unit = Normalizer(p=2.0, inputCol="__weighted", outputCol=out)
+    return PipelineModel(stages=[counts, *tf, scale, unit])
 
 
 def hashed_encoder(df: DataFrame, text: str, dims: int = 256, out: str = "embedding") -> PipelineModel:

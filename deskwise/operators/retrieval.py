@@ -17,14 +17,15 @@ strategy below returns the same rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskwise.session import materialize
+from deskwise.session import materialize, shared_dir
 
 DECIMALS = 6
 SCALE = 10**DECIMALS
@@ -284,38 +285,75 @@ def _pivots(history: DataFrame, total: int, n: int) -> np.ndarray:
     return _matrix(chosen["vector"])
 
 
-def _grid_search(queries, history, k, carry, exclude_self, qid_type, n_pivots, block_rows):
-    schema = _result_schema(history, "history_id", carry, qid_type)
-    total = history.count()
-    n_pivots = min(n_pivots, max(1, int(total**0.5)))
-    pivots = _pivots(history, total, n_pivots)
-    filed = _assign(history.select("history_id", "vector", *carry), pivots)
-    filed = materialize(filed, "filed")
-
-    stats = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()
-    sizes, radii = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
-    for row in stats:
-        sizes[row["cell"]], radii[row["cell"]] = row["n"], row["r"]
-    splits = queries.sparkSession.createDataFrame(
-        [(int(c), int(-(-n // block_rows))) for c, n in enumerate(sizes) if n], "cell int, hcuts int"
+@dataclass(frozen=True)
+class HistoryIndex:
+    """History filed under its nearest pivot, with size and radius of every cell.
+
+    ``rows``: history_id, vector, cell and carried columns; the arrays have one entry per pivot.
+    """
+
+    rows: DataFrame
+    pivots: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+
+
+def index_history(
+    history: DataFrame, carry: Sequence[str] = (), n_pivots: int = 4096, path: str | None = None
+) -> HistoryIndex:
+    """File ``history`` (history_id, embedding, carried columns) once for many query batches.
+
+    Written below ``path`` (by default a new shared folder): ``rows`` and the small ``cells`` table.
+    """
+    spark = history.sparkSession
+    path = path or shared_dir(spark, "index")
+    h = _vectors(history, "history_id", carry)
+    total = h.count()
+    pivots = _pivots(h, total, min(n_pivots, max(1, int(total**0.5)))) if total else np.zeros((1, 1))
+    _assign(h, pivots).write.parquet(f"{path}/rows")
+    filed = spark.read.parquet(f"{path}/rows")
+    stats = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
+    measured = {r["cell"]: (r["n"], r["r"]) for r in stats.collect()}  # one row per pivot
+    cells = [(c, v.tolist(), *measured.get(c, (0, 0.0))) for c, v in enumerate(pivots)]
+    schema = "cell int, pivot array<double>, n bigint, r double"
+    spark.createDataFrame(cells, schema).coalesce(1).write.parquet(f"{path}/cells")
+    return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> HistoryIndex:
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").toArrow()
+    return HistoryIndex(
+        spark.read.parquet(f"{path}/rows").drop("angle"),
+        _matrix(cells["pivot"]), _array(cells["n"]), _array(cells["r"]),
     )
-    filed = filed.drop("angle")
 
-    near = _nearest_cells(queries, pivots, sizes, k + int(exclude_self))
-    first = _block_join(
-        near.select("query_id", "vector", F.explode("cells").alias("cell")),
-        filed, splits, k, carry, exclude_self, block_rows, schema,
+
+def _vectors(df: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
+    return df.where(F.col("embedding").isNotNull()).select(key, F.col("embedding").alias("vector"), *carry)
+
+
+def _grid_search(queries, index: HistoryIndex, k, carry, exclude_self, qid_type, block_rows):
+    schema = _result_schema(index.rows, "history_id", carry, qid_type)
+    if not index.sizes.any():
+        return queries.sparkSession.createDataFrame([], schema)
+    filed = index.rows.select("history_id", "vector", "cell", *carry)
+    splits = queries.sparkSession.createDataFrame(
+        [(c, int(-(-n // block_rows))) for c, n in enumerate(index.sizes.tolist()) if n], "cell int, hcuts int"
     )
-    first = materialize(top_candidates(first, k), "near")
+
+    def probe(visits: DataFrame) -> DataFrame:
+        opened = visits.select("query_id", "vector", F.explode("cells").alias("cell"))
+        return _block_join(opened, filed, splits, k, carry, exclude_self, block_rows, schema)
+
+    wanted = k + int(exclude_self)
+    near = materialize(_nearest_cells(queries, index.pivots, index.sizes, wanted), "near")
+    first = materialize(top_candidates(probe(near), k), "first")
     bounds = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("bound")
     )
-    probed = near.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
-    rest = _reachable_cells(probed, pivots, radii, sizes)
-    second = _block_join(
-        rest.select("query_id", "vector", F.explode("cells").alias("cell")),
-        filed, splits, k, carry, exclude_self, block_rows, schema,
-    )
+    bounded = near.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
+    rest = materialize(_reachable_cells(bounded, index.pivots, index.radii, index.sizes), "rest")
+    second = probe(rest)
     return first.select(*second.columns).unionByName(second)
 
 
@@ -337,25 +375,25 @@ def semantic_candidates(
     max_broadcast_bytes: int = 64 << 20,
     n_pivots: int = 4096,
     block_rows: int = 4096,
+    index: HistoryIndex | None = None,
 ) -> DataFrame:
     """The ``min(k, n)`` most similar history rows per query.
 
     ``queries``: query_id, embedding; ``history``: history_id, embedding and the ``carry`` columns
     that shall travel with a candidate. ``exclude_self`` leaves out the row with the query's own id.
-    Rows without a vector take no part.
+    Rows without a vector take no part. ``index`` is a prepared index of the same history for ``grid``.
     """
-    q = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("vector"))
-    h = history.where(F.col("embedding").isNotNull()).select(
-        "history_id", F.col("embedding").alias("vector"), *carry
-    )
+    q = _vectors(queries, "query_id")
     qid_type = q.schema["query_id"].dataType
     if strategy == "auto":
         size = q.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()["n"] * 8
         strategy = "broadcast" if size <= max_broadcast_bytes else "grid"
     if strategy == "broadcast":
+        h = _vectors(history, "history_id", carry)
         pairs = _broadcast_scan(q, h, k, list(carry), exclude_self, qid_type)
     else:
-        pairs = _grid_search(q, h, k, list(carry), exclude_self, qid_type, n_pivots, block_rows)
+        index = index or index_history(history, carry, n_pivots)
+        pairs = _grid_search(q, index, k, list(carry), exclude_self, qid_type, block_rows)
     return top_candidates(pairs, k)
 
 

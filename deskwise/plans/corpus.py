@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from deskwise.functions import text as tx
 from deskwise.operators import curation as cu
 from deskwise.operators import guards, ranking
 from deskwise.operators.features import fit_tfidf, with_terms
-from deskwise.operators.models import kmeans
+from deskwise.operators.models import kmeans, language_probability
 from deskwise.session import materialize
 
 PAIR = ("customer_message", "agent_response")
@@ -24,12 +25,15 @@ def clean_pairs(
     profile: str = "strict",
     min_chars: int = 10,
     english: float | None = 0.80,
+    language_model: PipelineModel | None = None,
 ) -> DataFrame:
     """Raw pairs to cleaned, distinct, English pairs.
 
     Row filters commute with the keep-first de-duplication, because equal pairs pass or fail
     together; all of them run before the only shuffle, the language test last as the dearest. A
-    second de-duplication has nothing left to remove and is not made.
+    second de-duplication has nothing left to remove and is not made. English is told by the
+    share of function words, or by ``language_model`` (see ``models.fit_language``), which then
+    only sees the distinct pairs that are left.
     """
     a, b = PAIR
     df = pairs.dropna(subset=list(PAIR))
@@ -37,9 +41,14 @@ def clean_pairs(
     df = cu.non_empty(df, a, b)
     df = cu.min_length(df, PAIR, min_chars)
     df = cu.drop_acknowledgements(df, a)
-    if english is not None:
+    if english is not None and language_model is None:
         df = cu.keep_language(df, PAIR, "en", english)
-    return cu.dedupe_first(df, PAIR, order)
+    df = cu.dedupe_first(df, PAIR, order)
+    if english is not None and language_model is not None:
+        for c in PAIR:
+            scored = language_probability(language_model, df, c, out="__english")
+            df = scored.where(F.col("__english") >= english).drop("__english", "detected_lang")
+    return df
 
 
 def cleaning_funnel(pairs: DataFrame, profile: str = "strict", min_chars: int = 10, english: float = 0.80) -> DataFrame:

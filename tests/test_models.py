@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import column, rows
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def test_centroids_leave_their_own_row_out(spark):
     assert guess[1] == ("b", round(1 / (1 + math.exp(-5)), 6)) and guess[2][0] == "a"
 
 
-def test_vocabulary_and_tfidf_in_both_forms(spark):
+def test_vocabulary_and_tfidf_in_both_forms(spark, tmp_path):
     texts = ["late parcel late", "late parcel came", "refund parcel refund refund", "", "the of"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string")
     terms = ft.with_terms(df, "t")
@@ -82,6 +83,12 @@ def test_vocabulary_and_tfidf_in_both_forms(spark):
     sums = {r["doc_id"]: sum(r["v"]) for r in wide.collect()}
     for doc in range(5):
         assert sums[doc] == pytest.approx(sum(v for (d, _), v in long.items() if d == doc))
+    damped = ft.fit_tfidf(terms, min_df=2, sublinear=True)
+    damped.write().overwrite().save(str(tmp_path / "tfidf"))
+    damped = PipelineModel.load(str(tmp_path / "tfidf")).transform(terms)
+    totals = {r["doc_id"]: sum(r["v"]) for r in damped.select("doc_id", vector_to_array("features").alias("v")).collect()}
+    want = ft.tfidf_long(terms, "doc_id", min_df=2, sublinear=True).groupBy("doc_id").agg(F.sum("tfidf").alias("s"))
+    assert all(totals[r["doc_id"]] == pytest.approx(r["s"]) for r in want.collect())
     sub = {(r["doc_id"], r["term"]): r["tfidf"] for r in ft.tfidf_long(terms, "doc_id", min_df=1, sublinear=True).collect()}
     assert 1 < sub[(2, "refund")] / sub[(2, "parcel")] < long.get((2, "refund"), 9) / 0.1
 

@@ -70,7 +70,8 @@ def test_size_decides_the_strategy(spark, crowded, monkeypatch):
     queries, history = crowded
     q, h = frame(spark, range(30), queries, name="query_id"), frame(spark, range(600), history)
     used = []
-    monkeypatch.setattr(rt, "_grid_search", lambda *a: used.append("grid") or rt._broadcast_scan(*a[:6]))
+    grid = rt._grid_search
+    monkeypatch.setattr(rt, "_grid_search", lambda *a: used.append("grid") or grid(*a))
     rt.semantic_candidates(q, h, k=3, max_broadcast_bytes=30 * 8 * 8)
     assert used == []
     rt.semantic_candidates(q, h, k=3, max_broadcast_bytes=30 * 8 * 8 - 1)
@@ -82,7 +83,8 @@ def test_rows_without_vector_and_empty_queries(spark, crowded):
     h = spark.createDataFrame([(5, [0.6, 0.8]), (6, None)], "history_id long, embedding array<float>")
     for strategy in ("broadcast", "grid"):
         assert found(rt.semantic_candidates(q, h, strategy=strategy)) == {(2, 5, 0.6, 1)}
-    assert rt.semantic_candidates(q.where("false"), h).count() == 0
+        assert rt.semantic_candidates(q, h.where("false"), strategy=strategy).count() == 0
+        assert rt.semantic_candidates(q.where("false"), h, strategy=strategy).count() == 0
 
 
 def candidates(spark, similarities, intents):
@@ -137,3 +139,33 @@ def test_ragged_vectors_are_refused(spark):
     h = spark.createDataFrame([(5, [0.6]), (6, [1.0, 0.0, 0.0])], "history_id long, embedding array<float>").coalesce(1)
     with pytest.raises(Exception, match="differ in length"):
         rt.semantic_candidates(q, h).count()
+
+
+def test_stored_index_serves_many_batches(spark, crowded, tmp_path):
+    queries, history = crowded
+    hids = list(range(600))
+    made = rt.index_history(frame(spark, hids, history), path=str(tmp_path / "index"))
+    assert made.sizes.sum() == 600
+    index = rt.load_index(spark, str(tmp_path / "index"))
+    for part in (range(0, 10), range(10, 30)):
+        got = rt.semantic_candidates(
+            frame(spark, part, queries[list(part)], name="query_id"), None, k=7, strategy="grid", index=index
+        )
+        assert found(got) == brute(list(part), queries[list(part)], hids, history, 7)
+
+
+def test_far_cells_are_not_visited(spark):
+    """Tight, distant groups: the second round has nothing left to visit."""
+    rng = np.random.default_rng(5)
+    centres = np.eye(6)
+    history = unit(np.repeat(centres, 100, axis=0) + 0.01 * rng.normal(size=(600, 6)))
+    index = rt.index_history(frame(spark, range(600), history))
+    queries = frame(spark, range(6), unit(centres), name="query_id")
+    q = rt._vectors(queries, "query_id")
+    near = rt._nearest_cells(q, index.pivots, index.sizes, 5)
+    visited = rt._reachable_cells(near.withColumn("bound", F.lit(0.99)), index.pivots, index.radii, index.sizes)
+    left = {r["query_id"]: len(r["cells"]) for r in visited.collect()}
+    assert max(left.values()) < (index.sizes > 0).sum() / 2
+    assert found(rt.semantic_candidates(queries, None, k=5, strategy="grid", index=index)) == brute(
+        list(range(6)), unit(centres), list(range(600)), history, 5
+    )
