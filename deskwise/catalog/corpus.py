@@ -84,6 +84,18 @@ def numeric_coerce(t):
     return src.coerce_numbers(t("events").select("event_id", raw.alias("amount")), ["amount"])
 
 
+@query("format_round", """
+SELECT event_id, printf('%.2f', value) AS two_places, printf('%.4f', value) AS four_places,
+       round(value / 7, 4) AS rounded FROM events""")
+def format_round(t):
+    return t("events").select(
+        "event_id",
+        F.format_string("%.2f", "value").alias("two_places"),
+        F.format_string("%.4f", "value").alias("four_places"),
+        F.round(F.col("value") / 7, 4).alias("rounded"),
+    )
+
+
 @query("brand_filter", "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src3'")
 def brand_filter(t):
     return src.by_source(t("documents"), "src3").select("doc_id", "lang", "n_chars")

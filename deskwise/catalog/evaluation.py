@@ -167,6 +167,16 @@ def conditional_counts(t):
     return metrics.conditional_counts(decided(t), flags)
 
 
+@query("percent_true", DECIDED_SQL + """SELECT round(100 * avg((system_decision = 'ESCALATE')::INTEGER), 6) AS escalated_pct,
+round(100 * avg((system_decision = expected_decision)::INTEGER), 6) AS correct_pct FROM decided""")
+def percent_true(t):
+    flags = {
+        "escalated_pct": F.col("system_decision") == "ESCALATE",
+        "correct_pct": F.col("system_decision") == F.col("expected_decision"),
+    }
+    return rounded(metrics.percent_true(decided(t), flags), *flags)
+
+
 # --- baselines -----------------------------------------------------------------------------
 
 _SPLIT = """split AS (SELECT vec_id, true_intent, CASE WHEN row_number() OVER (PARTITION BY true_intent ORDER BY md5('42|' || vec_id))

@@ -149,6 +149,16 @@ def gather_cases(t):
     return as_bigint(found.select("query_id", "rank", "history_id", "customer_message", "source"), "rank")
 
 
+@query("best_similarity", CASE_SQL + """SELECT query_id, max(similarity) FILTER (rank = 1) AS of_first,
+max(similarity) AS of_best FROM cases GROUP BY query_id""")
+def best_similarity(t):
+    found = cases(t, stored=True)
+    first, best = (rt.best_similarity(found, p) for p in ("runtime", "batch"))
+    return first.withColumnRenamed("best_similarity", "of_first").join(
+        best.withColumnRenamed("best_similarity", "of_best"), "query_id"
+    )
+
+
 # --- evaluation ----------------------------------------------------------------------------
 
 

@@ -25,7 +25,6 @@ class TriageConfig:
     semantic_weight: float = 0.80
     intent_weight: float = 0.20
     history_limit: int = 10_000
-    english_threshold: float = 0.80
     security_terms: tuple[str, ...] = lx.SECURITY_TERMS["runtime"]
     human_terms: tuple[str, ...] = lx.HUMAN_TERMS["runtime"]
     complaint_intent: str = lx.COMPLAINT

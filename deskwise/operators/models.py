@@ -52,14 +52,22 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit_classifier(
-    df: DataFrame, features: str, label: str, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-8
+    df: DataFrame,
+    features: str,
+    label: str,
+    c: float = 1.0,
+    max_iter: int = 2000,
+    tol: float = 1e-8,
+    max_classes: int = 10_000,
 ) -> PipelineModel:
     """Multinomial logistic regression with balanced classes and L2 strength ``1/C``.
 
     Spark divides the loss by the weight sum, which equals n for balanced weights, hence
     ``regParam = 1 / (C * n)``. The classes are those of the training data, alphabetically.
     """
-    classes = class_weights(df, label).orderBy(label).collect()  # one row per class
+    classes = class_weights(df, label).orderBy(label).limit(max_classes + 1).collect()
+    if len(classes) > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {label}")
     n = sum(row["support"] for row in classes)
     lookup = df.sparkSession.createDataFrame(
         [(row[label], float(i), row["weight"]) for i, row in enumerate(classes)],
