@@ -7,46 +7,40 @@ from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
 from deskwise.functions.columns import compute_once
+from deskwise.operators.joins import lookup_join
 
 
 def _keys(golden: DataFrame, key: Column) -> DataFrame:
     return golden.select(key.alias("__key")).where("__key IS NOT NULL").distinct()
 
 
-def exclude_ids(df: DataFrame, golden: DataFrame, key: str, golden_key: str | None = None) -> DataFrame:
-    """Drop rows whose id is in ``golden``; rows without an id stay.
-
-    No broadcast hint: the optimizer broadcasts the reduced key set when its measured size is below
-    the session threshold and shuffles otherwise.
-    """
-    keys = _keys(golden, F.col(golden_key or key))
-    return df.join(keys, df[key] == keys["__key"], "left_anti")
+def _text_keys(golden: DataFrame, message: str) -> DataFrame:
+    return _keys(golden, tx.digest(tx.strip(message)))
 
 
-def _text_keys(golden: DataFrame, message: str) -> DataFrame:
-    texts = compute_once(golden.select(message), {"__text": tx.strip(message)})
-    return _keys(texts, F.col("__text")).withColumn("__hash", F.xxhash64("__key"))
+def exclude_ids(df: DataFrame, golden: DataFrame, key: str, golden_key: str | None = None) -> DataFrame:
+    """Drop rows whose id is in ``golden``; rows without an id stay."""
+    return lookup_join(df, key, _keys(golden, F.col(golden_key or key)), "__key", "left_anti")
 
 
-def _message_join(df: DataFrame, golden: DataFrame, message: str, golden_message: str, how: str):
-    keys = _text_keys(golden, golden_message)
-    stripped = compute_once(df, {"__msg": tx.strip(message)}).withColumn("__mh", F.xxhash64("__msg"))
-    on = (F.col("__mh") == F.col("__hash")) & (F.col("__msg") == F.col("__key"))
-    return stripped.join(keys, on, how).drop("__msg", "__mh")
+def _by_message(df: DataFrame, golden: DataFrame, message: str, golden_message: str | None, how: str):
+    digested = compute_once(df, {"__digest": tx.digest(tx.strip(message))})
+    keys = _text_keys(golden, golden_message or message)
+    return lookup_join(digested, "__digest", keys, "__key", how).drop("__digest")
 
 
 def exclude_messages(
     df: DataFrame, golden: DataFrame, message: str, golden_message: str | None = None
 ) -> DataFrame:
-    """Drop rows whose stripped text equals a golden text; the hash decides most comparisons."""
-    return _message_join(df, golden, message, golden_message or message, "left_anti")
+    """Drop rows whose stripped text equals a golden text; texts are compared by digest."""
+    return _by_message(df, golden, message, golden_message, "left_anti")
 
 
 def golden_matches(
     df: DataFrame, golden: DataFrame, message: str, golden_message: str | None = None
 ) -> DataFrame:
     """The rows :func:`exclude_messages` removes."""
-    return _message_join(df, golden, message, golden_message or message, "left_semi")
+    return _by_message(df, golden, message, golden_message, "left_semi")
 
 
 def removed_counts(
@@ -54,18 +48,13 @@ def removed_counts(
 ) -> DataFrame:
     """How many rows each guard removes, and how many rows pass both; one row.
 
-    Each guard is one left join against the distinct golden keys, so a row keeps its identity
-    and both flags are counted in a single pass.
+    Rows are reduced to id and digest, and both flags are counted in a single pass.
     """
-    ids = _keys(golden, F.col(key)).withColumnRenamed("__key", "__gid")
-    texts = _text_keys(golden, message)
-    rows = compute_once(df.select(key, message), {"__msg": tx.strip(message)}).drop(message)
-    rows = rows.withColumn("__mh", F.xxhash64("__msg"))
-    flagged = rows.join(ids, F.col(key) == F.col("__gid"), "left").join(
-        texts, (F.col("__mh") == F.col("__hash")) & (F.col("__msg") == F.col("__key")), "left"
-    )
-    by_id = F.col("__gid").isNotNull()
-    by_text = F.col("__key").isNotNull()
+    rows = compute_once(df.select(key, message), {"__digest": tx.digest(tx.strip(message))}).drop(message)
+    flagged = lookup_join(rows, key, _keys(golden, F.col(key)), "__key", "left")
+    flagged = flagged.withColumnRenamed("__key", "__id_hit")
+    flagged = lookup_join(flagged, "__digest", _text_keys(golden, message), "__key", "left")
+    by_id, by_text = F.col("__id_hit").isNotNull(), F.col("__key").isNotNull()
     return flagged.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(by_id).alias("removed_by_id"),
@@ -82,8 +71,8 @@ def join_truth(
     Joining both sides on a repeated message text would multiply the copies. The one-row-per-key
     truth keeps the result as long as ``results``, however often one text repeats.
     """
-    one = truth.groupBy(key).agg(F.min(F.struct(*columns)).alias("__t")).select(key, "__t.*")
-    return results.join(one, key)
+    one = truth.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*columns)).alias("__t"))
+    return lookup_join(results, key, one.select("__key", "__t.*"), "__key", "inner").drop("__key")
 
 
 def text_fan_out(results: DataFrame, truth: DataFrame, message: str) -> DataFrame:

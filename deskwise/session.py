@@ -46,17 +46,24 @@ def tables(spark: SparkSession, sf_dir: str):
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Compute a narrow lookup table once; mark it for broadcast if it has at most ``max_rows`` rows.
+MAX_BROADCAST_ROWS = 200_000
 
-    A larger table comes back unmarked, and the join shuffles.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
+
+def small_table(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
+    """A narrow lookup table, computed once and marked for broadcast; None above ``max_rows`` rows."""
+    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """:func:`small_table`, or the table itself, unmarked, so that the join shuffles."""
+    small = small_table(df, max_rows)
+    return df if small is None else small
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 

@@ -75,6 +75,28 @@ def test_guards(spark):
     assert rows(guards.removed_counts(df, golden, "id", "m"), "n_rows") == [(4, 1, 1, 2)]
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_guards_with_a_hot_key_in_both_ways(spark, monkeypatch, limit):
+    """A third of the rows share one golden text; broadcast and salted joins agree."""
+    from deskwise import session
+
+    monkeypatch.setattr(session, "MAX_BROADCAST_ROWS", limit)
+    hot = F.when(F.col("id") % 3 == 0, " hot").otherwise(F.col("id").cast("string"))
+    df = spark.range(9000).select(F.col("id"), hot.alias("m"))
+    golden = spark.createDataFrame([(1, "hot"), (5, "7"), (99999, None)], "id long, m string")
+    kept = guards.exclude_messages(df, golden, "m")
+    assert (kept.count(), kept.columns) == (5999, ["id", "m"])
+    assert guards.golden_matches(df, golden, "m").count() == 3001
+    assert guards.exclude_ids(df, golden, "id").count() == 8998
+    assert guards.removed_counts(df, golden, "id", "m").first()[:] == (9000, 2, 3001, 5997)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert ("__salt" in plan) == (limit == 0)
+    truth = spark.createDataFrame([("7", 1), (" hot", 2), (" hot", 3)], "m string, y int")
+    joined = guards.join_truth(df, truth, "m", ["y"])
+    assert (joined.count(), joined.agg(F.sum("y")).first()[0]) == (3001, 6001)
+    assert joined.columns == ["id", "m", "y"]
+
+
 def test_fan_out_is_counted_not_built(spark):
     left = spark.createDataFrame([("t",)] * 300 + [("u",)], "m string")
     right = spark.createDataFrame([("t",)] * 200, "m string")
