@@ -1,7 +1,7 @@
 """Text cleaning and text predicates as plain Column expressions.
 
-Whitespace and word classes are spelled out, so that ``\\s``, ``\\w`` and ``strip`` have the
-Unicode meaning a Python user expects although Java and RE2 default to ASCII.
+Whitespace and word classes have the Unicode meaning a Python user expects, although Java
+defaults to ASCII: ``(?U)`` widens ``\\s``, and the separators U+001C to U+001F are added to it.
 """
 
 from __future__ import annotations
@@ -18,17 +18,22 @@ from pyspark.sql import types as T
 from deskwise.functions import lexicon as lx
 from deskwise.functions.columns import col, let
 
-SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+SPACE = r"\s\x1C-\x1F"
+# Every character that counts as whitespace.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"\p{L}\p{N}_"
 
 URL = {
-    "strict": rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+",
-    "runtime": rf"https?://[^{SPACE}]+",
-    "cluster": rf"http[^{SPACE}]+|www[^{SPACE}]+",
+    "strict": rf"(?U)https?://[^{SPACE}]+|www\.[^{SPACE}]+",
+    "runtime": rf"(?U)https?://[^{SPACE}]+",
+    "cluster": rf"(?U)http[^{SPACE}]+|www[^{SPACE}]+",
 }
 MENTION = rf"@[{WORD}]+"
 SIGNATURE = {
-    "strict": (rf"[{SPACE}]*\^[A-Za-z]{{1,4}}[{SPACE}]*\z", ""),
+    "strict": (rf"(?U)[{SPACE}]*\^[A-Za-z]{{1,4}}[{SPACE}]*\z", ""),
     "runtime": (rf"\^[A-Z]{{1,3}}(?![{WORD}])", " "),
 }
 TOKEN = rf"[{WORD}]{{2,}}"
@@ -49,7 +54,9 @@ def digest(*columns: Column | str) -> Column:
 
 def decode_entities(c: Column | str) -> Column:
     """Decode the common HTML entities inside the JVM (one pass: ``&amp;lt;`` gives ``&lt;``)."""
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), lx.ENTITIES, col(c))
+    text = col(c)
+    decoded = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), lx.ENTITIES, text)
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -82,12 +89,12 @@ def drop_literal_escapes(c: Column | str) -> Column:
 
 
 def squeeze_space(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(c), rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(col(c), rf"(?U)[{SPACE}]+", " "))
 
 
 def strip(c: Column | str) -> Column:
     """Python's ``str.strip``; Spark's ``trim`` only removes the space character."""
-    return F.regexp_replace(col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def clean_text(c: Column | str, profile: str = "strict", exact_entities: bool = False) -> Column:
@@ -103,7 +110,7 @@ def clean_for_clustering(c: Column | str) -> Column:
 
 
 def is_acknowledgement(c: Column | str, phrases: Sequence[str] = lx.ACKNOWLEDGEMENTS) -> Column:
-    bare = F.regexp_replace(strip(F.lower(col(c))), rf"[^{WORD}{SPACE}]", "")
+    bare = F.regexp_replace(strip(F.lower(col(c))), rf"(?U)[^{WORD}{SPACE}]", "")
     return bare.isin(list(phrases))
 
 

@@ -107,3 +107,15 @@ def test_vectors(spark):
     assert column(df, vx.l2_normalize("v")) == [[0.6, 0.8], [0.0, 0.0]]
     assert column(df, vx.argmax("v")) == [1, 0]
     assert column(df, vx.softmax("v"))[1] == [0.5, 0.5]
+
+
+def test_whitespace_is_pythons(spark):
+    import re
+
+    chars = [chr(i) for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000]
+    df = texts(spark, *[f"{c}a{c}{c}b{c}" for c in chars])
+    got = df.select("t", tx.squeeze_space("t").alias("q"), tx.strip("t").alias("s"), tx.strip_urls(F.concat(F.lit("http://"), "t")).alias("u")).collect()
+    assert all(r["q"] == re.sub(r"\s+", " ", r["t"]).strip() for r in got)
+    assert all(r["s"] == r["t"].strip() for r in got)
+    assert all(r["u"] == re.sub(r"https?://\S+", " ", "http://" + r["t"]) for r in got)
+    assert all((" " in r["q"]) == r["t"][0].isspace() for r in got)
