@@ -14,12 +14,13 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def norm(v: Column | str) -> Column:
-    return F.sqrt(dot(v, v))
+    squares = F.aggregate(col(v), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return F.sqrt(squares)
 
 
 def l2_normalize(v: Column | str) -> Column:
     """Unit-length copy as doubles; the zero vector stays as it is."""
-    scale = F.when(norm(v) > 0, norm(v)).otherwise(F.lit(1.0))
+    scale = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
     return let(scale, lambda n: F.transform(col(v), lambda x: x.cast("double") / n))
 
 

@@ -38,30 +38,44 @@ def with_terms(
     return compute_once(df, {out: let(words, tx.with_bigrams) if bigrams else words})
 
 
-def vocabulary(
-    df: DataFrame, terms: str = "terms", min_df: int = 3, max_features: int = 5000
-) -> DataFrame:
-    """term, df and corpus frequency of the ``max_features`` commonest terms (ties by term).
+def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:
+    """term, df and corpus frequency cf; the row without a term carries the number of documents.
 
-    Corpus and document frequency come from one exploded pass with map-side combine. The result
-    has at most ``max_features`` rows, which bounds every later broadcast of it.
+    One exploded pass with map-side combine gives all three.
     """
+    entry = "array<struct<t: string, c: int, d: int>>"
     entries = F.concat(
         F.transform(terms, lambda t: F.struct(t.alias("t"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
         F.transform(
             F.array_distinct(terms), lambda t: F.struct(t.alias("t"), F.lit(0).alias("c"), F.lit(1).alias("d"))
         ),
+        F.array(F.struct(F.lit(None).alias("t"), F.lit(0).alias("c"), F.lit(1).alias("d"))).cast(entry),
     )
-    counts = (
+    return (
         df.select(F.explode(entries).alias("e"))
         .groupBy(F.col("e.t").alias("term"))
         .agg(F.sum("e.d").alias("df"), F.sum("e.c").alias("cf"))
     )
-    return _commonest(counts, min_df, max_features)
 
 
-def _commonest(counts: DataFrame, min_df: int, max_features: int) -> DataFrame:
-    return counts.where(F.col("df") >= min_df).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+def commonest(counts: DataFrame, min_df: int, max_features: int) -> DataFrame:
+    """The ``max_features`` commonest terms (ties by term), with the number of documents ``n``.
+
+    The limit bounds every later broadcast. The documents' row comes along under the same limit,
+    so that ``counts`` is computed once.
+    """
+    marker = F.col("term").isNull()
+    top = counts.where(marker | (F.col("df") >= min_df))
+    top = top.orderBy(marker.desc(), F.desc("cf"), F.asc("term")).limit(max_features + 1)
+    n = F.max(F.when(marker, F.col("df"))).over(Window.partitionBy(F.lit(0)))
+    return top.withColumn("n", n).where(~marker)
+
+
+def vocabulary(
+    df: DataFrame, terms: str = "terms", min_df: int = 3, max_features: int = 5000
+) -> DataFrame:
+    """term, df and corpus frequency of the commonest terms."""
+    return commonest(term_counts(df, terms), min_df, max_features).drop("n")
 
 
 def tfidf_long(
@@ -78,21 +92,21 @@ def tfidf_long(
     the length window all start from that one exchange. The vocabulary, at most ``max_features``
     rows, is broadcast.
     """
+    marker = F.array(F.lit(None).cast("string"))  # one per document: its df is their number
     tf = (
         df.select(id_col, terms)
         .repartition(id_col)
-        .select(id_col, F.explode(terms).alias("term"))
+        .select(id_col, F.explode(F.concat(terms, marker)).alias("term"))
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).cast("double").alias("tf"))
     )
     counts = tf.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf")
     )
-    vocab = F.broadcast(_commonest(counts, min_df, max_features).select("term", "df"))
-    n_docs = df.agg(F.count(F.lit(1))).scalar()
+    vocab = F.broadcast(commonest(counts, min_df, max_features).select("term", "df", "n"))
     tf = tf.join(vocab, "term")
     weight = F.log("tf") + 1 if sublinear else F.col("tf")
-    raw = tf.withColumn("n", n_docs).select(
+    raw = tf.select(
         id_col, "term", (weight * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
@@ -126,10 +140,10 @@ def fit_tfidf(
     The vocabulary (bounded by ``max_features``) is fixed first, with a deterministic tie rule;
     the weights ``idf = ln((1+n)/(1+df)) + 1`` follow from it without a second pass.
     """
-    n_docs = df.count()
-    rows = vocabulary(df, terms, min_df, max_features).collect()
+    rows = commonest(term_counts(df, terms), min_df, max_features).collect()
     if not rows:
         raise ValueError("empty vocabulary: lower min_df")
+    n_docs = rows[0]["n"]
     counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], terms, "__counts")
     idf = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
     tf = [SublinearTf("__counts", "__tf")] if sublinear else []
