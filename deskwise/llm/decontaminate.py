@@ -131,3 +131,10 @@ def contamination(
         "a.doc_id", "a.digest", "n_words", n_hit.alias("n_hit"), F.coalesce(F.col("n_items"), F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce(F.col("items"), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without a hit, with their own columns; a text moves only where the list of hit rows is long."""
+    found = contamination(docs, items, id_col, text_col, **options).where("contaminated").select(*DOC).distinct()
+    same = F.col(f"a.{id_col}").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(text_or_empty(F.col(f"a.{text_col}"))) == F.col("b.digest"))
+    return docs.alias("a").join(broadcast_if_small(found).alias("b"), same, "left_anti")

@@ -8,9 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskwise.llm import bpe, decontaminate, shards, simhash, tokens, weak_rules
+from corpus_pipeline import run as pipeline
+from deskwise.llm import bpe, decontaminate, pii, quality, shards, simhash, tokens, toxicity, weak_rules, wrappers
 from deskwise.llm.sql import ORACLE
-from deskwise.session import tables
+from deskwise.session import materialize, tables
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    return quality.classify(t("documents"), t("labels"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables(spark, sf_dir)("pages")
+    return wrappers.main_texts(pages, materialize(wrappers.infer_wrappers(pages), "wrappers"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     return decontaminate.contamination(t("documents"), t("benchmark")).drop("digest")
@@ -32,6 +43,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    return toxicity.classify(t("documents"), t("labels"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(tables(spark, sf_dir)("documents"))
 
@@ -45,8 +61,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir)("documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir)("documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_decontaminate, op5_bpe, op7_shards, op8_quality_rules, op9_simhash)
+    "op1_quality": op1_quality,
+    "op2_token_counts": op2_token_counts,
+    "op3_main_text": op3_main_text,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_shards": op7_shards,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
+    "pipeline": pipeline,
 }
 
 

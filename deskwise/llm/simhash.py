@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from deskwise.llm.blocks import blocks, hash_unit
-from deskwise.session import materialize
+from deskwise.llm.blocks import blocks, hash_unit, text_or_empty
+from deskwise.session import broadcast_if_small, materialize
 
 SEED = 42
 LOWER = bytes(range(256)).lower()
@@ -50,15 +50,19 @@ def fingerprints_of(texts: list[str | None], shingle: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long; null and wordless texts have 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = StructType([rows.schema["doc_id"], StructField("fp", LongType(), False)])
+    """(doc_id, digest, fp): the fingerprint of every row as a signed long; null and wordless texts have 0.
+
+    ``digest`` is the 64-bit hash of the text, which tells rows of the same id apart.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(text_col), F.col(text_col).alias("text"))
+    schema = StructType([rows.schema["doc_id"], StructField("digest", LongType()), StructField("fp", LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
                 fps = fingerprints_of(part.column("text").to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                out = [part.column("doc_id"), part.column("digest"), pa.array(fps.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -260,6 +264,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """(doc_id, digest, fp, root, component_id) of every row; ``root`` names the component by a fingerprint."""
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    tied = components(links(distinct, bits))
+    rooted = distinct.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.select("fp", "root").join(named, "root"), "fp").select("doc_id", "digest", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -267,13 +281,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like any other. A null doc_id never names a component unless all its members are null.
     Repeated rows are repeated in the result; an empty table gives none; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    tied = components(links(distinct, bits))
-    rooted = distinct.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+    rows = grouped(docs, id_col, text_col, shingle, bits)
+    return rows.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """``docs`` with one row of every component: that of the smallest doc_id (nulls last), of several the smallest text hash.
+
+    Rows are taken out by an anti-join on (id, text hash), so a kept text moves only where the list of
+    dropped rows is too large to be sent around. Of repeated rows one stays.
+    """
+    rows = materialize(grouped(docs, id_col, text_col, shingle, bits), "grouped")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("best"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    lost = rows.join(best, "root").where(~same).select("doc_id", "digest").distinct()
+    twice = materialize(rows.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "repeated")
+
+    def on(other: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        return of.alias("a").join(other.alias("b"), F.col(f"a.{id_col}").eqNullSafe(F.col("b.doc_id")) & (digest(F.col(f"a.{text_col}")) == F.col("b.digest")), how)
+
+    kept = on(broadcast_if_small(lost), "left_anti", docs)
+    if twice.isEmpty():
+        return kept
+    return on(twice, "left_anti", kept).unionByName(on(twice, "left_semi", kept).dropDuplicates([id_col, text_col]))
+
+
+def digest(text: str | Column) -> Column:
+    return F.xxhash64(text_or_empty(text)).alias("digest")
 
 
 def _hex(fp: Column) -> Column:

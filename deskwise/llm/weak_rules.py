@@ -137,6 +137,11 @@ def fit_votes(votes: DataFrame, names: list[str], rounds: int = 50, prior: float
     """
     counts = [(tuple(r[:-1]), r[-1]) for r in votes.groupBy(*names).count().collect()]
     start = {GOOD: {GOOD: 0.85, BAD: 0.005, ABSTAIN: 0.145}, BAD: {GOOD: 0.6, BAD: 0.3, ABSTAIN: 0.1}}
+    return maximise(counts, names, start, prior, rounds)
+
+
+def maximise(counts: list[tuple[tuple, int]], names: list[str], start: dict[int, dict[int, float]], prior: float, rounds: int = 50) -> VoteModel:
+    """Expectation-maximisation over counted vote patterns; ``start`` has the first rates of every rule by class and vote."""
     model = VoteModel(prior, {n: {k: dict(v) for k, v in start.items()} for n in names})
     for _ in range(rounds if counts else 0):
         seen = {n: {GOOD: dict.fromkeys((GOOD, BAD, ABSTAIN), 1.0), BAD: dict.fromkeys((GOOD, BAD, ABSTAIN), 1.0)} for n in names}
