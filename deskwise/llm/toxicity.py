@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskwise.llm.blocks import fold, hash_unit, text_or_empty
+from deskwise.llm.blocks import blocks, fold, hash_unit
 from deskwise.session import materialize
 
 # Common English insults, the core of the lexicon; the rest is learned.
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "dumb", "ugly", "hate", "jerk", "fool")
 SECOND_PERSON = frozenset("you your yours yourself tu toi te vous votre du dich dir dein ihr euch usted ti tus".split())
+STEM_SIZES = range(3, 9)
 LEET = str.maketrans("013457@$!", "oieastasi")
 
 FEATURES = [
@@ -28,14 +32,14 @@ FEATURES = [
 ]
 
 
-def describe(text: str | None, weights: dict[str, float], insults: frozenset[str], reach: int = 5) -> list[float]:
+def describe(text: str | None, lexicon: Lexicon, insults: frozenset[str], reach: int = 5) -> list[float]:
     """The features of one whole text; null and empty texts have zeros throughout."""
     text = text or ""
     lower = text.lower()
     words = re.findall(r"[^\W\d_]+", lower)
     n = max(1, len(words))
     found = [w for w in words if w in insults]
-    learned = [weights[w] for w in words if w in weights]
+    learned = lexicon.of(words)
     near = 0
     you = sum(w in SECOND_PERSON for w in words)
     if found and you:
@@ -45,36 +49,80 @@ def describe(text: str | None, weights: dict[str, float], insults: frozenset[str
     hidden = 0
     for token in re.findall(r"[a-z]+[0134579@$!*.\-_]+[a-z][\w@$!*.\-]*", lower):
         plain = re.sub(r"[*.\-_]", "", token.translate(LEET))
-        hidden += plain in insults or plain in weights
+        hidden += plain in insults or bool(lexicon.of([plain]))
     letters = max(1, len(text) - text.count(" "))
     return [
-        len(found) / n, math.log1p(len(found)), len(set(found)), len(learned) / n, math.log1p(sum(learned)),
-        len({w for w in words if w in weights}) if learned else 0, max(learned, default=0.0), near / n, you / n,
+        len(found) / n, math.log1p(len(found)), len(set(found)), len(learned) / n, math.log1p(sum(w for _, w in learned)),
+        len({t for t, _ in learned}), max((w for _, w in learned), default=0.0), near / n, you / n,
         sum(map(str.isupper, text)) / letters if lower != text else 0.0, text.count("!") / n,
         sum(map(text.count, ".,;:?!")) / n, hidden / n, math.log1p(hidden), math.log1p(len(words)),
     ]
 
 
-def learn_lexicon(train: DataFrame, size: int = 400, least: int = 5, floor: float = 2.5) -> dict[str, float]:
-    """Words far more frequent in toxic documents, with their smoothed log-odds; at most ``size`` words.
+def stems(text: str | None) -> set[str]:
+    """All beginnings of STEM_SIZES letters of the words of a text."""
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    return {w[:k] for w in words for k in STEM_SIZES if len(w) >= k}
 
-    Counted by distinct text, so that copies do not make a word look like evidence.
+
+def learn_lexicon(train: DataFrame, size: int = 400, least: int = 4, floor: float = 2.0) -> dict[str, float]:
+    """Word beginnings far more frequent in toxic documents, with their log-odds; at most ``size``, shortest first.
+
+    Insults come with endings, so words are counted by their beginnings, and of those that are each other's
+    beginnings the shortest that is telling stays. Equal texts count once; the number of toxic documents
+    is lowered by its standard error, so that a few like documents do not make a stem look telling.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty("text")), F.lit(r"\p{L}+"), F.lit(0)))
     texts = train.groupBy(F.xxhash64("text").alias("copy")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
-    rows = texts.select("label", words.alias("words"))
-    toxic, total = rows.agg(F.sum("label"), F.count("*")).first()
+    toxic, total = texts.agg(F.sum("label"), F.count("*")).first()
     if not total or not toxic or toxic == total:
         return {}
-    counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
-    odds = F.log(((F.col("t") + 0.5) / (toxic + 1.0)) / ((F.col("n") - F.col("t") + 0.5) / (total - toxic + 1.0)))
-    best = counts.where(F.col("t") >= least).withColumn("odds", odds).where(F.col("odds") >= floor)
-    return {r["word"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.log1p("t")), "word").limit(size).collect()}
-
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], insults: tuple[str, ...] = INSULTS) -> DataFrame:
-    """``docs`` (with a column ``text``) and a struct column ``features``; the lexicon is bounded by its size limit."""
-    known = frozenset(insults)
+    def counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in blocks(batch, "text", 1 << 20):
+                    seen = Counter(t for text in part.column("text").to_pylist() for t in (stems(text) & only if only is not None else stems(text)))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["stem", "n"])
+
+        return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+
+    often = counted(texts.where("label = 1"), None).where(F.col("n") >= least)
+    # At most a million stems of the sample's toxic documents can be telling; the sample bounds them well below.
+    found = {r["stem"]: r["n"] for r in often.orderBy(F.desc("n"), "stem").limit(1_000_000).collect()}
+    known = frozenset(found)
+    clean = {r["stem"]: r["n"] for r in counted(texts.where("label = 0"), known).collect()}
+    odds = {
+        t: math.log((n - math.sqrt(n) + 0.5) / (toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (total - toxic + 1)) for t, n in found.items()
+    }
+    kept: dict[str, float] = {}
+    for stem in sorted((t for t, o in odds.items() if o >= floor), key=lambda t: (len(t), t)):
+        if not any(stem[:k] in kept for k in STEM_SIZES if k < len(stem)):
+            kept[stem] = odds[stem]
+    best = sorted(kept, key=lambda t: (-odds[t] * math.log1p(found[t]), t))[:size]
+    return {t: odds[t] for t in best}
+
+
+class Lexicon:
+    """Weights of word beginnings."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.heads = frozenset(t[: STEM_SIZES[0]] for t in weights)
+
+    def of(self, words: list[str]) -> list[tuple[str, float]]:
+        """(stem, weight) of the words that begin with a known stem."""
+        first, out = STEM_SIZES[0], []
+        for w in words:
+            if w[:first] in self.heads:
+                hit = next((w[:k] for k in STEM_SIZES if w[:k] in self.weights), None)
+                if hit is not None:
+                    out.append((hit, self.weights[hit]))
+        return out
+
+
+def with_features(docs: DataFrame, weights: dict[str, float], insults: tuple[str, ...] = INSULTS) -> DataFrame:
+    """``docs`` (with a column ``text``) and a struct column ``features``; the weights are bounded by their size limit."""
+    known, lexicon = frozenset(insults), Lexicon(weights)
     schema = T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
 
     @F.pandas_udf(schema)
@@ -92,7 +140,7 @@ def with_scores(
 
     Labels (doc_id, toxic) of rows whose crc32(id) mod ``mod`` is ``left_out`` are never learned from. The lexicon, the
     trees and the calibration use at most about ``max_rows`` labelled rows, drawn by hash of the id; the
-    calibration has a fifth of them to itself. Without rows of both classes every score is the smoothed share of
+    calibration sees scores of trees that were fitted on the other half of the rows. Without rows of both classes every score is the smoothed share of
     label 1. Null and empty texts are scored by their features, all zero; repeated rows alike; an empty table
     gives no rows. Only the text enters a score.
     """
@@ -113,11 +161,13 @@ def with_scores(
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="vector")
     fitted = with_features(train, lexicon).select("label", *names, hash_unit(F.col("doc_id"), seed + 1).alias("part"))
     fitted = materialize(assembler.transform(fitted).select("label", "vector", "part"), "toxic-features")
-    trees = GBTClassifier(featuresCol="vector", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed).fit(fitted.where("part >= 0.2"))
+    boost = GBTClassifier(featuresCol="vector", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed)
     raw = vector_to_array("probability")[1]
-    held = trees.transform(fitted.where("part < 0.2")).select("label", raw.alias("raw"))
-    whole = trees.transform(fitted).select("label", raw.alias("raw"))
-    calibration = held if held.agg(F.min("label") != F.max("label")).first()[0] else whole
+    trees = boost.fit(fitted)
+    one, two = fitted.where("part < 0.5"), fitted.where("part >= 0.5")
+    both = all(part.agg(F.min("label") != F.max("label")).first()[0] for part in (one, two))
+    unseen = boost.fit(two).transform(one).unionByName(boost.fit(one).transform(two)) if both else trees.transform(fitted)
+    calibration = materialize(unseen.select("label", raw.alias("raw")), "toxic-calibration")
     steps = IsotonicRegression(featuresCol="raw").fit(calibration)
 
     scored = assembler.transform(with_features(rows, lexicon).select("doc_id", "held_out", *names))
