@@ -66,11 +66,8 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     starts = postings.join(first, "term").select(*DOC, (F.col("pos") - F.col("offset")).alias("start"), "terms").where("start >= 0")
     starts = materialize(starts, "starts")
 
-    holders = broadcast_if_small(starts.select(*DOC).distinct())
-    lists = materialize(postings.alias("a").join(holders.alias("b"), _same_doc(), "left_semi"), "lists")
-
-    def intersect(found: DataFrame, begin: int, length: Column) -> DataFrame:
-        """Starts whose terms of rank ``begin`` and after (``length`` of them) are all in place."""
+    def intersect(found: DataFrame, lists: DataFrame, begin: int, length: Column) -> DataFrame:
+        """Starts with the number of their terms of rank ``begin`` and after (``length`` of them) that are in place."""
         wanted = found.join(plans, "terms").withColumn("part", F.explode(F.slice("by_n", begin, length)))
         wanted = wanted.select(*DOC, "start", "terms", (F.col("start") + F.col("part.offset")).alias("pos"), F.col("part.term").alias("term"))
         here = (F.col("a.pos") == F.col("b.pos")) & (F.col("a.term") == F.col("b.term"))
@@ -80,8 +77,14 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
 
     starts = starts.distinct()
     one = starts.where(F.size("terms") == 1)
-    pairs = intersect(starts.where(F.size("terms") > 1), 2, F.lit(1)).drop("n")
-    rest = intersect(pairs.where(F.size("terms") > 2), 3, F.size("terms"))
+    # The lists of second rarest terms are short as well; those of common terms are read for the few documents left.
+    second = broadcast_if_small(plans.where(F.size("by_n") > 1).select(F.col("by_n")[1]["term"].alias("term")).distinct())
+    pairs = intersect(starts.where(F.size("terms") > 1), postings.join(second, "term", "left_semi"), 2, F.lit(1))
+    pairs = materialize(pairs.drop("n"), "pairs")
+    longer = pairs.where(F.size("terms") > 2)
+    holders = broadcast_if_small(longer.select(*DOC).distinct())
+    lists = postings.alias("a").join(holders.alias("b"), _same_doc(), "left_semi")
+    rest = intersect(longer, lists, 3, F.size("terms"))
     whole = rest.where(F.col("n") == F.size("terms") - 2).drop("n")
     return one.unionByName(pairs.where(F.size("terms") == 2)).unionByName(whole)
 
