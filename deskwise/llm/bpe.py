@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +25,13 @@ MARK = " "  # in front of a special token; no chunk of a text begins with white
 NEVER = np.iinfo(np.int64).max
 
 
+def numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Number of each word in order of appearance, and the distinct words."""
+    known: dict[str, int] = {}
+    codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    return codes, list(known)
+
+
 class Encoder:
     """Merge table of a vocabulary: pair keys in ascending order, with the rank and the result of each."""
 
@@ -134,8 +140,8 @@ class Encoder:
             else:
                 chunks += self.chunks(text or "")
             sizes.append(len(chunks) - before)
-        codes, distinct = pd.factorize(np.array(chunks, dtype=object))
-        ids, starts, lengths = self._distinct(list(distinct))
+        codes, distinct = numbered(chunks)
+        ids, starts, lengths = self._distinct(distinct)
         per_chunk = lengths[codes]
         flat = ids[ragged(starts[codes], per_chunk)]
         ends = np.cumsum(sizes)
@@ -153,7 +159,7 @@ class Encoder:
             cut = [c] if c[0] == MARK and c[1:] in self.vocab.special else self.piece.findall(c)
             pieces += cut
             counts.append(len(cut))
-        codes, distinct = pd.factorize(np.array(pieces, dtype=object))
+        codes, distinct = numbered(pieces)
         special = {MARK + name: i for name, i in self.vocab.special.items()}
         ids, sizes = self.merge([b" " if p in special else p.encode("utf-8", "surrogatepass") for p in distinct])
         begins = np.cumsum(sizes) - sizes
