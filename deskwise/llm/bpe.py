@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     With ``decoded`` a column of that name holds what the ids decode to. Null and empty texts have no ids and
     decode to the empty text; repeated rows are repeated; other columns are ignored. Memory is bounded by a
-    few megabytes of text, or one longer text.
+    megabyte of text, or one longer text.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fields = [rows.schema["doc_id"], StructField("ids", BinaryType(), False), StructField("n_tokens", LongType(), False)]
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 1 << 20):
                 flat, counts = bpe.encode(part.column("text").to_pylist())
                 packed = flat.astype("<u4").tobytes()
                 ends = 4 * np.cumsum(counts)
