@@ -13,6 +13,8 @@ from deskwise.operators import guards, metrics, ranking, review
 from deskwise.plans import corpus
 from deskwise.sources import tables as src
 
+BOUND = 10_000  # rows of the bounded reads
+
 
 def docs(t):
     return src.spread(t("documents"), "doc_id")
@@ -115,7 +117,7 @@ def bounded_history_after(t):
     def keep(rows):
         return cu.non_empty(cu.clean_columns(rows, corpus.PAIR, "runtime"), *corpus.PAIR)
 
-    df = ranking.first_n_kept(pairs(t), "pos", RUNTIME.history_limit, keep)
+    df = ranking.first_n_kept(pairs(t), "pos", BOUND, keep)
     return df.select("message_id", *corpus.PAIR)
 
 
@@ -125,7 +127,7 @@ SELECT message_id, {s.strip('customer_message')} AS customer_message,
 FROM (SELECT * FROM pairs ORDER BY pos LIMIT 10000)
 WHERE customer_message IS NOT NULL AND agent_response IS NOT NULL""")
 def bounded_history_before(t):
-    df = ranking.first_n(pairs(t), "pos", BATCH.history_limit).dropna(subset=list(corpus.PAIR))
+    df = ranking.first_n(pairs(t), "pos", BOUND).dropna(subset=list(corpus.PAIR))
     return df.withColumns({c: tx.strip(c) for c in corpus.PAIR}).select("message_id", *corpus.PAIR)
 
 
@@ -133,7 +135,7 @@ def bounded_history_before(t):
 @query("bounded_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10000")
 def bounded_rows(t):
     df = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return ranking.first_n(df, "o_orderkey", RUNTIME.history_limit)
+    return ranking.first_n(df, "o_orderkey", BOUND)
 
 
 @query("bounded_rows_kept", """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
@@ -142,7 +144,7 @@ def bounded_rows_kept(t):
     away = t("customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
     df = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return ranking.first_n_kept(
-        df, "o_orderkey", RUNTIME.history_limit, lambda rows: guards.exclude_ids(rows, away, "o_custkey")
+        df, "o_orderkey", BOUND, lambda rows: guards.exclude_ids(rows, away, "o_custkey")
     )
 
 
@@ -433,7 +435,7 @@ def combined_training(t):
   SELECT message_id, pos, {s.clean('customer_message', 'runtime')} AS customer_message,
          {s.clean('agent_response', 'runtime')} AS agent_response FROM pairs)""", """
 bounded AS (SELECT * FROM cleaned WHERE customer_message <> '' AND agent_response <> ''
-  AND message_id NOT IN (SELECT doc_id::VARCHAR FROM labels) ORDER BY pos LIMIT 10000)""") + """
+  AND message_id NOT IN (SELECT doc_id::VARCHAR FROM labels))""") + """
 SELECT message_id, customer_message, agent_response FROM bounded
 QUALIFY row_number() OVER (PARTITION BY customer_message ORDER BY pos) = 1""")
 def history_table(t):
@@ -443,7 +445,7 @@ def history_table(t):
 
 @query("history_table_batch", s.ctes(s.REVIEWED, _DOC_PAIRS, f"""bounded AS (
   SELECT message_id, pos, {s.strip('customer_message')} AS customer_message,
-         {s.strip('agent_response')} AS agent_response FROM (SELECT * FROM pairs ORDER BY pos LIMIT 10000)),
+         {s.strip('agent_response')} AS agent_response FROM pairs),
 firsts AS (SELECT * FROM bounded QUALIFY row_number() OVER (PARTITION BY customer_message ORDER BY pos) = 1)""") + f"""
 SELECT message_id, customer_message, agent_response FROM firsts
 WHERE customer_message NOT IN (SELECT {s.strip('text')} FROM reviewed)""")

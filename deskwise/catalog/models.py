@@ -123,7 +123,7 @@ def lr_report(t):
     rows = ranking.stratified_split(ready, "lang", 0.2, 42, "doc_id")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     tfidf = features.fit_tfidf(train, min_df=2, max_features=20000, sublinear=True)
-    model = models.fit_classifier(tfidf.transform(train), "features", "lang", max_iter=100, tol=1e-6)
+    model = models.fit_classifier(tfidf.transform(train), "features", "lang")
     scored = models.predict(model, tfidf.transform(test))
     report = metrics.class_report(metrics.pair_counts(scored, "lang", "predicted_intent"))
     return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})

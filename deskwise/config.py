@@ -24,7 +24,7 @@ class TriageConfig:
     top_k: int = 5
     semantic_weight: float = 0.80
     intent_weight: float = 0.20
-    history_limit: int = 10_000
+    history_limit: int | None = None
     security_terms: tuple[str, ...] = lx.SECURITY_TERMS["runtime"]
     human_terms: tuple[str, ...] = lx.HUMAN_TERMS["runtime"]
     complaint_intent: str = lx.COMPLAINT

@@ -148,9 +148,9 @@ def combined_training(verified: DataFrame, selected: DataFrame, golden: DataFram
 def retrieval_history(pairs: DataFrame, golden: DataFrame, cfg: TriageConfig, pos: str) -> DataFrame:
     """Pairs that may be retrieved; golden examples never enter.
 
-    Runtime cleans and filters first, excludes golden ids, then keeps the first
-    ``history_limit`` rows; batch takes the first rows as they are, only strips, and excludes
-    golden messages. Both de-duplicate messages last, so fewer rows may remain.
+    The whole table is read unless ``history_limit`` is set. Runtime cleans and filters first, excludes golden
+    ids, then keeps the first ``history_limit`` rows; batch takes the first rows as they are, only strips,
+    and excludes golden messages. Both de-duplicate messages last, so fewer rows may remain.
     """
     a, b = PAIR
     if cfg.profile == "runtime":
@@ -159,9 +159,10 @@ def retrieval_history(pairs: DataFrame, golden: DataFrame, cfg: TriageConfig, po
             rows = cu.non_empty(cu.clean_columns(rows, PAIR, "runtime"), a, b)
             return guards.exclude_ids(rows, golden, "message_id")
 
-        return cu.dedupe_first(
-            ranking.first_n_kept(pairs, pos, cfg.history_limit, keep), [a], [pos]
-        )
-    df = ranking.first_n(pairs, pos, cfg.history_limit).dropna(subset=list(PAIR))
+        bounded = cfg.history_limit is not None
+        kept = ranking.first_n_kept(pairs, pos, cfg.history_limit, keep) if bounded else keep(pairs)
+        return cu.dedupe_first(kept, [a], [pos])
+    df = pairs if cfg.history_limit is None else ranking.first_n(pairs, pos, cfg.history_limit)
+    df = df.dropna(subset=list(PAIR))
     df = df.withColumns({c: tx.strip(c) for c in PAIR})
     return guards.exclude_messages(cu.dedupe_first(df, [a], [pos]), golden, a)

@@ -47,12 +47,29 @@ def tables(spark: SparkSession, sf_dir: str):
 
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def small_table(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
-    """A narrow lookup table, computed once and marked for broadcast; None above ``max_rows`` rows."""
+def _bytes_of(df: DataFrame) -> int:
+    """Bytes of the columns of varying size (0 if there are none); fixed-size rows are bounded by their number."""
+    loose = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct", "variant")]
+    if not loose:
+        return 0
+    sizes = (F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)).cast("long") for c in loose)
+    return df.agg(F.sum(sum(sizes, F.lit(0).cast("long")))).first()[0] or 0
+
+
+def small_table(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame | None:
+    """A lookup table, computed once and marked for broadcast; None above ``max_rows`` rows or ``max_bytes``.
+
+    Texts, lists and the like are measured before anything reaches the driver.
+    """
     limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    rows = df.limit(limit + 1).toArrow()
+    most = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
+    first = df.limit(limit + 1)
+    if _bytes_of(first) > most:
+        return None
+    rows = first.toArrow()
     if rows.num_rows > limit:
         return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -159,3 +159,20 @@ def test_brand_filter_reaches_the_scan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = src.by_source(docs, "src3").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src3)" in plan and "ReadSchema: struct<doc_id:bigint,source:string>" in plan
+
+
+def test_history_has_no_bound_by_default(spark):
+    many = spark.range(12_000).selectExpr(
+        "id AS pos", "CAST(id AS STRING) AS message_id", "concat('my parcel number ', id, ' is late') AS customer_message",
+        "concat('we are sorry about parcel ', id) AS agent_response",
+    )
+    none = many.limit(0)
+    for cfg in (RUNTIME, BATCH):
+        assert corpus.retrieval_history(many, none, cfg, "pos").count() == 12_000
+
+
+def test_lookup_is_broadcast_by_bytes(spark):
+    from deskwise import session
+
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS text")
+    assert session.small_table(wide, max_bytes=5_000) is None and session.small_table(wide).count() == 10
