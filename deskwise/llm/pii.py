@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,8 +196,9 @@ def fit(docs: DataFrame, text_col: str = "text", prior: float = 0.7, penalty: fl
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update((c.votes, c.shape) for c in candidates(text))
+            for part in blocks(batch, "text"):
+                for text in part.column("text").to_pylist():
+                    seen.update((c.votes, c.shape) for c in candidates(text))
         names, rows = ["votes", "shape", "n"], [(list(v), list(s), n) for (v, s), n in seen.items()]
         columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([r[2] for r in rows], pa.int64())], names)
@@ -258,11 +258,14 @@ def find(docs: DataFrame, model: SpanClassifier, id_col: str = "doc_id", text_co
 def redact(docs: DataFrame, model: SpanClassifier, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; a null text stays null."""
 
-    @F.pandas_udf(T.StringType())
-    def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([mask(t, model) for t in texts], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                masked = pa.array([mask(t, model) for t in part.column(text_col).to_pylist()], pa.string())
+                columns = [masked if name == text_col else part.column(name) for name in part.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def mask(text: str | None, model: SpanClassifier) -> str | None:
