@@ -22,7 +22,7 @@ def docs(t):
 
 def pairs(t):
     df = cu.pair_turns(src.spread(t("conversations"), "conv_id", "turn"))
-    return df.withColumn("pos", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    return df.withColumn("pos", F.col("conv_id").cast("bigint") * (1 << 32) + F.col("turn"))
 
 
 def reviewed(t):
@@ -44,8 +44,8 @@ def noisy(t):
 
 @query("pair_turns", """
 SELECT conv_id, turn, conv_id || '-' || turn AS message_id, text AS customer_message,
-       conv_id || '-' || (turn + 1) AS response_id, next_text AS agent_response
-FROM (SELECT *, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role
+       conv_id || '-' || next_turn AS response_id, next_text AS agent_response
+FROM (SELECT *, lead(turn) OVER w AS next_turn, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role
       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 WHERE role = 'user' AND next_role = 'assistant'""")
 def pair_turns(t):

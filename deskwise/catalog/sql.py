@@ -81,11 +81,12 @@ def ctes(*parts: str) -> str:
 
 
 PAIRS = """pairs AS (
-  SELECT a.conv_id, a.turn, a.conv_id * 1000000 + a.turn AS pos,
-         a.conv_id || '-' || a.turn AS message_id, a.text AS customer_message,
-         b.conv_id || '-' || b.turn AS response_id, b.text AS agent_response
-  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-  WHERE a.role = 'user' AND b.role = 'assistant')"""
+  SELECT conv_id, turn, conv_id * 4294967296 + turn AS pos,
+         conv_id || '-' || turn AS message_id, text AS customer_message,
+         conv_id || '-' || next_turn AS response_id, next_text AS agent_response
+  FROM (SELECT *, lead(turn) OVER w AS next_turn, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant')"""
 
 # A message table in which every cleaning rule has something to do, derived from documents.
 NOISY = r"""noisy AS (

@@ -11,6 +11,7 @@ from deskwise.functions import text as tx
 from deskwise.functions.columns import col, compute_once
 
 ROW = "__row"
+STRETCH = 1 << 16  # turn numbers of a conversation in one window
 
 
 def pair_turns(
@@ -22,25 +23,28 @@ def pair_turns(
     role: str = "role",
     text: str = "text",
 ) -> DataFrame:
-    """Customer message and the reply that directly follows it.
+    """Customer message and the reply that directly follows it, whatever turn numbers are left out.
 
-    A reply answers turn ``t - 1`` of its conversation, so this is an equi-join on the unique
-    message key (conversation, turn): one conversation holding a third of all rows still
-    spreads over every partition, which a window per conversation would not.
+    Turn numbers are unique inside a conversation. Each stretch of ``STRETCH`` numbers is one window, so that
+    a conversation holding a third of all rows still spreads over every partition; the last message of a
+    stretch meets the first one of the conversation's next stretch.
     """
-    asked = turns.where(F.col(role) == inbound).select(
-        F.col(conv), F.col(turn), F.col(text).alias("customer_message")
-    )
-    answered = turns.where(F.col(role) == outbound).select(
-        F.col(conv), (F.col(turn) - 1).alias(turn), F.col(text).alias("agent_response")
-    )
-    return asked.join(answered, [conv, turn]).select(
+    message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rows = turns.select(F.col(conv), F.floor(F.col(turn) / STRETCH).alias("__stretch"), message.alias("__m"))
+    inside = Window.partitionBy(conv, "__stretch").orderBy("__m.turn")
+    across = Window.partitionBy(conv).orderBy("__stretch")
+    heads = rows.withColumn(ROW, F.row_number().over(inside)).where(F.col(ROW) == 1)
+    heads = heads.select(conv, F.lag("__stretch").over(across).alias("__stretch"), F.col("__m").alias("__head"))
+    asked = rows.withColumn("__next", F.lead("__m").over(inside)).where(F.col("__m.role") == inbound)
+    reply = F.coalesce("__next", "__head")
+    pairs = asked.join(heads, [conv, "__stretch"], "left").withColumn("__reply", reply)
+    return pairs.where(F.col("__reply.role") == outbound).select(
         F.col(conv),
-        F.col(turn),
-        F.concat_ws("-", conv, turn).alias("message_id"),
-        "customer_message",
-        F.concat_ws("-", F.col(conv), F.col(turn) + 1).alias("response_id"),
-        "agent_response",
+        F.col("__m.turn").alias(turn),
+        F.concat_ws("-", conv, "__m.turn").alias("message_id"),
+        F.col("__m.text").alias("customer_message"),
+        F.concat_ws("-", conv, "__reply.turn").alias("response_id"),
+        F.col("__reply.text").alias("agent_response"),
     )
 
 
@@ -133,23 +137,22 @@ def dedupe_chain(
 def duplicate_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows beyond the first per value, one output row per column; nulls count as one value.
 
-    Digests of the values are counted first (map-side combined), so no distinct set is ever
-    gathered and no text is shuffled.
+    One scan: every row gives one digest per column, and digests are counted first (map-side combined), so no
+    distinct set is ever gathered and no text is shuffled.
     """
-    parts = []
-    for c in columns:
-        per_key = df.groupBy(tx.digest(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(
-            per_key.agg(
-                F.lit(c).alias("column_name"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"),
-            )
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), tx.digest(c).alias("k")) for i, c in enumerate(columns)])
+    per_value = df.select(F.explode(cells).alias("v")).groupBy("v.i", "v.k").agg(F.count(F.lit(1)).alias("n"))
+    n = [F.when(F.col("i") == i, F.col("n")) for i in range(len(columns))]
+    zero = F.lit(0).cast("long")
+    totals = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.coalesce(F.sum(n[i]), zero).alias("n_rows"),
+            F.coalesce(F.sum(n[i] - 1), zero).alias("n_duplicates"),
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        for i, c in enumerate(columns)
+    ]
+    return per_value.agg(F.array(*totals).alias("t")).select(F.inline("t"))
 
 
 def blank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,20 +7,35 @@ from pyspark.sql import functions as F
 
 from deskwise.session import small_table
 
-SALTS = 16
+ROWS_PER_TASK = 1_000_000  # rows of one key that one task joins
+SALTS = 1024  # tasks for rows without a key, and for every key where hot keys are too many to list
 
 
 def lookup_join(df: DataFrame, column: str, lookup: DataFrame, key: str, how: str) -> DataFrame:
     """Join ``df`` to ``lookup`` (distinct ``key``) without ever gathering the rows of a hot key.
 
-    Up to a checked number of rows the lookup is broadcast and ``df`` stays where it is. A larger one
-    is shuffled: the rows of every key are dealt to ``SALTS`` tasks by a hash of the whole row,
-    and the narrow lookup is repeated for each of them.
+    Up to a checked size the lookup is broadcast and ``df`` stays where it is. A larger one is shuffled: the
+    rows of each key are counted, those of a hot key are dealt to as many tasks as its count asks for, and only
+    the hot keys' lookup rows are repeated. The deal depends on the row and its partition, so that rows
+    equal in every column are spread too and a repeated task deals them alike.
     """
     small = small_table(lookup)
     if small is not None:
         return df.join(small, F.col(column) == F.col(key), how)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > ROWS_PER_TASK).select(
+        "__hot", F.ceil(F.col("__n") / ROWS_PER_TASK).cast("int").alias("__salts")
+    )
+    hot = small_table(hot)
+    if hot is None:
+        dealt, copies = df.withColumn("__salts", F.lit(SALTS)), lookup.withColumn("__salts", F.lit(SALTS))
+    else:
+        dealt = df.join(hot, F.col(column) == F.col("__hot"), "left").drop("__hot")
+        copies = lookup.join(hot, F.col(key) == F.col("__hot"), "left").drop("__hot")
+    salts = F.when(F.col(column).isNull(), SALTS).otherwise(F.coalesce("__salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) + F.spark_partition_id(), salts)
+    dealt = dealt.withColumn("__salt", salt.cast("int")).drop("__salts")
+    numbers = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    copies = copies.withColumn("__copy", F.explode(numbers)).drop("__salts")
     on = (F.col(column) == F.col(key)) & (F.col("__salt") == F.col("__copy"))
-    return salted.join(copies, on, how).drop("__salt", "__copy")
+    return dealt.join(copies, on, how).drop("__salt", "__copy")

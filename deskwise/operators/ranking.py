@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskwise.functions.columns import col
-from deskwise.session import broadcast_if_small
+from deskwise.session import broadcast_if_small, materialize
 
 
 def sample_key(seed: int, *ids: Column | str) -> Column:
@@ -127,31 +128,35 @@ def stratified_split(
     return tagged.withColumn(name, tag).drop("__cut")
 
 
-# Shares at which the bounded read asks for quantiles of the position, smallest first.
-_LADDER = [10.0**-e for e in range(6, 0, -1)] + [0.2, 0.4, 0.6, 0.8]
+PARTS = 4096  # equal parts of the range of positions, counted per round of a search
+FEW = 10_000  # positions one task may sort
 
 
-def cutoff(df: DataFrame, pos: str, n: int, accuracy: int = 100_000):
-    """The ``n``-th lowest value of the unique numeric ``pos``; None if there are at most n rows.
+def cutoff(df: DataFrame, pos: str, n: int):
+    """The ``n``-th lowest value of the unique integer ``pos``; None if there are at most n rows.
 
-    ``orderBy(pos).limit(n)`` alone moves up to ``n`` rows per partition into one task. A quantile
-    sketch gives an upper bound first, and the exact value is found among the few positions
-    below it. Should the sketch miss, the search runs without it; the result is exact either way.
+    ``orderBy(pos).limit(n)`` alone moves up to ``n`` rows per partition into one task. Here the range of
+    positions is cut into equal parts, their rows are counted inside the map tasks, and the search goes on in
+    the part that holds the ``n``-th, until few are left. It reads ``pos`` alone.
     """
-    row = df.agg(
-        F.count(pos).alias("n"), F.percentile_approx(pos, _LADDER, accuracy).alias("q")
-    ).first()
-    total = row["n"]
-    if total <= n:
+    at = df.select(F.col(pos).cast("bigint").alias("p")).where("p IS NOT NULL")
+    left, low, high = at.agg(F.count("p"), F.min("p"), F.max("p")).first()
+    if left <= n:
         return None
-    need = n / total + 2.0 / accuracy
-    bound = next((q for share, q in zip(_LADDER, row["q"]) if share >= need), None)
-    for limit in ([bound] if bound is not None else []) + [None]:
-        lower = df.select(pos) if limit is None else df.select(pos).where(F.col(pos) <= limit)
-        cut = lower.orderBy(pos).limit(n).agg(F.count(pos).alias("n"), F.max(pos).alias("m")).first()
-        if cut["n"] == n:
-            break
-    return cut["m"]
+    if n <= 0:
+        return low - 1
+    while left > FEW and low < high:
+        width = (high - low) // PARTS + 1
+        near = at.where(F.col("p").between(low, high))
+        counted = near.groupBy(F.expr(f"(p - {low}L) div {width}L").alias("part")).count().collect()
+        for part, rows in sorted(counted):
+            left = rows
+            if n <= rows:
+                break
+            n -= rows
+        low, high = low + part * width, min(high, low + (part + 1) * width - 1)
+    near = at.where(F.col("p").between(low, high))
+    return near.orderBy("p").limit(min(n, FEW)).agg(F.max("p")).first()[0]
 
 
 def first_n(df: DataFrame, pos: str, n: int) -> DataFrame:
@@ -165,13 +170,16 @@ def first_n_kept(
 ) -> DataFrame:
     """``first_n(keep(df))`` without running ``keep`` over the whole table.
 
-    ``keep`` (row filters, cleaning, anti-joins) sees the first ``2n`` rows, then four times as many
-    until ``n`` rows are left or the table is used up. Finding those rows reads ``pos`` alone.
+    ``keep`` (row filters, cleaning, anti-joins) sees the first ``2n`` rows, then the following ones up to four
+    times as many, until ``n`` rows are left or the table is used up. Finding those rows reads ``pos`` alone,
+    and every row goes through ``keep`` once: what is left of a stretch is stored.
     """
-    m = 2 * n
+    m, last, stretches = 2 * n, None, []
     while True:
         cut = cutoff(df.select(pos), pos, m)
-        kept = keep(df if cut is None else df.where(F.col(pos) <= cut))
+        fresh = df if last is None else df.where(F.col(pos) > last)
+        stretches.append(materialize(keep(fresh if cut is None else fresh.where(F.col(pos) <= cut)), "first-rows"))
+        kept = reduce(DataFrame.unionByName, stretches)
         if cut is None or kept.count() >= n:
             return first_n(kept, pos, n)
-        m *= 4
+        m, last = 4 * m, cut
