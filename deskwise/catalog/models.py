@@ -9,6 +9,7 @@ from deskwise.catalog import sql as s
 from deskwise.catalog.corpus import docs, pairs
 from deskwise.catalog.registry import query
 from deskwise.catalog.retrieval import as_bigint, intents
+from deskwise.catalog.triage import messages
 from deskwise.config import BATCH
 from deskwise.functions import text as tx
 from deskwise.functions import vectors as vx
@@ -16,6 +17,7 @@ from deskwise.functions.lexicon import FUNCTION_WORDS
 from deskwise.operators import features, metrics, models, ranking
 from deskwise.plans import corpus, evaluation
 from deskwise.plans import triage as plan
+from deskwise.session import materialize
 
 _WORDS = f"""words AS (SELECT doc_id, [w for w in regexp_extract_all(lower(clean), '[{s.W}]{{2,}}')
   if NOT list_contains({s.str_list(FUNCTION_WORDS['en'])}, w)] AS ws
@@ -69,9 +71,9 @@ def tfidf_vectors(t):
 
 @query("kmeans_intents")
 def kmeans_intents(t):
-    english = docs(t).where("lang = 'en'").select("doc_id", F.col("text").alias("customer_message"))
-    clustered = corpus.discover_intents(english, ["doc_id"])
-    return clustered.select("doc_id", F.col("cluster").cast("bigint").alias("cluster"))
+    """Clusters of the messages that the cleaning flow leaves."""
+    clustered = corpus.discover_intents(corpus.clean_pairs(pairs(t), ["pos"]), ["message_id"])
+    return clustered.select("message_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
 @query("lr_predict")
@@ -84,30 +86,31 @@ def lr_predict(t):
     return out.select("vec_id", "true_intent", "predicted_intent", F.round("confidence", 4).alias("confidence"))
 
 
+def split_messages(t):
+    """Every document as an encoded message, a fifth of each intent held out."""
+    rows = materialize(messages(docs(t), t).drop("source"), "messages")
+    return models.to_vector(ranking.stratified_split(rows, "true_intent", 0.2, 42, "query_id"), "embedding")
+
+
 @query("lr_evaluation")
 def lr_evaluation(t):
     """Guarded training rows, fit, prediction of the golden rows, report."""
-    rows = ranking.stratified_split(intents(t), "true_intent", 0.2, 42, "vec_id")
-    rows = models.to_vector(rows.join(
-        t("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("customer_message")), "vec_id"
-    ), "embedding")
+    rows = split_messages(t)
     golden = rows.where("split = 'test'")
-    train = evaluation.training_rows(rows, golden, "vec_id", "customer_message", ["vec_id"])
+    train = evaluation.training_rows(rows, golden, "query_id", "customer_message", ["query_id"])
     report = evaluation.evaluate_classifier(train, golden, "features", "true_intent")["report"]
     return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 @query("lr_triage")
 def lr_triage(t):
-    """The trained form of the flow: held-out vectors are triaged against the training history."""
-    rows = ranking.stratified_split(intents(t), "true_intent", 0.2, 42, "vec_id")
-    rows = models.to_vector(rows, "embedding")
+    """The trained form of the flow: held-out messages are triaged against the training history."""
+    rows = split_messages(t)
     model = models.fit_classifier(rows.where("split = 'train'"), "features", "true_intent")
     scored = models.predict(model, rows).drop("features", "probability")
-    texts = t("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("customer_message"))
-    queries = scored.where("split = 'test'").join(texts, "vec_id").withColumnRenamed("vec_id", "query_id")
+    queries = scored.where("split = 'test'")
     history = scored.where("split = 'train'").select(
-        F.col("vec_id").alias("history_id"), "embedding",
+        F.col("query_id").alias("history_id"), "embedding",
         F.col("predicted_intent").alias("intent"), F.col("confidence").alias("intent_confidence"),
     )
     found = plan.retrieve_cases(queries, history, BATCH, carry=("intent_confidence",))

@@ -140,7 +140,7 @@ def wide_to_long(t):
 
 @query("gather_cases", CASE_SQL + """
 SELECT c.query_id, c.rank, c.history_id, d.text AS customer_message, d.source
-FROM cases c JOIN documents d ON d.doc_id = c.history_id""")
+FROM cases c LEFT JOIN documents d ON d.doc_id = c.history_id""")
 def gather_cases(t):
     history = t("documents").select(
         F.col("doc_id").alias("history_id"), F.col("text").alias("customer_message"), "source"

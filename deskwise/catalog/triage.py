@@ -8,37 +8,63 @@ from deskwise.catalog import sql as s
 from deskwise.catalog.corpus import ABUSE, URGENT, docs
 from deskwise.catalog.evaluation import rounded
 from deskwise.catalog.registry import query
-from deskwise.catalog.retrieval import sides
 from deskwise.config import BATCH, RUNTIME, TriageConfig
 from deskwise.functions import lexicon as lx
-from deskwise.operators import decisions, failures, metrics, quality
+from deskwise.functions import text as tx
+from deskwise.functions.columns import compute_once
+from deskwise.operators import decisions, failures, features, metrics, models, quality
 from deskwise.plans import triage as plan
 from deskwise.session import materialize
 
 # The phrase lists use words that occur in the test prose; the flow keeps its own defaults besides.
-# Centroid confidences lie lower than those of the trained classifier, hence the threshold.
+# Centroid confidences lie lower, and similarities of word counts higher, than those of trained models, hence the thresholds.
 CONF = {
     "runtime": RUNTIME.with_(
-        min_confidence=0.12, min_similarity=0.26, security_terms=(*RUNTIME.security_terms, *ABUSE),
+        min_confidence=0.28, min_similarity=0.80, security_terms=(*RUNTIME.security_terms, *ABUSE),
         human_terms=(*RUNTIME.human_terms, *URGENT), complaint_intent="Payment / Billing",
         excluded_intent="Return / Refund",
     ),
     "batch": BATCH.with_(
-        min_confidence=0.12, min_similarity=0.26, security_terms=(*BATCH.security_terms, *ABUSE),
+        min_confidence=0.28, min_similarity=0.80, security_terms=(*BATCH.security_terms, *ABUSE),
         human_terms=(*BATCH.human_terms, *URGENT), complaint_intent="Payment / Billing",
         excluded_intent="Return / Refund",
     ),
 }
 
 
+DIMS = 64
+
+
+def messages(rows, t):
+    """Documents as messages: those with text, its vector and the intent their source and label stand for."""
+    c = F.col
+    names = F.array(*[F.lit(i) for i in lx.INTENTS])
+    at = (F.length("source") + F.coalesce("quality", F.lit(0)) * 4).cast("int")
+    known = rows.join(t("labels").select("doc_id", "quality"), "doc_id", "left").select(
+        c("doc_id").alias("query_id"), c("text").alias("customer_message"), "source", F.element_at(names, at).alias("true_intent")
+    )
+    cleaned = compute_once(known, {"__clean": tx.clean_text("customer_message", "runtime")}).where("__clean <> ''")
+    words = compute_once(cleaned, {"__words": F.concat_ws(" ", tx.tokens("__clean"))}).drop("__clean")
+    return features.encode_with(words, "__words", features.word_counter(DIMS)).drop("__words")
+
+
+def predict(rows, classes):
+    """Intent and confidence of every message; a row of known intent is left out of its own class."""
+    return models.centroid_predict(models.centroid_scores(rows, classes, own_label="true_intent"))
+
+
+def as_history(scored):
+    return scored.select(
+        F.col("query_id").alias("history_id"), "customer_message", F.concat_ws(" ", F.lit("answer from"), "source").alias("agent_response"),
+        "embedding", F.col("predicted_intent").alias("intent"), F.col("confidence").alias("intent_confidence"),
+    )
+
+
 def queries_with_text(t):
-    """(queries, history) where each vector carries the document of the same id as its message."""
-    queries, history = sides(t)
-    texts = docs(t).select("doc_id", F.col("text").alias("customer_message"), "source")
-    queries = queries.join(texts.drop("source"), F.col("query_id") == F.col("doc_id")).drop("doc_id")
-    answers = texts.withColumn("agent_response", F.concat_ws(" ", F.lit("answer from"), "source")).drop("source")
-    history = history.join(answers, F.col("history_id") == F.col("doc_id")).drop("doc_id")
-    return queries, history
+    """(queries, history): every document with text in both roles. Texts are cleaned and encoded once."""
+    rows = materialize(messages(docs(t), t), "messages")
+    scored = predict(rows, models.centroids(rows, "true_intent"))
+    return scored.drop("source"), as_history(scored)
 
 
 def triaged(t, cfg: TriageConfig, stored: bool = False):
@@ -49,8 +75,17 @@ def triaged(t, cfg: TriageConfig, stored: bool = False):
 
 # --- the same in SQL -----------------------------------------------------------------------
 
-CANDIDATES = s.CANDIDATES.replace("FROM v q JOIN v h", "FROM k q JOIN k h")
-KEPT = "k AS (SELECT v.* FROM v JOIN documents d ON d.doc_id = v.vec_id)"
+# Places of a message's words, their counts, and the counts at unit length.
+ENCODED = [
+    f"""words AS (SELECT d.doc_id AS vec_id, ({s.str_list(lx.INTENTS)})[length(d.source) + coalesce(l.quality, 0) * 4] AS true_intent,
+         list_transform(regexp_extract_all(lower({s.clean('d.text', 'runtime')}), '[{s.W}]{{2,}}'),
+                        lambda w: ('0x' || substr(md5(w), 1, 7))::INTEGER % {DIMS}) AS places
+         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE {s.clean('d.text', 'runtime')} <> '')""",
+    f"""counts AS (SELECT vec_id, true_intent,
+         list_transform(range({DIMS}), lambda i: len(list_filter(places, lambda p: p = i))::DOUBLE) AS c FROM words)""",
+    """v AS (SELECT vec_id, true_intent,
+         list_transform(c, lambda x: (x / sqrt(greatest(list_dot_product(c, c), 1)))::FLOAT::DOUBLE) AS e FROM counts)""",
+]
 
 
 def round4(c: str) -> str:
@@ -91,7 +126,7 @@ def triage_ctes(cfg: TriageConfig) -> list[str]:
     reason, final = decide_sql(cfg, "clean_message")
     r4 = round4 if cfg.profile == "runtime" else (lambda c: c)
     return [
-        s.VECTORS, s.CENTROIDS, s.PREDICTED, KEPT, CANDIDATES, s.CASES,
+        *ENCODED, s.CENTROIDS, s.PREDICTED, s.CANDIDATES, s.CASES,
         f"best AS (SELECT query_id, {best} AS best FROM cases GROUP BY query_id)",
         f"""base AS (SELECT p.vec_id AS query_id, d.text AS customer_message, {text} AS clean_message, p.true_intent,
              p.predicted_intent, p.confidence, coalesce(b.best, 0) AS best
@@ -214,16 +249,11 @@ def decision_mix(t):
     return metrics.frequency(triaged(t, CONF["batch"])[0], "decision")
 
 
-# Two decimals inside a reason text differ where a similarity lies on a rounding edge, so the mix
-# is taken over reasons without their numbers.
 @query("reason_mix", s.ctes(*triage_ctes(CONF["runtime"])) + """
 SELECT reason, count(*) AS count FROM (
-  SELECT unnest(string_split(regexp_replace(escalation_reason, ' \\([-0-9.]+\\)', '', 'g'), '; ')) AS reason
-  FROM tri WHERE decision = 'ESCALATE') GROUP BY reason""")
+  SELECT unnest(string_split(escalation_reason, '; ')) AS reason FROM tri WHERE decision = 'ESCALATE') GROUP BY reason""")
 def reason_mix(t):
-    rows = triaged(t, CONF["runtime"])[0].where("decision = 'ESCALATE'")
-    bare = F.regexp_replace("escalation_reason", r" \([-0-9.]+\)", "")
-    return metrics.reason_mix(rows.withColumn("escalation_reason", bare), "escalation_reason")
+    return metrics.reason_mix(triaged(t, CONF["runtime"])[0].where("decision = 'ESCALATE'"), "escalation_reason")
 
 
 # --- response screening --------------------------------------------------------------------

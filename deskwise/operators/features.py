@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -192,6 +194,29 @@ def encode_with(df: DataFrame, text: str, load_model, out: str = "embedding") ->
     return df.withColumn(out, encode(F.col(text)))
 
 
+def word_counter(dims: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Offline model for :func:`encode_with`: counts of space-separated words, of unit length.
+
+    A word's place is the first 28 bits of its md5 modulo ``dims``, the same on every engine. A text without
+    words is the zero vector.
+    """
+
+    def load():
+        @lru_cache(1 << 18)
+        def place(word: str) -> int:
+            return int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dims
+
+        def model(texts: list[str]) -> np.ndarray:
+            counts = np.zeros((len(texts), dims))
+            for row, text in zip(counts, texts, strict=True):
+                row += np.bincount([place(w) for w in text.split()], minlength=dims)
+            return counts / np.sqrt(np.maximum((counts * counts).sum(axis=1, keepdims=True), 1))
+
+        return model
+
+    return load
+
+
 def char_ngrams(df: DataFrame, text: str, n: int = 3, out: str = "grams") -> DataFrame:
     """Overlapping character n-grams of the whole lower-cased text."""
     low = tx.squeeze_space(F.lower(F.coalesce(F.col(text), F.lit(""))))

@@ -31,6 +31,7 @@ DECIMALS = 6
 SCALE = 10**DECIMALS
 SLACK = 1e-5  # covers rounding of vectors, angles and similarities in the pruning bound
 NONE = np.iinfo(np.int64).min
+STRETCH = 16  # blocks of history that one task of the grid search goes through
 
 
 def _matrix(column) -> np.ndarray:
@@ -90,10 +91,12 @@ class _Best:
             new_carried = [np.take_along_axis(c, keep, 1) for c in new_carried]
         self.sims, self.ids, self.carried = new_sims, new_ids, new_carried
 
-    def columns(self) -> list[np.ndarray] | None:
+    def columns(self, bound: np.ndarray | None = None) -> list[np.ndarray] | None:
+        """What was found, of every query only what reaches its ``bound``."""
         if self.sims is None:
             return None
-        rows, cols = np.nonzero(self.sims != NONE)
+        least = NONE + 1 if bound is None else np.rint(bound * SCALE).astype(np.int64)[:, None]
+        rows, cols = np.nonzero(self.sims >= least)
         return [
             self.qids[rows], self.ids[rows, cols], self.sims[rows, cols] / SCALE,
             *[c[rows, cols] for c in self.carried],
@@ -205,11 +208,11 @@ def _nearest_cells(queries: DataFrame, pivots, sizes, k: int) -> DataFrame:
 
 
 def _reachable_cells(probed: DataFrame, pivots, radii, sizes) -> DataFrame:
-    """Cells not visited yet whose best possible similarity reaches the query's bound."""
+    """Cells not visited yet whose best possible similarity reaches the query's bound, which stays with the row."""
     sc = probed.sparkSession.sparkContext
     shipped = sc.broadcast((pivots, radii, sizes))
     schema = T.StructType(
-        [f for f in probed.schema.fields if f.name not in ("cells", "bound")]
+        [f for f in probed.schema.fields if f.name != "cells"]
         + [T.StructField("cells", T.ArrayType(T.IntegerType()))]
     )
 
@@ -225,7 +228,7 @@ def _reachable_cells(probed: DataFrame, pivots, radii, sizes) -> DataFrame:
             for i, seen in enumerate(done):
                 visit[i, seen] = False
                 cells.append(np.flatnonzero(visit[i]).astype(np.int32))
-            keep = [c for n, c in zip(batch.schema.names, batch.columns) if n not in ("cells", "bound")]
+            keep = [c for n, c in zip(batch.schema.names, batch.columns) if n != "cells"]
             yield pa.RecordBatch.from_arrays(
                 [*keep, pa.array(cells, pa.list_(pa.int32()))],
                 names=[f.name for f in schema.fields],
@@ -234,39 +237,62 @@ def _reachable_cells(probed: DataFrame, pivots, radii, sizes) -> DataFrame:
     return probed.mapInArrow(prune, schema)
 
 
-def _block_join(probes, filed, splits, k, carry, exclude_self, block_rows, schema) -> DataFrame:
-    """Top k per query and block. ``probes`` = (query_id, vector, cell), ``splits`` = history cuts.
+def _best_rows(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of columns (query_id, history_id, similarity, ...), the best ``k`` rows of every query."""
+    query, item = (np.unique(c, return_inverse=True)[1] for c in found[:2])
+    order = np.lexsort((item, -found[2], query))
+    query = query[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return [c[order[place < k]] for c in found]
 
-    Both sides are replicated only over the cuts of the other side of the same cell.
+
+def _block_join(probes, filed, stretches, k, carry, exclude_self, block_rows, schema) -> DataFrame:
+    """Top k per query and stretch of cells, of what reaches the query's bound.
+
+    ``probes`` = (query_id, vector, bound, stretch, cells), one row per query and stretch it visits;
+    ``stretches`` = (cell, stretch, hcuts): neighbouring small cells form one stretch, a large cell is cut. Both sides are replicated only over the cuts of the other side of
+    the same stretch. A task takes cell by cell, in blocks, and emits at most ``k`` rows of a query.
     """
     arrow = _arrow_schema(schema)
-    load = probes.groupBy("cell").agg(
+    load = probes.groupBy("stretch").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("qcuts")
     )
-    cuts = load.join(splits, "cell")  # one row per pivot: bounded by the number of pivots
-    q = probes.join(F.broadcast(cuts), "cell").select(
-        "cell",
+    cuts = stretches.select("stretch", "hcuts").distinct().join(load, "stretch")  # at most one row per pivot
+    q = probes.join(F.broadcast(cuts), "stretch").select(
+        "stretch",
         F.pmod(F.xxhash64("query_id"), F.col("qcuts")).cast("int").alias("qcut"),
         F.explode(F.sequence(F.lit(0), F.col("hcuts") - 1)).alias("hcut"),
-        "query_id", "vector",
+        "cells", "query_id", "vector", "bound",
     )
-    h = filed.join(F.broadcast(cuts), "cell").select(
-        "cell",
+    h = filed.join(F.broadcast(stretches.join(load, "stretch")), "cell").select(
+        F.col("stretch").alias("stretch"),
         F.explode(F.sequence(F.lit(0), F.col("qcuts") - 1)).alias("qcut"),
         F.pmod(F.xxhash64("history_id"), F.col("hcuts")).cast("int").alias("hcut"),
-        "history_id", "vector", *carry,
+        "cell", "history_id", "vector", *carry,
     )
-    ncarry = len(carry)
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow.empty_table()
-        best = _Best(_array(left["query_id"]), _matrix(left["vector"]), k, exclude_self)
-        extra = [_array(right[c]) for c in carry] if ncarry else []
-        best.add(_array(right["history_id"]), _matrix(right["vector"]), extra)
-        return pa.Table.from_batches([_batch(best.columns(), arrow)])
+        visits, cells = left["cells"].combine_chunks(), _array(right["cell"])
+        asked, asking = _array(visits.flatten()), np.repeat(np.arange(len(visits)), _array(visits.value_lengths()))
+        kept, rows = [], 0
+        for cell in np.intersect1d(asked, cells):
+            part, block = left.take(pa.array(asking[asked == cell])), right.filter(pa.array(cells == cell))
+            best = _Best(_array(part["query_id"]), _matrix(part["vector"]), k, exclude_self)
+            for i in range(0, block.num_rows, block_rows):
+                items = block.slice(i, block_rows)
+                best.add(_array(items["history_id"]), _matrix(items["vector"]), [_array(items[c]) for c in carry])
+            kept.append(best.columns(_array(part["bound"])))
+            rows += len(kept[-1][0])
+            if rows > 2 * k * block_rows:
+                kept = [_best_rows([np.concatenate(c) for c in zip(*kept)], k)]
+                rows = len(kept[0][0])
+        if not rows:
+            return arrow.empty_table()
+        return pa.Table.from_batches([_batch(_best_rows([np.concatenate(c) for c in zip(*kept)], k), arrow)])
 
-    keys = ["cell", "qcut", "hcut"]
+    keys = ["stretch", "qcut", "hcut"]
     return q.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInArrow(product, schema)
 
 
@@ -337,17 +363,24 @@ def _grid_search(queries, index: HistoryIndex, k, carry, exclude_self, qid_type,
     if not index.sizes.any():
         return queries.sparkSession.createDataFrame([], schema)
     filed = index.rows.select("history_id", "vector", "cell", *carry)
-    splits = queries.sparkSession.createDataFrame(
-        [(c, int(-(-n // block_rows))) for c, n in enumerate(index.sizes.tolist()) if n], "cell int, hcuts int"
-    )
+    span = STRETCH * block_rows
+    stretch = (np.cumsum(index.sizes) - index.sizes) // span
+    placed = [(c, int(stretch[c]), int(-(-n // span))) for c, n in enumerate(index.sizes.tolist()) if n]
+    cuts = {}
+    for _, where, hcuts in placed:  # a stretch is cut as its largest cell asks for
+        cuts[where] = max(cuts.get(where, 1), hcuts)
+    stretches = queries.sparkSession.createDataFrame([(c, w, cuts[w]) for c, w, _ in placed], "cell int, stretch int, hcuts int")
 
     def probe(visits: DataFrame) -> DataFrame:
-        opened = visits.select("query_id", "vector", F.explode("cells").alias("cell"))
-        return _block_join(opened, filed, splits, k, carry, exclude_self, block_rows, schema)
+        at = F.transform("cells", lambda c: F.element_at(F.lit(stretch.tolist()), c + 1))
+        opened = visits.withColumn("at", at).withColumn("stretch", F.explode(F.array_distinct("at")))
+        mine = F.filter("cells", lambda c: F.element_at(F.lit(stretch.tolist()), c + 1) == F.col("stretch"))
+        opened = opened.select("query_id", "vector", "bound", F.col("stretch").cast("int").alias("stretch"), mine.alias("cells"))
+        return _block_join(opened, filed, stretches, k, carry, exclude_self, block_rows, schema)
 
     wanted = k + int(exclude_self)
     near = materialize(_nearest_cells(queries, index.pivots, index.sizes, wanted), "near")
-    first = materialize(top_candidates(probe(near), k), "first")
+    first = materialize(top_candidates(probe(near.withColumn("bound", F.lit(-2.0))), k), "first")
     bounds = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("bound")
     )
@@ -421,8 +454,8 @@ def rerank(
 
 
 def gather_cases(cases: DataFrame, history: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fetch wide history columns for the few winning rows only."""
-    return cases.join(history.select("history_id", *columns), "history_id")
+    """Fetch wide history columns for the few winning rows only; a case without a history row keeps nulls."""
+    return cases.join(history.select("history_id", *columns), "history_id", "left")
 
 
 def best_similarity(cases: DataFrame, profile: str) -> DataFrame:

@@ -169,3 +169,20 @@ def test_far_cells_are_not_visited(spark):
     assert found(rt.semantic_candidates(queries, None, k=5, strategy="grid", index=index)) == brute(
         list(range(6)), unit(centres), list(range(600)), history, 5
     )
+
+
+def test_grid_search_emits_few_rows(spark, monkeypatch):
+    """Before the last ranking there are at most three times the wanted rows, not nearly all pairs."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    history = vectors.select(F.col("vec_id").alias("history_id"), "embedding")
+    ranked, emitted = rt.top_candidates, []
+
+    def counted(pairs, k):
+        emitted.append(pairs.count())
+        return ranked(pairs, k)
+
+    want = found(rt.semantic_candidates(queries, history, exclude_self=True, strategy="broadcast"))
+    monkeypatch.setattr(rt, "top_candidates", counted)
+    assert found(rt.semantic_candidates(queries, history, exclude_self=True, strategy="grid", block_rows=256)) == want
+    assert sum(emitted) <= 3 * 50 * queries.count()

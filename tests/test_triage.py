@@ -105,3 +105,16 @@ def test_blank_messages_are_set_apart(spark):
 def test_decision_normaliser(spark):
     df = spark.createDataFrame([(" escalate \n",)], "d string")
     assert df.select(dc.normalise_decision(F.col("d"))).first()[0] == "ESCALATE"
+
+
+def test_every_document_with_text_is_a_message(spark):
+    from deskwise.catalog.triage import messages
+
+    rows = [(1, "Where is my parcel? Where?", "web"), (2, "  ", "web"), (3, None, "forum"), (4, "?!", "news")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality long")
+    got = {r["query_id"]: r for r in messages(docs, lambda name: labels).collect()}
+    assert sorted(got) == [1, 4]
+    assert abs(sum(x * x for x in got[1]["embedding"]) - 1) < 1e-6
+    assert sorted(set(got[1]["embedding"]))[-1] == max(got[1]["embedding"]) and sum(got[4]["embedding"]) == 0
+    assert got[1]["true_intent"] != got[4]["true_intent"]
