@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
@@ -90,29 +90,30 @@ def tfidf_long(
 ) -> DataFrame:
     """(id, term, tfidf) with idf = ln((1+n)/(1+df)) + 1 and unit length per document.
 
-    Documents (one row each, so evenly) are partitioned by id once; the vocabulary, the counting and
-    the length window all start from that one exchange. The vocabulary, at most ``max_features``
-    rows, is broadcast.
+    Only the vocabulary pass shuffles, and it moves counted terms. The terms of a document are counted, weighted
+    and scaled where the document lies; the names, at most ``max_features`` rows, are broadcast.
     """
-    marker = F.array(F.lit(None).cast("string"))  # one per document: its df is their number
-    tf = (
-        df.select(id_col, terms)
-        .repartition(id_col)
-        .select(id_col, F.explode(F.concat(terms, marker)).alias("term"))
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    )
-    counts = tf.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf")
-    )
-    vocab = F.broadcast(commonest(counts, min_df, max_features).select("term", "df", "n"))
-    tf = tf.join(vocab, "term")
-    weight = F.log("tf") + 1 if sublinear else F.col("tf")
-    raw = tf.select(
-        id_col, "term", (weight * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("w")
-    )
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("w") / length).alias("tfidf"))
+    try:
+        stages = fit_tfidf(df, terms, "__unit", min_df, max_features).stages
+    except EmptyVocabulary:
+        return df.select(id_col, F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).where(F.lit(False))
+    rows = stages[0].transform(df.select(id_col, F.coalesce(terms, F.array().cast("array<string>")).alias(terms)))
+    rows = stages[-2].transform(rows)
+    counts, weighted = F.unwrap_udt("__counts"), F.unwrap_udt("__weighted")
+    rows = rows.select(id_col, counts["indices"].alias("i"), counts["values"].alias("tf"), weighted["values"].alias("w"))
+
+    def weight(e: Column) -> Column:
+        return (e["w"] * (F.log(e["tf"]) + 1) / e["tf"] if sublinear else e["w"]).alias("w")
+
+    rows = rows.select(id_col, F.transform(F.arrays_zip("i", "tf", "w"), lambda e: F.struct(e["i"].alias("i"), weight(e))).alias("e"))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
+    rows = rows.select(id_col, length.alias("length"), F.inline("e"))
+    names = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(stages[0].vocabulary)), "i int, term string"))
+    return rows.join(names, "i").select(id_col, "term", (F.col("w") / F.col("length")).alias("tfidf"))
+
+
+class EmptyVocabulary(ValueError):
+    """No term occurs in enough documents."""
 
 
 class SublinearTf(
@@ -125,7 +126,7 @@ class SublinearTf(
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        damp = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+        damp = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT(), useArrow=True)
         return dataset.withColumn(self.getOutputCol(), damp(self.getInputCol()))
 
 
@@ -144,7 +145,7 @@ def fit_tfidf(
     """
     rows = commonest(term_counts(df, terms), min_df, max_features).collect()
     if not rows:
-        raise ValueError("empty vocabulary: lower min_df")
+        raise EmptyVocabulary("empty vocabulary: lower min_df")
     n_docs = rows[0]["n"]
     counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], terms, "__counts")
     idf = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
