@@ -7,8 +7,10 @@ defaults to ASCII: ``(?U)`` widens ``\\s``, and the separators U+001C to U+001F
 from __future__ import annotations
 
 import html
+import json
 from collections.abc import Sequence
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,11 +54,50 @@ def digest(*columns: Column | str) -> Column:
     return F.sha2(parts[0] if len(parts) == 1 else F.concat_ws("\0", *parts), 256)
 
 
+NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+LEGACY = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)  # valid without a semicolon
+DECIMAL, HEXADECIMAL, NAME = "^#([0-9]+);?", "^#[xX]([0-9a-fA-F]+);?", "^([A-Za-z][A-Za-z0-9]{0,31});"
+PREFIX = f"^({'|'.join(LEGACY)})"
+C1 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
+def _character(digits: Column, base: int) -> Column:
+    """The character a numeric reference stands for, by the rules of HTML5."""
+    short = F.ltrim(digits, F.lit("0"))
+    number = F.conv(F.when(F.length(short).between(1, 7), short).otherwise("0"), base, 10).cast("bigint")
+
+    def char(n: Column) -> Column:
+        bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        none = n.between(1, 8) | n.between(0xE, 0x1F) | n.isin(0xB, 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        code = F.unhex(F.lpad(F.hex(F.when(~bad, n).otherwise(0)), 8, "0"))
+        return (
+            F.when(bad, "\uFFFD").when(n.between(0x80, 0x9F), F.substr(F.lit(C1), (n - 0x7F).cast("int"), F.lit(1)))
+            .when(none, "").otherwise(F.decode(code, "UTF-32"))
+        )
+
+    return let(number, char)
+
+
+def _after_ampersand(p: Column, named: Column) -> Column:
+    """The text behind an ampersand, its entity decoded, or the ampersand put back."""
+    value = F.try_element_at(named, F.regexp_extract(p, NAME, 1))
+    legacy = F.try_element_at(named, F.regexp_extract(p, PREFIX, 1))
+    return (
+        F.when(p.rlike(DECIMAL), F.concat(_character(F.regexp_extract(p, DECIMAL, 1), 10), F.regexp_replace(p, DECIMAL, "")))
+        .when(p.rlike(HEXADECIMAL), F.concat(_character(F.regexp_extract(p, HEXADECIMAL, 1), 16), F.regexp_replace(p, HEXADECIMAL, "")))
+        .when(value.isNotNull(), F.concat(value, F.regexp_replace(p, NAME, "")))
+        .when(legacy.isNotNull(), F.concat(legacy, F.regexp_replace(p, PREFIX, "")))
+        .otherwise(F.concat(F.lit("&"), p))
+    )
+
+
 def decode_entities(c: Column | str) -> Column:
-    """Decode the common HTML entities inside the JVM (one pass: ``&amp;lt;`` gives ``&lt;``)."""
+    """Decode every HTML5 entity, named or numeric, inside the JVM (one pass: ``&amp;lt;`` gives ``&lt;``)."""
     text = col(c)
-    decoded = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), lx.ENTITIES, text)
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string, string>")  # folded to one constant
+    parts = F.split(text, "&", -1)
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: _after_ampersand(p, named))
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())

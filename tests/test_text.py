@@ -1,4 +1,5 @@
 import html
+import html.entities
 
 import pytest
 from conftest import column
@@ -60,6 +61,18 @@ def test_entities_column_mode_agrees_with_exact_mode(spark):
     assert all(r["a"] == r["b"] == html.unescape(r["html"]) for r in got)
 
 
+def test_every_entity_is_decoded_inside_the_jvm(spark):
+    broken = ["&", "&&amp;", "&amp;lt;", "&notit;", "&amp", "&ampx", "&;", "&#;", "&#x;", "&nosuch;", "a&b=c&copy=1", "&CounterClockwiseContourIntegral;"]
+    codes = [0, 1, 8, 9, 10, 13, 0x1F, 65, 0x7F, 0x80, 0x81, 0x92, 0x9F, 0xA0, 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x1FFFF, 0x110000, 10**9, 10**30]
+    numbers = [f"x&#{n}{end}y" for n in codes for end in (";", "")] + [f"x&#x000{n:x};y" for n in codes]
+    names = ["".join(f"&{name}|" for name in html.entities.html5)]
+    sent = broken + numbers + names
+    df = spark.createDataFrame(list(enumerate([*sent, None])), "i int, t string").repartition(1)
+    got = {r["i"]: r["d"] for r in df.select("i", tx.decode_entities("t").alias("d")).collect()}
+    assert [got[i] for i in range(len(sent))] == [html.unescape(t) for t in sent]
+    assert got[len(sent)] is None
+
+
 def test_exact_entities_keep_null(spark):
     df = texts(spark, "&frac12;&#8364;", None)
     assert column(df, tx.decode_entities_exact("t")) == ["½€", None]
