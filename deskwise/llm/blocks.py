@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -35,6 +35,20 @@ def hash_unit(col: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(col, F.lit(seed)), 11) / float(1 << 53)
 
 
+def join_counted(rows: DataFrame, lookup: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``lookup``: one row per key, whose column ``n`` counts the rows of that key.
+
+    Keys that hold more than a ``share``-th of the rows are fewer than ``share``. They are broadcast and their rows
+    stay where they are; only the other keys are shuffled, so no task gathers a hot key. Rows without a
+    key in the lookup go, as in any inner join.
+    """
+    total = lookup.agg(F.sum("n")).first()[0] or 0
+    hot = lookup.where(F.col("n") * share > total).drop("n")
+    rest = lookup.where(F.col("n") * share <= total).drop("n")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with at most ``limit`` bytes of text each (or one longer row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

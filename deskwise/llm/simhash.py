@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from deskwise.llm.blocks import blocks, hash_unit, text_or_empty
+from deskwise.llm.blocks import blocks, hash_unit, join_counted, text_or_empty
 from deskwise.session import broadcast_if_small, materialize
 
 SEED = 42
@@ -270,8 +270,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     tied = components(links(distinct, bits))
     rooted = distinct.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(named, "root"), "fp").select("doc_id", "digest", "fp", "root", "component_id")
+    rooted = materialize(rooted, "rooted")
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "named")
+    return rows.join(join_counted(rooted.select("fp", "root"), named, "root"), "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -292,9 +293,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     dropped rows is too large to be sent around. Of repeated rows one stays.
     """
     rows = materialize(grouped(docs, id_col, text_col, shingle, bits), "grouped")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("best"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("best")
+    best = materialize(rows.groupBy("root").agg(first, F.count("*").alias("n")), "best")
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
-    lost = rows.join(best, "root").where(~same).select("doc_id", "digest").distinct()
+    lost = join_counted(rows.select("root", "doc_id", "digest"), best, "root").where(~same).select("doc_id", "digest").distinct()
     twice = materialize(rows.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "repeated")
 
     def on(other: DataFrame, how: str, of: DataFrame) -> DataFrame:
