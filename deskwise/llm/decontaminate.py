@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskwise.llm.blocks import ascii_lower, text_or_empty
+from deskwise.operators.joins import lookup_join
 from deskwise.session import broadcast_if_small, materialize
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -56,9 +57,9 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """
     phrases = windows.select("terms").distinct().withColumn("phrase", F.xxhash64("terms"))
     postings = index.where(F.col("term").isNotNull()).select(*DOC, "pos", "term")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("n"))
+    frequency = materialize(postings.groupBy(F.col("term").alias("known")).agg(F.count("*").alias("n")), "frequencies")
     parts = phrases.select("terms", F.posexplode("terms").alias("offset", "term"))
-    known = parts.join(frequency, "term").groupBy("terms").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by_n"))
+    known = lookup_join(parts, "term", frequency, "known", "inner").groupBy("terms").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by_n"))
     plans = materialize(
         known.where(F.size("by_n") == F.size("terms")).select("terms", "by_n"), "phrases"
     )
