@@ -35,8 +35,7 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), words_of(text).alias("words"))
     rows = rows.select(*DOC, F.size("words").cast("long").alias("size"), F.posexplode_outer("words").alias("pos", "word"))
-    known = broadcast_if_small(terms.select("term").distinct())
-    rows = rows.join(known, F.col("word") == F.col("term"), "left")
+    rows = lookup_join(rows, "word", terms.select("term").distinct(), "term", "left")
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     return materialize(
         rows.where(F.col("term").isNotNull() | first).select(*DOC, "pos", "term", F.when(first, F.col("size")).alias("n_words")),
