@@ -1,7 +1,7 @@
 import hashlib
 from itertools import accumulate
 
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from deskwise.operators import ranking as rk

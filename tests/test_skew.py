@@ -1,7 +1,7 @@
 """Plans that hold when one key has a third of the rows, and both sides of every switch by size."""
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from deskwise import session
 from deskwise.operators import curation as cu

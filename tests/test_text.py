@@ -2,7 +2,7 @@ import html
 import html.entities
 
 import pytest
-from conftest import column
+from frames import column
 from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
