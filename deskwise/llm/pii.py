@@ -28,7 +28,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # What the labelers may add to the base.
 LOCAL_PHONE = re.compile(r"(?<![\w+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)")
-HIDDEN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(] ?(?:at|@) ?[\])] ?[A-Za-z0-9-]+(?: ?[\[(] ?(?:dot|\.) ?[\])] ?[A-Za-z0-9-]+)+", re.I)
+HIDDEN_AT = re.compile(r"[\[(] ?(?:at|@) ?[\])]", re.I)  # the local part is looked for backwards from it
+HIDDEN_DOMAIN = re.compile(r" ?[A-Za-z0-9-]+(?: ?[\[(] ?(?:dot|\.) ?[\])] ?[A-Za-z0-9-]+)+", re.I)
 SECRET = re.compile(r"\b([A-Za-z_]{2,24}) ?[=:] ?\"([^\"\s]{12,})\"")
 
 CONTEXT = {
@@ -155,16 +156,28 @@ def candidates(text: str | None) -> list[Span]:
         for m in LOCAL_PHONE.finditer(text):
             add("phone", *m.span())
     if "(" in text or "[" in text:
-        for m in re.finditer(r"[\[(] ?(?:at|@) ?[\])]", text, re.I):  # only near such a mark is the long pattern tried
-            found = HIDDEN_EMAIL.search(text, max(0, m.start() - 64), m.end() + 255)
-            if found and found.start() < m.start() < found.end():
-                add("email", *found.span())
+        for start, end in hidden_emails(text):
+            add("email", start, end)
     if '"' in text:
         for m in SECRET.finditer(text):
             add("secret", *m.span(2))
     return spans
 
 
+def hidden_emails(text: str) -> list[tuple[int, int]]:
+    """Addresses with a bracketed at and dots, leftmost and not overlapping; every mark is tried, at any distance."""
+    out, free = [], 0
+    for m in HIDDEN_AT.finditer(text):
+        begin = last = m.start() - (m.start() > free and text[m.start() - 1] == " ")
+        while begin > free and (text[begin - 1] in LOCAL_CHARS or text[begin - 1] in "\u0130\u0131\u017f\u212a"):  # these four fold to letters
+            begin -= 1
+        domain = HIDDEN_DOMAIN.match(text, m.end()) if begin < last else None
+        if domain:
+            out.append((begin, domain.end()))
+            free = domain.end()
+    return out
+
+
 def _first_ending_after(taken: list[tuple[int, int]], start: int) -> int:
     """First taken span that ends after ``start``; base spans of different kinds may overlap, so look a little back."""
     low, high = 0, len(taken)

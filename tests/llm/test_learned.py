@@ -41,6 +41,17 @@ def test_base_spans():
         assert sorted(pii.base_spans(text)) == brute_spans(text), text
 
 
+def test_every_hidden_address_of_a_line():
+    line = "ann [at] mail [dot] com, bob [at] mail [dot] com, cat(at)mail(dot)com; x [at] y, dan (@) a-b [.] co [dot] uk"
+    pattern = r"[A-Za-z0-9._%+-]+ ?[\[(] ?(?:at|@) ?[\])] ?[A-Za-z0-9-]+(?: ?[\[(] ?(?:dot|\.) ?[\])] ?[A-Za-z0-9-]+)+"
+    rng, bits = random.Random(3), ["ann", "b.c", " ", " ", "[at]", "(at)", "[ @ ]", "[dot]", "(dot)", "( . )", "-", ", ", "m" * 70]
+    for text in [line, "a" * 100 + line, *("".join(rng.choices(bits, k=30)) for _ in range(3000))]:
+        spans = [m.span() for m in re.finditer(pattern, text, re.I)]
+        assert pii.hidden_emails(text) == spans, text
+    found = [line[c.start : c.end] for c in pii.candidates(line) if c.kind == "email"]
+    assert found == ["ann [at] mail [dot] com", "bob [at] mail [dot] com", "cat(at)mail(dot)com", "dan (@) a-b [.] co [dot] uk"]
+
+
 def test_personal_data(spark, hostile, empty, sf):
     model = pii.fit(sf("documents"))
     found = pii.find(sf("documents"), model).collect()
