@@ -28,6 +28,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # What the labelers may add to the base.
 LOCAL_PHONE = re.compile(r"(?<![\w+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)")
+LOCAL_PHONE_END = re.compile(r"[0-9]{3}[ .-][0-9]{4}(?!\w)")  # every local phone ends so, whatever its separators
 HIDDEN_AT = re.compile(r"[\[(] ?(?:at|@) ?[\])]", re.I)  # the local part is looked for backwards from it
 HIDDEN_DOMAIN = re.compile(r" ?[A-Za-z0-9-]+(?: ?[\[(] ?(?:dot|\.) ?[\])] ?[A-Za-z0-9-]+)+", re.I)
 SECRET = re.compile(r"\b([A-Za-z_]{2,24}) ?[=:] ?\"([^\"\s]{12,})\"")
@@ -152,7 +153,7 @@ def candidates(text: str | None) -> list[Span]:
     for m in CARD.finditer(text):
         if 15 <= len(re.sub("[^0-9]", "", m[0])) <= 16 if m.end() - m.start() >= 15 else False:
             add("card", *m.span())
-    if "-" in text or "(" in text:
+    if LOCAL_PHONE_END.search(text):
         for m in LOCAL_PHONE.finditer(text):
             add("phone", *m.span())
     if "(" in text or "[" in text:

@@ -52,6 +52,18 @@ def test_every_hidden_address_of_a_line():
     assert found == ["ann [at] mail [dot] com", "bob [at] mail [dot] com", "cat(at)mail(dot)com", "dan (@) a-b [.] co [dot] uk"]
 
 
+def test_local_phones_with_any_separator():
+    rng, bits = random.Random(4), ["555", "0123", "4567", " ", ".", "-", "(", ")", "+", "x", "\n"]
+    for body in ("555.123.4567", "555 123 4567", "(555) 123 4567", "555-123-4567", "555 123-4567"):
+        found = [(c.kind, c.start, c.end) for c in pii.candidates(f"call {body} today")]
+        assert found == [("phone", 5, 5 + len(body))], body
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=12))
+        taken = [(s, e) for _, s, e in pii.base_spans(text)]
+        free = [m.span() for m in pii.LOCAL_PHONE.finditer(text) if all(e <= m.start() or m.end() <= s for s, e in taken)]
+        assert [(c.start, c.end) for c in pii.candidates(text) if c.kind == "phone" and not c.base] == free, text
+
+
 def test_personal_data(spark, hostile, empty, sf):
     model = pii.fit(sf("documents"))
     found = pii.find(sf("documents"), model).collect()
