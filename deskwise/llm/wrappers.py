@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from deskwise.llm.blocks import blocks
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -39,6 +39,8 @@ NOT_MAIN_WORDS = frozenset(
     "pager toolbar search complementary contentinfo hidden skip form".split()
 )
 MAIN_WORDS = frozenset("article articlebody main maincontent".split())
+LANDMARKS = frozenset("html body main article".split())  # what a class says of these is about the layout
+TALK_WORDS = frozenset("comment comments reply replies discussion disqus respond".split())
 MAX_DEPTH = 150  # what is nested deeper counts as nested this deep; its text stays
 
 
@@ -53,17 +55,64 @@ class Block:
 
 
 def _sig(tag: str, attributes: str) -> str:
-    """Tag, class words without digits, and role: what tells blocks of a template apart."""
+    """Tag, class words without digits, and role: what tells blocks of a template apart.
+
+    What an attribute says outright (hidden, a role that is not main text) is a word that begins with ``!``.
+    """
     words = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            words.add("hidden")
-        found = re.findall(r"[a-z]+", value)
-        words.update(found if name != "id" else (w for w in found if w in NOT_MAIN_WORDS or w in MAIN_WORDS))
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true":
+            words.add("!hidden")
+        elif name in ("class", "id", "role", "itemprop"):
+            found = re.findall(r"[a-z]+", value)
+            words.update(found if name != "id" else (w for w in found if w in NOT_MAIN_WORDS or w in MAIN_WORDS))
+            if name == "role":
+                words.update("!" + w for w in found if w in NOT_MAIN_WORDS)
     return ".".join([tag, *sorted(words - {"true", "false"})])
 
 
+def _outright(sig: str) -> bool:
+    """Is a block no main text by its tag or by an attribute, whatever its class words and its text are?"""
+    return sig.split(".", 1)[0] in NOT_MAIN or ".!" in sig
+
+
+def _spare(root: Block) -> None:
+    """Mark with the word ``~`` the blocks that their class words must not discard: those that hold most of the
+    page's running text. Blocks with words for discussions must also hold all headings, article and main
+    elements of the page, or all of its running text; a long discussion below a short text stays one.
+
+    Articles are never discarded for their words, but comments that are articles below or inside another one are.
+    """
+    order: list[tuple[Block, int, list[str]]] = []
+    todo = [(root, -1)]
+    while todo:
+        block, up = todo.pop()
+        if not _outright(block.sig):
+            todo += [(kid, len(order)) for kid in reversed(block.kids)]
+            order.append((block, up, block.sig.split(".")))
+    if not any(not NOT_MAIN_WORDS.isdisjoint(sig) for _, _, sig in order):
+        return
+    text, marks, article = [0] * len(order), [0] * len(order), False
+    for at in range(len(order) - 1, -1, -1):
+        block, up, sig = order[at]
+        if block.text:
+            text[at] = max(0, len(block.text) - 2 * block.links)
+        marks[at] += sig[0] in ("h1", "main") or sig[0] == "article" and "comment" not in sig and "reply" not in sig
+        if at:
+            text[up] += text[at]
+            marks[up] += marks[at]
+    for at, (block, _, sig) in enumerate(order):
+        if sig[0] == "article":
+            if "comment" not in sig and "reply" not in sig:
+                article = True
+            elif article:
+                block.sig += ".!comment"
+        elif sig[0] not in LANDMARKS and not NOT_MAIN_WORDS.isdisjoint(sig[1:]) and 2 * text[at] > text[0]:
+            if TALK_WORDS.isdisjoint(sig) or text[at] == text[0] or marks[at] == marks[0] > 0:
+                block.sig += ".~"
+
+
 def parse(page: str | None) -> Block:
     """The blocks of a page as a tree; markup that is cut off, unclosed or crossed is closed where it must be."""
     page = page or ""
@@ -120,6 +169,7 @@ def parse(page: str | None) -> Block:
         if tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
             stack.append((tag, block))
     flush()
+    _spare(root)
     return root
 
 
@@ -226,7 +276,7 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def is_boilerplate(part: Part) -> bool:
     tag, *words = part.sig.split(".")
-    return tag in NOT_MAIN or any(w in NOT_MAIN_WORDS for w in words)
+    return _outright(part.sig) or tag not in LANDMARKS and "~" not in words and any(w in NOT_MAIN_WORDS for w in words)
 
 
 def is_main(part: Part) -> bool:

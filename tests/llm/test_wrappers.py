@@ -17,6 +17,31 @@ def test_single_pages():
     assert extract("<article><p>a<p>b</article><p>outside", None) == "a\n\nb"
 
 
+def test_class_words_and_styles_do_not_discard_the_text():
+    text = "<p>A line of running text.</p><p>Another line of it.</p>"
+    whole = "A line of running text.\n\nAnother line of it."
+    for name in ("right-sidebar", "has-sidebar", "post with-sidebar", "comments-open", "hidden-xs no-ads"):
+        for tag in ("body", "main", "article", "div", "section"):
+            assert extract(f'<html class="{name}"><{tag} class="{name}">{text}</{tag}>', None) == whole, (tag, name)
+        assert extract(f'<div class="x {name}"><h1>T</h1><article>{text}</article></div><div>Legal</div>', None) == whole, name
+    for attribute in ('style="overflow:hidden"', "style=visibility:hidden", 'data-hidden title="role=menu"', 'aria-hidden="false"', 'data-class="ad"'):
+        assert extract(f"<body><article {attribute}>{text}</article>", None) == extract(f"<div><div {attribute}>{text}</div>", None) == whole, attribute
+    for attribute in ("hidden", 'hidden="until-found"', "HIDDEN=''", 'aria-hidden="true"', 'role="navigation"', "class=sidebar", "id='comments'"):
+        assert extract(f"<div>{text}</div><div {attribute}><p>Not this.</p></div>", None) == whole, attribute
+    assert extract(f"<article hidden>{text}</article>", None) == ""
+    talk = "<p>A long comment.</p>" * 20
+    for page in (f"<div>{text}</div><div id=comments>{talk}</div>", f"<article>{text}<article class=comment>{talk}</article></article>"):
+        assert extract(page, None) == whole, page
+
+
+def test_class_words_differ_between_pages_of_a_host(spark):
+    text = "<p>{0} running text of a page</p><p>{0} and more of it</p>"
+    bodies = ["<body class='home right-sidebar'><div class='with-sidebar'>{0}</div>", "<body><div class='with-sidebar'>{0}</div><div class=sidebar>s</div>"]
+    table = spark.createDataFrame([(k, "http://h.org", bodies[k % 2].format(text.format(k))) for k in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_texts(table, wrappers.infer_wrappers(table)).collect()}
+    assert got == {k: f"{k} running text of a page\n\n{k} and more of it" for k in range(12)}
+
+
 def test_alignment_makes_optional_and_repeated_parts():
     one, two = (wrap(parse(x)) for x in ("<h1>a</h1><p>x</p><p>y</p>", "<h1>a</h1><table></table><p>z</p>"))
     merged = wrappers._same_part(one, two)
