@@ -6,9 +6,11 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +43,6 @@ NOT_MAIN_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody main maincontent".split())
 LANDMARKS = frozenset("html body main article".split())  # what a class says of these is about the layout
 TALK_WORDS = frozenset("comment comments reply replies discussion disqus respond".split())
-MAX_DEPTH = 150  # what is nested deeper counts as nested this deep; its text stays
 
 
 @dataclass
@@ -118,6 +119,7 @@ def parse(page: str | None) -> Block:
     page = page or ""
     root = Block("#page")
     stack: list[tuple[str, Block]] = [("#page", root)]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag in the stack
     run: list[str] = []
     links = in_link = at = 0
 
@@ -128,6 +130,10 @@ def parse(page: str | None) -> Block:
             stack[-1][1].kids.append(Block("#text", text=text, links=links))
         run, links = [], 0
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+
     while True:
         m = TOKEN.search(page, at)
         tail = page[at : m.start() if m else len(page)]
@@ -152,21 +158,20 @@ def parse(page: str | None) -> Block:
             continue
         flush()
         if closing:
-            if any(t == tag for t, _ in stack[1:]):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if any(t == "p" for t, _ in stack[-1:]):
-            stack.pop()
+        if stack[-1][0] == "p":
+            close(len(stack) - 1)
         ends = CLOSES.get(tag)
         if ends:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ends or stack[k][0] in BARRIERS), 0)
+            depth = max((places[t][-1] for t in ends | BARRIERS if places.get(t)), default=0)
             if depth and stack[depth][0] in ends:
-                del stack[depth:]
+                close(depth)
         block = Block(_sig(tag, m[3]))
         stack[-1][1].kids.append(block)
-        if tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
+        if tag not in VOID and not m[3].endswith("/"):
+            places[tag].append(len(stack))
             stack.append((tag, block))
     flush()
     _spare(root)
@@ -190,22 +195,76 @@ class Part:
     same: int | None = None  # crc32 of the text if every page has the same
 
     def dump(self) -> list:
-        return [self.sig, int(self.optional), int(self.repeated), [k.dump() for k in self.kids], self.chars, self.links, self.pages, self.same]
+        """This part and all below it from the top down, each with the number of its kids: flat, so of any depth."""
+        out, todo = [], [self]
+        while todo:
+            p = todo.pop()
+            out.append([p.sig, int(p.optional), int(p.repeated), len(p.kids), p.chars, p.links, p.pages, p.same])
+            todo += reversed(p.kids)
+        return out
 
     @staticmethod
-    def load(x: list) -> Part:
-        return Part(x[0], bool(x[1]), bool(x[2]), [Part.load(k) for k in x[3]], *x[4:])
+    def load(rows: list) -> Part:
+        done: list[Part] = []
+        for sig, optional, repeated, n, *rest in reversed(rows):
+            kids = done[len(done) - n :][::-1]
+            del done[len(done) - n :]
+            done.append(Part(sig, bool(optional), bool(repeated), kids, *rest))
+        return done[0]
 
 
 def wrap(block: Block) -> Part:
     """The wrapper of one page: its tree with equal neighbours folded into repeated parts."""
-    if block.sig == "#text":
-        return Part("#text", chars=len(block.text), links=min(block.links, len(block.text)), same=zlib.crc32(block.text.encode("utf-8", "replace")))
-    return Part(block.sig, kids=fold_repeats([wrap(k) for k in block.kids]))
+    order, todo = [], [block]
+    while todo:
+        order.append(todo.pop())
+        todo += reversed(order[-1].kids)
+    done: list[Part] = []
+    for block in reversed(order):
+        if block.sig == "#text":
+            same = zlib.crc32(block.text.encode("utf-8", "replace"))
+            done.append(Part("#text", chars=len(block.text), links=min(block.links, len(block.text)), same=same))
+        else:
+            kids = done[len(done) - len(block.kids) :][::-1]
+            del done[len(done) - len(block.kids) :]
+            done.append(Part(block.sig, kids=fold_repeats(kids)))
+    return done[0]
+
+
+# Folding and aligning call each other as deep as pages are nested: they yield the calls, which _result makes.
+Steps = Generator["Steps", Any, Any]
+
+
+def _result(steps: Steps) -> Any:
+    stack, value = [steps], None
+    while stack:
+        try:
+            call = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(call)
+            value = None
+    return value
 
 
 def fold_repeats(parts: list[Part], longest: int = 3) -> list[Part]:
     """Fold stretches of up to ``longest`` parts that follow themselves into one repeated stretch."""
+    return _result(_fold_steps(parts, longest)) if len(parts) > 1 else parts
+
+
+def align(left: list[Part], right: list[Part]) -> list[Part]:
+    """The shortest common supersequence of two sequences of parts; what only one side has becomes optional."""
+    return _result(_align_steps(left, right))
+
+
+def _same_part(a: Part, b: Part, repeated: bool = False) -> Part:
+    """Two parts of the same signature as one."""
+    return _result(_same_steps(a, b, repeated))
+
+
+def _fold_steps(parts: list[Part], longest: int = 3) -> Steps:
     for size in range(1, longest + 1):
         out: list[Part] = []
         for part in parts:
@@ -214,34 +273,36 @@ def fold_repeats(parts: list[Part], longest: int = 3) -> list[Part]:
                 again, first = out[-size:], out[-2 * size : -size]
                 if size > 1 and len({p.sig for p in first}) == 1:
                     continue
-                out[-2 * size :] = [_same_part(a, b, repeated=True) for a, b in zip(first, again, strict=True)]
+                del out[-2 * size :]
+                for a, b in zip(first, again, strict=True):
+                    out.append((yield _same_steps(a, b, repeated=True)))
         parts = out
     return parts
 
 
-def _same_part(a: Part, b: Part, repeated: bool = False) -> Part:
-    """Two parts of the same signature as one."""
-    kids = align(a.kids, b.kids) if a.kids or b.kids else []
+def _same_steps(a: Part, b: Part, repeated: bool = False) -> Steps:
+    kids = (yield _align_steps(a.kids, b.kids)) if a.kids or b.kids else []
     pages = max(a.pages, b.pages) if repeated else a.pages + b.pages
     same = a.same if a.same == b.same and not repeated else None
     return Part(a.sig, a.optional or b.optional, repeated or a.repeated or b.repeated, kids, a.chars + b.chars, a.links + b.links, pages, same)
 
 
-def align(left: list[Part], right: list[Part]) -> list[Part]:
-    """The shortest common supersequence of two sequences of parts; what only one side has becomes optional."""
-    rows, columns = [p.sig for p in left], [p.sig for p in right]
+def _align_steps(left: list[Part], right: list[Part]) -> Steps:
+    rows, columns, out = [p.sig for p in left], [p.sig for p in right], []
     if rows == columns:
-        return [_same_part(a, b) for a, b in zip(left, right, strict=True)]
+        for a, b in zip(left, right, strict=True):
+            out.append((yield _same_steps(a, b)))
+        return out
     pairs = _common(rows, columns)
-    out, i, j = [], 0, 0
+    i = j = 0
     for a, b in [*pairs, (len(left), len(right))]:
         for part in (*left[i:a], *right[j:b]):
             part.optional = True
             out.append(part)
         if a < len(left):
-            out.append(_same_part(left[a], right[b]))
+            out.append((yield _same_steps(left[a], right[b])))
         i, j = a + 1, b + 1
-    return fold_repeats(out)
+    return (yield _fold_steps(out))
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -284,39 +345,46 @@ def is_main(part: Part) -> bool:
     return tag in ("article", "main") or any(w in MAIN_WORDS for w in words)
 
 
-def _mass(part: Part) -> int:
-    """Characters of running text in the slots of a part: neither links nor the same on all of several pages."""
-    if part.sig == "#text":
-        return 0 if part.pages >= 4 and part.same is not None else max(0, part.chars - 2 * part.links)
-    return 0 if is_boilerplate(part) else sum(map(_mass, part.kids))
-
-
 def main_path(wrapper: Part) -> list[int]:
     """Where the main text of a wrapper is, as places of parts from the top down.
 
     The innermost article or main element that holds nearly all of the text of such elements; without one, the
     deepest part that still holds most of the running text.
     """
-    marked: list[tuple[int, list[int]]] = []
-
-    def look(part: Part, path: list[int]) -> None:
-        for k, kid in enumerate(part.kids):
-            if not is_boilerplate(kid):
-                if is_main(kid):
-                    marked.append((_mass(kid), [*path, k]))
-                look(kid, [*path, k])
-
-    look(wrapper, [])
+    order: list[tuple[Part, int, int, int]] = []  # part, its parent's place in this list, its place there, depth
+    kids: list[dict[int, int]] = []  # places in this list by place in the part
+    todo = [(wrapper, -1, 0, 0)]
+    while todo:
+        part, up, place, depth = row = todo.pop()
+        if up >= 0:
+            kids[up][place] = len(order)
+        todo += [(part.kids[k], len(order), k, depth + 1) for k in range(len(part.kids) - 1, -1, -1) if not is_boilerplate(part.kids[k])]
+        order.append(row)
+        kids.append({})
+    # Characters of running text in the slots of a part: neither links nor the same on all of several pages.
+    mass = [0] * len(order)
+    for at in range(len(order) - 1, -1, -1):
+        part, up, _, _ = order[at]
+        if part.sig == "#text" and not (part.pages >= 4 and part.same is not None):
+            mass[at] = max(0, part.chars - 2 * part.links)
+        if at:
+            mass[up] += mass[at]
+    marked = [at for at in range(1, len(order)) if is_main(order[at][0])]
+    at = 0
     if marked:
-        most = max(m for m, _ in marked)
-        return max((p for m, p in marked if m >= 0.9 * most), key=lambda p: (len(p), [-k for k in p]))
-    path, part = [], wrapper
-    while True:
-        total = _mass(part)
-        best = max(range(len(part.kids)), key=lambda k: _mass(part.kids[k]), default=None)
-        if best is None or not total or part.kids[best].sig == "#text" or part.kids[best].repeated or _mass(part.kids[best]) < 0.7 * total:
-            return path
-        path, part = [*path, best], part.kids[best]
+        most = max(mass[k] for k in marked)
+        at = max((k for k in marked if mass[k] >= 0.9 * most), key=lambda k: order[k][3])
+    else:
+        while True:
+            best = max(kids[at].values(), key=lambda k: mass[k], default=None)
+            if best is None or not mass[at] or order[best][0].sig == "#text" or order[best][0].repeated or mass[best] < 0.7 * mass[at]:
+                break
+            at = best
+    path = []
+    while at:
+        path.append(order[at][2])
+        at = order[at][1]
+    return path[::-1]
 
 
 def match(block: Block, part: Part) -> Iterator[tuple[Block, int | None]]:
@@ -353,15 +421,23 @@ def extract(page: str | None, wrapper: Part | None) -> str:
 def _gather(block: Block, part: Part | None, marked: bool, out: list[str]) -> None:
     """Texts below a block in page order, without boilerplate; outside article elements also without slots
     that all pages share and lists of links."""
-    places = match(block, part) if part else ((k, None) for k in block.kids)
-    for kid, place in places:
-        slot = part.kids[place] if part and place is not None else None
-        if kid.sig == "#text":
+
+    def below(block: Block, part: Part | None) -> Iterator[tuple[Block, Part | None]]:
+        if part is None:
+            return ((kid, None) for kid in block.kids)
+        return ((kid, None if place is None else part.kids[place]) for kid, place in match(block, part))
+
+    todo = [below(block, part)]
+    while todo:
+        kid, slot = next(todo[-1], (None, None))
+        if kid is None:
+            todo.pop()
+        elif kid.sig == "#text":
             shared = slot is not None and slot.pages >= 4 and slot.same is not None
             if marked or not (shared or 2 * kid.links > len(kid.text)):
                 out.append(kid.text)
         elif not is_boilerplate(Part(kid.sig)):
-            _gather(kid, slot, marked, out)
+            todo.append(below(kid, slot))
 
 
 # -- Spark ----------------------------------------------------------------------------------------

@@ -34,6 +34,23 @@ def test_class_words_and_styles_do_not_discard_the_text():
         assert extract(page, None) == whole, page
 
 
+def test_depth_changes_nothing(spark):
+    for deep in (3, 149, 200, 20_000):
+        nest = "<div>text" * deep + "</div>" * deep
+        inside = "\n\n".join(["text"] * deep)
+        assert extract(f"<div class=x><article>{nest}<p>after</p></article></div><p>outside", None) == f"{inside}\n\nafter"
+        for other in ("<nav>Menu</nav>", "<aside>Side</aside>", "<form>Mail</form>", "<div class=comments>Nice</div>"):
+            assert extract("<article>" + "<div>" * deep + f"<p>one</p>{other}<p>two", None) == "one\n\ntwo", (deep, other)
+        assert extract("<div>" * deep + "lead<article>main text</article>", None) == "main text"
+        merged = wrap(parse(f"<div>{nest}"))
+        for more in (f"<div>{nest}<p>x", f"<div>{nest}{nest}"):
+            merged = wrappers._same_part(merged, wrap(parse(more)))
+        assert wrappers._load(wrappers._dump(merged)).dump() == merged.dump()
+    unclosed = [(k, "http://h.org", "<html><body>" + "<div>" * 400 + f"<nav>Menu</nav><article><p>{k} text") for k in range(6)]
+    table = spark.createDataFrame(unclosed, "page_id long, url string, html string")
+    assert {r.text for r in main_texts(table, wrappers.infer_wrappers(table)).collect()} == {f"{k} text" for k in range(6)}
+
+
 def test_class_words_differ_between_pages_of_a_host(spark):
     text = "<p>{0} running text of a page</p><p>{0} and more of it</p>"
     bodies = ["<body class='home right-sidebar'><div class='with-sidebar'>{0}</div>", "<body><div class='with-sidebar'>{0}</div><div class=sidebar>s</div>"]
