@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -305,30 +306,71 @@ def _align_steps(left: list[Part], right: list[Part]) -> Steps:
     return (yield _fold_steps(out))
 
 
-def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a common subsequence: a longest one, or for very long sequences that of a greedy pass."""
-    if len(a) * len(b) > 1_000_000:
-        out, j = [], 0
-        for i, sig in enumerate(a):
-            try:
-                j = b.index(sig, j) + 1
-            except ValueError:
-                continue
-            out.append((i, j - 1))
+def _common(a: list[str], b: list[str], room: int = 1 << 26) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, found in the same way at every size.
+
+    Row i of the table of lengths is one integer: bit k is clear where the length for a[i:] and b[j:] is above that
+    for b[j + 1:], j = len(b) - 1 - k. Rows are made from the last one up. If all take more than ``room`` bits, only
+    some are kept, and those between two kept ones are made again on the way down.
+    """
+    n, m, i = len(a), len(b), 0
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    j, first, out = i, i, [(k, k) for k in range(i)]
+    if i == n or i == m:
         return out
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    spots: dict[str, list[int]] = defaultdict(list)
+    for k in range(j, m):
+        spots[b[k]].append(m - 1 - k)
+    masks: dict[str, int] = {}
+
+    def mask(sig: str) -> int:
+        found = masks.get(sig)
+        if found is None:
+            bits = bytearray(m // 8 + 1)
+            for k in spots.get(sig, ()):
+                bits[k >> 3] |= 1 << (k & 7)
+            found = int.from_bytes(bits, "little")
+            if m < 4096 or len(spots.get(sig, ())) > 16:  # rare ones are made again, so that masks stay few
+                masks[sig] = found
+        return found
+
+    full = (1 << (m - j)) - 1
+
+    def rows(start: int, stop: int, row: int) -> Iterator[int]:
+        for k in range(start - 1, stop - 1, -1):
+            hit = row & mask(a[k]) if a[k] in spots else 0
+            if hit:
+                row = (row + hit | row - hit) & full
+            yield row
+
+    step = 1 if (n - first) * (m - first) <= room else math.isqrt(n - first)
+    kept = {n: full}
+    for k, row in zip(range(n - 1, first - 1, -1), rows(n, first, full), strict=True):
+        if (k - first) % step == 0:
+            kept[k] = row
+    held: list[int] = []  # the rows from the next kept one up to row i
+
+    def length(row: int) -> int:
+        """For this row and b[j:]."""
+        return m - j - (row & ((1 << (m - j)) - 1)).bit_count()
+
+    low = length(kept[first])
+    while i < n and j < m:
+        if len(held) < 2:
+            stop = min(n, i + step)
+            held = [kept[stop], *rows(stop, i, kept[stop])]
+        below = held[-2]
+        below_low = length(below)
+        while j < m and a[i] != b[j] and below_low < low:  # then the length comes from the rest of b
+            below_low -= not below >> (m - 1 - j) & 1
+            j += 1
+        if j < m and a[i] == b[j]:
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
             j += 1
+            below_low -= not below >> (m - j) & 1
+        held.pop()
+        i, low = i + 1, below_low
     return out
 
 

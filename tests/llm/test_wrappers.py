@@ -1,3 +1,5 @@
+import random
+
 from deskwise.llm import wrappers
 from deskwise.llm.wrappers import extract, main_texts, parse, wrap
 
@@ -68,6 +70,41 @@ def test_alignment_makes_optional_and_repeated_parts():
     assert [(p.sig, p.repeated) for p in pairs.kids[0].kids] == [("dt", True), ("dd", True)]
 
 
+def test_common_subsequence_is_a_longest_one():
+    def brute(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    rng = random.Random(5)
+    for k in range(1500):
+        a, b = (rng.choices("abcdefghij"[: 1 + k % 10] + end, k=rng.randint(0, 30)) for end in "xy")
+        pairs = wrappers._common(a, b)
+        assert len(pairs) == brute(a, b) and all(a[i] == b[j] for i, j in pairs) and wrappers._common(a, b, room=0) == pairs
+        assert all(i < x and j < y for (i, j), (x, y) in zip(pairs, pairs[1:]))
+    base = [str(rng.randrange(9)) for _ in range(12_000)]
+    assert len(wrappers._common(["hr", *base], [*base, "hr"])) == len(base)
+
+
+def test_long_pages_align_as_short_ones():
+    rng = random.Random(6)
+    for n in (50, 1800):
+        names = rng.choices(["one", "two", "three", "four", "five", "six", "seven"], k=n)
+        pages = []
+        for k in range(6):
+            blocks = "".join(f"<div class={name}>{k} text {at} of its own</div>" for at, name in enumerate(names))
+            line = "<div class=line>The line of all pages</div>"
+            pages.append(f"<hr>{blocks}{line}" if k % 2 else f"{blocks}{line}<hr>")
+        merged = wrap(parse(pages[0]))
+        for page in pages[1:]:
+            merged = wrappers._same_part(merged, wrap(parse(page)))
+        assert len(merged.kids) <= len(wrap(parse(pages[0])).kids) + 1
+        for page in pages:
+            assert "The line of all pages" not in extract(page, merged)
+
+
 def test_pages_of_a_host(spark, empty):
     body = "<div class=top>Shared line of all pages</div><div class=x><p>{0} first of many words here</p><p>{0} second</p></div><div class=low>Shared end</div>"
     pages = [(k, f"http://h.org/{k}", f"<html><body>{body.format(k)}") for k in range(8)]
