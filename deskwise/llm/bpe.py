@@ -131,10 +131,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in one flat array, and how many each text has."""
-        special, chunks, sizes = self.vocab.special_pattern, [], []
+        special, sign, chunks, sizes = self.vocab.special_pattern, self.vocab.special_sign, [], []
         for text in texts:
             before = len(chunks)
-            if special and text and "<" in text and special.search(text):
+            if special and text and sign in text and special.search(text):
                 for k, part in enumerate(special.split(text)):
                     chunks += [MARK + part] if k % 2 else self.chunks(part)
             else:

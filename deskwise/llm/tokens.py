@@ -294,13 +294,13 @@ class Counter:
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(UTF-8 bytes, tokens) of every text. Special strings are one token each and end the words around them."""
-        classes, special = _tables()[0], self.vocab.special_pattern
+        classes, special, sign = _tables()[0], self.vocab.special_pattern, self.vocab.special_sign
         parts, owner = [], []
         extra = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if not text:
                 continue
-            cut = special.split(text) if special and "<" in text else [text]
+            cut = special.split(text) if special and sign in text else [text]
             parts += cut[::2]
             owner += [k] * len(cut[::2])
             extra[k] = len(cut) // 2

@@ -35,6 +35,12 @@ class Vocabulary:
         names = sorted(self.special, key=len, reverse=True)
         return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
+    @property
+    def special_sign(self) -> str:
+        """A character that all special strings have, a sign rather than a letter; else the empty string, which all texts have."""
+        common = set.intersection(*map(set, self.special)) if self.special else set()
+        return min(common, key=lambda c: (c.isalnum() or c.isspace(), c), default="")
+
     def byte_ids(self, last: bool = False) -> np.ndarray:
         """Id of each single byte, or of each byte at the end of a word."""
         return np.array([self.ids[c + self.suffix * last] for c in byte_letters()], np.int64)

@@ -1,6 +1,8 @@
 """Token counts and BPE against the tokenizers library."""
 
+import json
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -55,6 +57,23 @@ def test_ids_and_decoding_equal_the_library():
         at += n
 
 
+def test_special_strings_of_any_look(tmp_path):
+    for path in (BYTES, WORDS):
+        content = json.loads(Path(path).read_text())
+        like, top = content["added_tokens"][0], max(a["id"] for a in content["added_tokens"])
+        top = max(top, *content["model"]["vocab"].values())
+        content["added_tokens"] += [like | {"id": top + 1 + k, "content": c} for k, c in enumerate(("[CLS]", "@@end"))]
+        file = tmp_path / Path(path).name
+        file.write_text(json.dumps(content))
+        vocab, reference, texts = load(str(file)), Tokenizer.from_file(str(file)), ["one [CLS]two@@end three", "x@@end", "plain"]
+        expect = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+        if vocab.suffix:
+            ids, sizes = bpe.Encoder(vocab).encode(texts)
+            assert ids.tolist() == sum(expect, []) and sizes.tolist() == list(map(len, expect))
+        else:
+            assert tokens.Counter(vocab).count(texts)[1].tolist() == list(map(len, expect))
+
+
 def test_unsupported_vocabularies_are_refused(tmp_path):
     with pytest.raises(ValueError):
         tokens.Counter(load(WORDS))
