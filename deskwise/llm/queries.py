@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import run as pipeline
-from deskwise.llm import bpe, decontaminate, pii, quality, shards, simhash, tokens, toxicity, weak_rules, wrappers
+from deskwise.llm import bpe, clusters, decontaminate, pii, quality, shards, simhash, tokens, toxicity, weak_rules, whitening, wrappers
 from deskwise.llm.sql import ORACLE
 from deskwise.session import materialize, tables
 
@@ -66,6 +66,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(docs, pii.fit(docs)))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(tables(spark, sf_dir)("embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(tables(spark, sf_dir)("embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -77,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op12_centroids": op12_centroids,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 
