@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import run as pipeline
-from deskwise.llm import bpe, clusters, decontaminate, pii, quality, shards, simhash, tokens, toxicity, weak_rules, whitening, wrappers
+from deskwise.llm import bpe, clusters, decontaminate, minhash, pii, quality, shards, simhash, tokens, toxicity, weak_rules, whitening, wrappers
 from deskwise.llm.sql import ORACLE
 from deskwise.session import materialize, tables
 
@@ -66,6 +66,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(docs, pii.fit(docs)))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(tables(spark, sf_dir)("documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(tables(spark, sf_dir)("embeddings"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op11_minhash": op11_minhash,
     "op12_centroids": op12_centroids,
     "op13_whitening": op13_whitening,
     "pipeline": pipeline,
