@@ -9,22 +9,55 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from deskwise.llm.blocks import blocks, ragged
 from deskwise.llm.vocab import Vocabulary, load
 
-# How the vocabulary's words are cut, and Unicode white space.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+# The contractions at which the vocabulary's words are cut, and Unicode white space.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WHITE = "[\t-\r \x85\xa0  -     　]+"
 
 MARK = " "  # in front of a special token; no chunk of a text begins with white space
 NEVER = np.iinfo(np.int64).max
 
 
+def _ranges(members: list[tuple[int, int]]) -> str:
+    """Inside of a character set from ranges of code points, both ends included."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in members)
+
+
+@lru_cache(maxsize=1)
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Contractions, runs of letters, single numbers, runs of anything else but white space; characters to normalise apart.
+
+    Which characters are letters, numbers and white space is asked of the vocabulary's library, once for all code
+    points, since versions of Unicode differ. To normalise apart are those that :mod:`unicodedata` doesn't
+    know, and the marks that it puts in another order than the library.
+    """
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    everything = "".join(map(chr, points))
+
+    def members(kind: str) -> str:
+        found = pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(everything)
+        runs = [(a + 0x800 * (a >= 0xD800), b - 1 + 0x800 * (b - 1 >= 0xD800)) for _, (a, b) in found]
+        return _ranges(runs)
+
+    letters, numbers, white = members(r"\p{L}+"), members(r"\p{N}+"), members(r"\s+")
+    unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    marks = {unicodedata.combining(chr(c)): chr(c) for c in reversed(points) if unicodedata.combining(chr(c))}
+    nfc = normalizers.NFC()
+    for mark in (chr(c) for c in points if unicodedata.combining(chr(c))):
+        trial = "\n".join(f"{mark}{other}\n{other}{mark}" for other in marks.values())
+        unknown[ord(mark)] = nfc.normalize_str(trial) != unicodedata.normalize("NFC", trial)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], unknown, [False])).astype(np.int8))).reshape(-1, 2)
+    words = f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+"
+    return re.compile(words), re.compile(f"[{_ranges([(a, b - 1) for a, b in edges.tolist()])}]")
+
+
 def numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
     """Number of each word in order of appearance, and the distinct words."""
     known: dict[str, int] = {}
@@ -51,7 +84,9 @@ class Encoder:
             np.minimum.at(used, side[order], order)
         # A merge may be done at all its places in one round if no merge that uses its result comes before it.
         self.at_once = used[self.made] > self.ranks
-        self.piece, self.white = regex.compile(PIECE), re.compile(WHITE)
+        self.white = re.compile(WHITE)
+        self.piece, self.apart = patterns()
+        self.normaliser = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         names = [t.encode() + b" " for t in vocab.tokens]
         self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
         self.name_sizes = np.fromiter(map(len, names), np.int64, len(names))
@@ -123,6 +158,8 @@ class Encoder:
         """Normalised text (NFC, lower case letter by letter) without its white space."""
         if text.isascii():
             text = text.lower()
+        elif self.apart.search(text):
+            text = self.normaliser.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if re.search("[\x1c-\x1f]", text):  # white space for str.split, not for the vocabulary

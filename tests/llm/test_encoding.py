@@ -57,6 +57,18 @@ def test_ids_and_decoding_equal_the_library():
         at += n
 
 
+@pytest.mark.parametrize("context", ["{}", "a{}b", "x{}1's {}\u0301"])
+def test_every_code_point(context):
+    texts = [context.replace("{}", chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    coder, words, counter, counted = bpe.encoder(WORDS), Tokenizer.from_file(WORDS), tokens.counter(BYTES), Tokenizer.from_file(BYTES)
+    step = 1 << 17
+    for part in (texts[k : k + step] for k in range(0, len(texts), step)):
+        flat, sizes = coder.encode(part)
+        expect = [e.ids for e in words.encode_batch(part, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, expect)) and flat.tolist() == [i for ids in expect for i in ids]
+        assert counter.count(part)[1].tolist() == [len(e.ids) for e in counted.encode_batch(part, add_special_tokens=False)]
+
+
 def test_special_strings_of_any_look(tmp_path):
     for path in (BYTES, WORDS):
         content = json.loads(Path(path).read_text())
