@@ -6,7 +6,7 @@ from importlib import import_module
 
 from deskwise.catalog.registry import ORACLE, QUERIES
 
-MODULES = ("corpus", "retrieval", "evaluation", "triage", "models", "streams")
+MODULES = ("corpus", "retrieval", "evaluation", "triage", "models", "streams", "similarity")
 
 
 def _load() -> None:

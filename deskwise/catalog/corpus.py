@@ -431,13 +431,15 @@ def combined_training(t):
     return corpus.combined_training(verified, selected, golden, "pos").select(*corpus.TRAINING)
 
 
-@query("history_table", s.ctes(_DOC_PAIRS, f"""cleaned AS (
+HISTORY = (_DOC_PAIRS, f"""cleaned AS (
   SELECT message_id, pos, {s.clean('customer_message', 'runtime')} AS customer_message,
          {s.clean('agent_response', 'runtime')} AS agent_response FROM pairs)""", """
 bounded AS (SELECT * FROM cleaned WHERE customer_message <> '' AND agent_response <> ''
-  AND message_id NOT IN (SELECT doc_id::VARCHAR FROM labels))""") + """
-SELECT message_id, customer_message, agent_response FROM bounded
-QUALIFY row_number() OVER (PARTITION BY customer_message ORDER BY pos) = 1""")
+  AND message_id NOT IN (SELECT doc_id::VARCHAR FROM labels))""", """
+history AS (SELECT * FROM bounded QUALIFY row_number() OVER (PARTITION BY customer_message ORDER BY pos) = 1)""")
+
+
+@query("history_table", s.ctes(*HISTORY) + "SELECT message_id, customer_message, agent_response FROM history")
 def history_table(t):
     golden = t("labels").select(F.col("doc_id").cast("string").alias("message_id"))
     return corpus.retrieval_history(doc_pairs(t), golden, RUNTIME, "pos").select("message_id", *corpus.PAIR)
