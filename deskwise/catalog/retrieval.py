@@ -13,7 +13,7 @@ from deskwise.catalog.registry import query
 from deskwise.config import BATCH
 from deskwise.functions import lexicon as lx
 from deskwise.functions import vectors as vx
-from deskwise.operators import metrics, models
+from deskwise.operators import metrics, models, quantised
 from deskwise.operators import retrieval as rt
 from deskwise.plans.triage import retrieve_cases
 
@@ -117,6 +117,26 @@ def semantic_top50_grid(t):
     return _top50(t, strategy="grid", block_rows=256)
 
 
+def _quantised_top50(t):
+    rows = t("embeddings")
+    index = quantised.index_quantised(rows.select(F.col("vec_id").alias("history_id"), "embedding"))
+    return quantised.quantised_candidates(rows.select(F.col("vec_id").alias("query_id"), "embedding"), index, exclude_self=True)
+
+
+@query("semantic_top50_pq")
+def semantic_top50_pq(t):
+    """Approximate: one byte for every four dimensions is scanned, 150 rows of a query are scored exactly."""
+    return as_bigint(_quantised_top50(t), "semantic_rank")
+
+
+@query("semantic_top50_pq_recall", s.ctes(s.VECTORS, s.CANDIDATES) + """
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_true, true AS enough FROM cand""")
+def semantic_top50_pq_recall(t):
+    """At least 95 in a hundred of the exact rows are among the approximate ones."""
+    found = quantised.recall(_quantised_top50(t), _top50(t))
+    return found.select("n_queries", "n_true", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query("retrieve_top5", CASE_SQL + f"SELECT {', '.join(_CASE_COLUMNS)} FROM cases")
 def retrieve_top5(t):
     return as_bigint(cases(t).select(*_CASE_COLUMNS), "rank", "semantic_rank")

@@ -34,7 +34,7 @@ NONE = np.iinfo(np.int64).min
 STRETCH = 16  # blocks of history that one task of the grid search goes through
 
 
-def _matrix(column) -> np.ndarray:
+def matrix_of(column) -> np.ndarray:
     """List column to an (n, d) double matrix without Python objects."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -123,7 +123,7 @@ def _broadcast_scan(queries, history, k, carry, exclude_self, qid_type):
     table = queries.toArrow()
     if table.num_rows == 0:
         return spark.createDataFrame([], schema)
-    shipped = spark.sparkContext.broadcast((_array(table["query_id"]), _matrix(table["vector"])))
+    shipped = spark.sparkContext.broadcast((_array(table["query_id"]), matrix_of(table["vector"])))
     arrow = _arrow_schema(schema)
     ncarry = len(carry)
 
@@ -136,7 +136,7 @@ def _broadcast_scan(queries, history, k, carry, exclude_self, qid_type):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            hids, vectors = _array(batch.column(0)), _matrix(batch.column(1))
+            hids, vectors = _array(batch.column(0)), matrix_of(batch.column(1))
             extra = [_array(batch.column(2 + i)) for i in range(ncarry)]
             for block in blocks:
                 block.add(hids, vectors, extra)
@@ -174,7 +174,7 @@ def _assign(history: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def assign(batches):
         for batch in _slices(batches):
-            angles = _angles(_matrix(batch.column("vector")), shipped.value)
+            angles = _angles(matrix_of(batch.column("vector")), shipped.value)
             cell = angles.argmin(axis=1)
             best = angles[np.arange(len(cell)), cell]
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +194,7 @@ def _nearest_cells(queries: DataFrame, pivots, sizes, k: int) -> DataFrame:
     def probe(batches):
         for batch in _slices(batches):
             pv, counts = shipped.value
-            angles = _angles(_matrix(batch.column("vector")), pv)
+            angles = _angles(matrix_of(batch.column("vector")), pv)
             order = np.argsort(angles, axis=1, kind="stable")
             reached = np.cumsum(counts[order], axis=1) >= k
             upto = np.where(reached.any(axis=1), reached.argmax(axis=1) + 1, order.shape[1])
@@ -219,7 +219,7 @@ def _reachable_cells(probed: DataFrame, pivots, radii, sizes) -> DataFrame:
     def prune(batches):
         for batch in _slices(batches):
             pv, rad, counts = shipped.value
-            angles = _angles(_matrix(batch.column("vector")), pv)
+            angles = _angles(matrix_of(batch.column("vector")), pv)
             possible = np.cos(np.maximum(angles - rad - SLACK, 0.0)) + SLACK
             bound = _array(batch.column("bound"))
             visit = (possible >= bound[:, None]) & (counts > 0)
@@ -279,10 +279,10 @@ def _block_join(probes, filed, stretches, k, carry, exclude_self, block_rows, sc
         kept, rows = [], 0
         for cell in np.intersect1d(asked, cells):
             part, block = left.take(pa.array(asking[asked == cell])), right.filter(pa.array(cells == cell))
-            best = _Best(_array(part["query_id"]), _matrix(part["vector"]), k, exclude_self)
+            best = _Best(_array(part["query_id"]), matrix_of(part["vector"]), k, exclude_self)
             for i in range(0, block.num_rows, block_rows):
                 items = block.slice(i, block_rows)
-                best.add(_array(items["history_id"]), _matrix(items["vector"]), [_array(items[c]) for c in carry])
+                best.add(_array(items["history_id"]), matrix_of(items["vector"]), [_array(items[c]) for c in carry])
             kept.append(best.columns(_array(part["bound"])))
             rows += len(kept[-1][0])
             if rows > 2 * k * block_rows:
@@ -308,7 +308,7 @@ def _pivots(history: DataFrame, total: int, n: int) -> np.ndarray:
     chosen = rows.where(F.col("k") <= bound).orderBy("k").limit(n).toArrow()
     if chosen.num_rows == 0:
         chosen = rows.limit(1).toArrow()
-    return _matrix(chosen["vector"])
+    return matrix_of(chosen["vector"])
 
 
 @dataclass(frozen=True)
@@ -350,7 +350,7 @@ def load_index(spark: SparkSession, path: str) -> HistoryIndex:
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").toArrow()
     return HistoryIndex(
         spark.read.parquet(f"{path}/rows").drop("angle"),
-        _matrix(cells["pivot"]), _array(cells["n"]), _array(cells["r"]),
+        matrix_of(cells["pivot"]), _array(cells["n"]), _array(cells["r"]),
     )
 
 
