@@ -28,10 +28,10 @@ terms AS (SELECT doc_id, w AS term FROM uni UNION ALL
   WHERE nxt IS NOT NULL)"""
 
 
-def _tfidf_sql(min_df: int, size: int, weight: str) -> str:
+def _tfidf_sql(min_df: int, size: int | None, weight: str) -> str:
     return s.ctes(_WORDS, f"""tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM terms GROUP BY ALL),
 voc AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= {min_df}
-        ORDER BY cf DESC, term LIMIT {size}),
+        {f"ORDER BY cf DESC, term LIMIT {size}" if size else ""}),
 raw AS (SELECT doc_id, term, {weight} * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS w
         FROM tf JOIN voc USING (term))""") + """
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM raw"""
@@ -60,6 +60,20 @@ def vocabulary(t):
     return features.vocabulary(terms_of(t))
 
 
+@query("tfidf_unbounded", _tfidf_sql(3, None, "tf"))
+def tfidf_unbounded(t):
+    """Every term of three documents or more has a weight."""
+    return features.tfidf_long(terms_of(t), "doc_id", max_features=None).withColumn("tfidf", F.round("tfidf", 6))
+
+
+@query("vocabulary_ids", s.ctes(_WORDS) + """
+SELECT term, df, cf, row_number() OVER (ORDER BY md5('0|' || term)) - 1 AS term_id FROM (
+  SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM terms GROUP BY term HAVING count(DISTINCT doc_id) >= 2)""")
+def vocabulary_ids(t):
+    """The whole vocabulary with gapless term ids."""
+    return features.term_ids(features.vocabulary(terms_of(t), min_df=2, max_features=None))
+
+
 @query("tfidf_vectors")
 def tfidf_vectors(t):
     """Row-local TF-IDF vectors; their length is 1, or 0 for a document without known terms."""

@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from deskwise.functions import text as tx
 from deskwise.functions.columns import compute_once, let
 from deskwise.functions.lexicon import FUNCTION_WORDS
+from deskwise.operators.joins import lookup_join
+from deskwise.operators.ranking import hash_rank, sample_key
+from deskwise.session import materialize
 
 ENGLISH = FUNCTION_WORDS["en"]
 
@@ -46,6 +49,7 @@ def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:
     One exploded pass with map-side combine gives all three.
     """
     entry = "array<struct<t: string, c: int, d: int>>"
+    terms = F.coalesce(terms, F.array().cast("array<string>"))
     entries = F.concat(
         F.transform(terms, lambda t: F.struct(t.alias("t"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
         F.transform(
@@ -74,25 +78,39 @@ def commonest(counts: DataFrame, min_df: int, max_features: int) -> DataFrame:
 
 
 def vocabulary(
-    df: DataFrame, terms: str = "terms", min_df: int = 3, max_features: int = 5000
+    df: DataFrame, terms: str = "terms", min_df: int = 3, max_features: int | None = 5000
 ) -> DataFrame:
-    """term, df and corpus frequency of the commonest terms."""
+    """term, df and corpus frequency of the commonest terms; of all terms where ``max_features`` is None."""
+    if max_features is None:
+        return term_counts(df, terms).where(F.col("term").isNotNull() & (F.col("df") >= min_df))
     return commonest(term_counts(df, terms), min_df, max_features).drop("n")
 
 
+def _of_unit_length(entries: str, name: str) -> Column:
+    """Entries (name, w) of a document as (name, tfidf). The length is taken once, not beside every entry."""
+    length = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
+    scaled = lambda n: F.transform(entries, lambda e: F.struct(e[name].alias(name), (e["w"] / n).alias("tfidf")))
+    return let(length, scaled)
+
+
 def tfidf_long(
     df: DataFrame,
     id_col: str,
     terms: str = "terms",
     min_df: int = 3,
-    max_features: int = 5000,
+    max_features: int | None = 5000,
     sublinear: bool = False,
 ) -> DataFrame:
     """(id, term, tfidf) with idf = ln((1+n)/(1+df)) + 1 and unit length per document.
 
+    ``max_features`` keeps that many of the commonest terms; None keeps all, see :func:`tfidf_unbounded`.
+
     Only the vocabulary pass shuffles, and it moves counted terms. The terms of a document are counted, weighted
     and scaled where the document lies; the names, at most ``max_features`` rows, are broadcast.
     """
+    if max_features is None:
+        return tfidf_unbounded(df, id_col, terms, min_df, sublinear)
+    df = materialize(df.select(id_col, terms), "terms")  # the vocabulary and the weights both read them
     try:
         stages = fit_tfidf(df, terms, "__unit", min_df, max_features).stages
     except EmptyVocabulary:
@@ -106,10 +124,56 @@ def tfidf_long(
         return (e["w"] * (F.log(e["tf"]) + 1) / e["tf"] if sublinear else e["w"]).alias("w")
 
     rows = rows.select(id_col, F.transform(F.arrays_zip("i", "tf", "w"), lambda e: F.struct(e["i"].alias("i"), weight(e))).alias("e"))
-    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
-    rows = rows.select(id_col, length.alias("length"), F.inline("e"))
+    rows = rows.select(id_col, F.inline(_of_unit_length("e", "i")))
     names = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(stages[0].vocabulary)), "i int, term string"))
-    return rows.join(names, "i").select(id_col, "term", (F.col("w") / F.col("length")).alias("tfidf"))
+    return rows.join(names, "i").select(id_col, "term", "tfidf")
+
+
+def counted(terms: Column | str) -> Column:
+    """Distinct terms of an array in order, as (term, tf); sorted and counted where the row lies."""
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+        def entries(starts: Column) -> Column:
+            return F.transform(
+                starts, lambda i, at: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(starts, at + 1), n) - i).alias("tf"))
+            )
+
+        return F.when(n == 0, F.array().cast("array<struct<term: string, tf: int>>")).otherwise(let(places, entries))
+
+    return let(F.array_sort(F.coalesce(terms, F.array().cast("array<string>"))), runs)
+
+
+def term_ids(counts: DataFrame, name: str = "term_id") -> DataFrame:
+    """Gapless ids from 0 for a vocabulary of any size, in the order of the terms' md5.
+
+    Ids are a hash bucket's offset and the place inside it, so no task sorts the vocabulary and the driver
+    sees bucket counts only.
+    """
+    ranked = hash_rank(materialize(counts, "vocabulary"), sample_key(0, "term"), name=name)
+    return ranked.withColumn(name, F.col(name).cast("bigint") - 1)
+
+
+def tfidf_unbounded(df: DataFrame, id_col: str, terms: str = "terms", min_df: int = 3, sublinear: bool = False) -> DataFrame:
+    """:func:`tfidf_long` over every term of ``min_df`` documents or more, however many there are.
+
+    Terms are counted in their documents and stored; texts are read once. Weights are joined by term: broadcast while
+    they are few, else shuffled, a frequent term's rows dealt to as many tasks as its document frequency asks for.
+    What comes together in one task is a document.
+    """
+    rows = df.select(F.col(id_col).alias("id"), counted(F.col(terms)).alias("e"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "counted-terms")
+    entries = rows.select("row", "id", F.inline("e"))
+    found = entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    total = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
+    idf = (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+    weights = materialize(found.crossJoin(F.broadcast(total)).select(F.col("term").alias("t"), "df", idf), "term-weights")
+    joined = lookup_join(entries, "term", weights.select("t", "idf"), "t", "inner", weights.select("t", "df"))
+    tf = F.log("tf") + 1 if sublinear else F.col("tf")
+    per_row = joined.groupBy("row", "id").agg(F.collect_list(F.struct("term", (tf * F.col("idf")).alias("w"))).alias("e"))
+    return per_row.select(F.col("id").alias(id_col), F.inline(_of_unit_length("e", "term")))
 
 
 class EmptyVocabulary(ValueError):
