@@ -324,26 +324,33 @@ class HistoryIndex:
     radii: np.ndarray
 
 
+CELLS = "cell int, pivot array<double>, n bigint, r double"
+
+
+def file_rows(rows: DataFrame, pivots: np.ndarray, path: str, keep_pivots: bool = False, overwrite: bool = False) -> None:
+    """Write ``rows`` (history_id, vector, carried columns) with their cells, and size and radius of every cell."""
+    spark = rows.sparkSession
+    mode = "overwrite" if overwrite else "error"
+    _assign(rows, pivots).write.mode(mode).parquet(f"{path}/rows")
+    stats = spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
+    measured = {r["cell"]: (r["n"], r["r"]) for r in stats.collect()}  # one row per pivot
+    cells = [(c, v.tolist() if keep_pivots else None, *measured.get(c, (0, 0.0))) for c, v in enumerate(pivots)]
+    spark.createDataFrame(cells, CELLS).coalesce(1).write.mode(mode).parquet(f"{path}/cells")
+
+
 def index_history(
-    history: DataFrame, carry: Sequence[str] = (), n_pivots: int = 4096, path: str | None = None
+    history: DataFrame, carry: Sequence[str] = (), n_pivots: int = 4096, path: str | None = None, overwrite: bool = False
 ) -> HistoryIndex:
     """File ``history`` (history_id, embedding, carried columns) once for many query batches.
 
     Written below ``path`` (by default a new shared folder): ``rows`` and the small ``cells`` table.
     """
-    spark = history.sparkSession
-    path = path or shared_dir(spark, "index")
-    h = _vectors(history, "history_id", carry)
+    path = path or shared_dir(history.sparkSession, "index")
+    h = vectors_of(history, "history_id", carry)
     total = h.count()
     pivots = _pivots(h, total, min(n_pivots, max(1, int(total**0.5)))) if total else np.zeros((1, 1))
-    _assign(h, pivots).write.parquet(f"{path}/rows")
-    filed = spark.read.parquet(f"{path}/rows")
-    stats = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r"))
-    measured = {r["cell"]: (r["n"], r["r"]) for r in stats.collect()}  # one row per pivot
-    cells = [(c, v.tolist(), *measured.get(c, (0, 0.0))) for c, v in enumerate(pivots)]
-    schema = "cell int, pivot array<double>, n bigint, r double"
-    spark.createDataFrame(cells, schema).coalesce(1).write.parquet(f"{path}/cells")
-    return load_index(spark, path)
+    file_rows(h, pivots, path, True, overwrite)
+    return load_index(history.sparkSession, path)
 
 
 def load_index(spark: SparkSession, path: str) -> HistoryIndex:
@@ -354,7 +361,7 @@ def load_index(spark: SparkSession, path: str) -> HistoryIndex:
     )
 
 
-def _vectors(df: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
+def vectors_of(df: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col("embedding").isNotNull()).select(key, F.col("embedding").alias("vector"), *carry)
 
 
@@ -400,7 +407,7 @@ def top_candidates(pairs: DataFrame, k: int) -> DataFrame:
 
 def semantic_candidates(
     queries: DataFrame,
-    history: DataFrame,
+    history: DataFrame | None,
     k: int = 50,
     carry: Sequence[str] = (),
     exclude_self: bool = False,
@@ -414,15 +421,15 @@ def semantic_candidates(
 
     ``queries``: query_id, embedding; ``history``: history_id, embedding and the ``carry`` columns
     that shall travel with a candidate. ``exclude_self`` leaves out the row with the query's own id.
-    Rows without a vector take no part. ``index`` is a prepared index of the same history for ``grid``.
+    Rows without a vector take no part. ``index`` is a prepared index of the same history; it may stand in for ``history``.
     """
-    q = _vectors(queries, "query_id")
+    q = vectors_of(queries, "query_id")
     qid_type = q.schema["query_id"].dataType
     if strategy == "auto":
         size = q.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()["n"] * 8
         strategy = "broadcast" if size <= max_broadcast_bytes else "grid"
     if strategy == "broadcast":
-        h = _vectors(history, "history_id", carry)
+        h = index.rows if history is None else vectors_of(history, "history_id", carry)
         pairs = _broadcast_scan(q, h, k, list(carry), exclude_self, qid_type)
     else:
         index = index or index_history(history, carry, n_pivots)

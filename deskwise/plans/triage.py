@@ -27,7 +27,7 @@ def flag_blank(messages: DataFrame, message: str = "customer_message") -> DataFr
 
 def retrieve_cases(
     queries: DataFrame,
-    history: DataFrame,
+    history: DataFrame | None,
     cfg: TriageConfig,
     exclude_self: bool = False,
     carry: tuple[str, ...] = (),

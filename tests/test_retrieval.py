@@ -161,7 +161,7 @@ def test_far_cells_are_not_visited(spark):
     history = unit(np.repeat(centres, 100, axis=0) + 0.01 * rng.normal(size=(600, 6)))
     index = rt.index_history(frame(spark, range(600), history))
     queries = frame(spark, range(6), unit(centres), name="query_id")
-    q = rt._vectors(queries, "query_id")
+    q = rt.vectors_of(queries, "query_id")
     near = rt._nearest_cells(q, index.pivots, index.sizes, 5)
     visited = rt._reachable_cells(near.withColumn("bound", F.lit(0.99)), index.pivots, index.radii, index.sizes)
     left = {r["query_id"]: len(r["cells"]) for r in visited.collect()}
