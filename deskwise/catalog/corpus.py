@@ -11,6 +11,7 @@ from deskwise.functions import text as tx
 from deskwise.operators import curation as cu
 from deskwise.operators import guards, metrics, ranking, review
 from deskwise.plans import corpus
+from deskwise.session import shared_dir
 from deskwise.sources import tables as src
 
 BOUND = 10_000  # rows of the bounded reads
@@ -292,6 +293,35 @@ def clean_funnel(t):
     return corpus.cleaning_funnel(doc_pairs(t))
 
 
+# --- files ---------------------------------------------------------------------------------
+
+
+@query("csv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_round_trip(t):
+    """Documents written as CSV files that begin with a byte order mark, and read again with their types."""
+    rows = docs(t)
+    path = shared_dir(rows.sparkSession, "csv")
+    src.write_table(rows, path, "csv", bom=True)
+    return src.read_checked(rows.sparkSession, path, t("documents").schema, multi_line=True)[0]
+
+
+@query("csv_rejects", """
+SELECT CASE WHEN lang = 'de' THEN doc_id || ',' || lang ELSE '{"doc_id":"no ' || doc_id || '","lang":"' || lang || '","n_chars":"' || n_chars || '"}' END AS record,
+       CASE WHEN lang = 'de' THEN 'number of fields' ELSE 'doc_id is not bigint' END AS reason
+FROM documents WHERE lang IN ('de', 'fr')""")
+def csv_rejects(t):
+    """Of records without a field (German) or with a broken id (French) those that the reader keeps apart."""
+    c = F.col
+    line = F.when(c("lang") == "de", F.concat_ws(",", "doc_id", "lang")).when(
+        c("lang") == "fr", F.concat(F.lit("no "), F.concat_ws(",", "doc_id", "lang", "n_chars"))
+    )
+    rows = docs(t).select(F.coalesce(line, F.concat_ws(",", "doc_id", "lang", "n_chars")).alias("value"))
+    path = shared_dir(rows.sparkSession, "lines")
+    rows.write.text(path)
+    schema = t("documents").select("doc_id", "lang", "n_chars").schema
+    return src.read_checked(rows.sparkSession, path, schema, header=False)[1].select("record", "reason")
+
+
 # --- sets and guards -----------------------------------------------------------------------
 
 
@@ -368,6 +398,21 @@ def join_fan_out(t):
     return guards.text_fan_out(t("documents"), reviewed(t), "text")
 
 
+@query("join_truth_all", s.ctes(s.REVIEWED) + """
+SELECT d.doc_id, d.source, r.doc_id AS truth_id, r.quality, r.toxic FROM documents d JOIN reviewed r ON d.text = r.text""")
+def join_truth_all(t):
+    """Every document with every truth of the same text; copies multiply, as in a plain join on the text."""
+    truth = reviewed(t).select("text", F.col("doc_id").alias("truth_id"), "quality", "toxic")
+    return guards.join_truth_all(docs(t), truth, "text", ["doc_id", "source"], ["truth_id", "quality", "toxic"], piece=8)
+
+
+@query("truth_conflicts", s.ctes(s.REVIEWED) + """
+SELECT min(doc_id) AS first_id, count(*) AS n_truth, count(DISTINCT (quality, toxic)) AS n_values,
+       count(DISTINCT (quality, toxic)) > 1 AS conflict FROM reviewed WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1""")
+def truth_conflicts(t):
+    return guards.truth_conflicts(reviewed(t), "text", ["quality", "toxic"], "doc_id")
+
+
 # --- samples -------------------------------------------------------------------------------
 
 
@@ -397,6 +442,18 @@ def stratified_split(t):
     return ranking.stratified_split(t("documents").select("doc_id", "lang"), "lang", 0.2, 42, "doc_id")
 
 
+@query("split_exact_total", """
+WITH sizes AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY lang),
+quota AS (SELECT *, round(0.2::DOUBLE * total)::BIGINT AS want FROM sizes),
+floors AS (SELECT lang, want, (want * n) // total AS base, (want * n) % total AS rest FROM quota),
+dealt AS (SELECT lang, base + (row_number() OVER (ORDER BY rest DESC, lang) <= want - sum(base) OVER ())::INTEGER AS k FROM floors)
+SELECT doc_id, d.lang, CASE WHEN row_number() OVER (PARTITION BY d.lang ORDER BY md5('42|' || doc_id)) <= k THEN 'test' ELSE 'train' END AS split
+FROM documents d JOIN dealt ON d.lang = dealt.lang""")
+def split_exact_total(t):
+    """A fifth of all documents, the rounding shared out to the languages."""
+    return ranking.split_exact_total(t("documents").select("doc_id", "lang"), "lang", 0.2, 42, "doc_id")
+
+
 # The documents' source stands in for the cluster, the labelled documents for the golden set.
 @query("training_sample", """
 WITH free AS (SELECT doc_id, source AS cluster FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),

@@ -14,7 +14,7 @@ from deskwise.config import BATCH
 from deskwise.functions import text as tx
 from deskwise.functions import vectors as vx
 from deskwise.functions.lexicon import FUNCTION_WORDS
-from deskwise.operators import features, metrics, models, ranking
+from deskwise.operators import features, language, metrics, models, ranking
 from deskwise.plans import corpus, evaluation
 from deskwise.plans import triage as plan
 from deskwise.session import materialize
@@ -176,3 +176,25 @@ def encode_hash(t):
         out.select("doc_id", F.size("embedding").alias("dims"), F.round(vx.norm("embedding"), 4).alias("length")),
         "dims",
     )
+
+
+@query("lang_bayes", rf"""
+WITH low AS (SELECT doc_id, lang, {s.squeeze('lower(text)')} AS x FROM documents),
+grams AS (SELECT doc_id, lang, substring(x, i, 3) AS t FROM low, unnest(generate_series(1, length(x) - 2)) AS s(i)),
+tf AS (SELECT doc_id, lang, t, count(*) AS n FROM grams GROUP BY ALL),
+counts AS (SELECT lang, t, sum(n) AS c FROM tf GROUP BY ALL),
+room AS (SELECT lang, sum(c) + (SELECT count(DISTINCT t) FROM counts) AS r FROM counts GROUP BY lang),
+prior AS (SELECT lang, ln(count(*)::DOUBLE / (SELECT count(*) FROM documents)) AS p FROM documents GROUP BY lang),
+cells AS (SELECT l.lang, t.t, ln((coalesce(c, 0) + 1)::DOUBLE / r) AS w
+          FROM (SELECT DISTINCT t FROM counts) t CROSS JOIN room l LEFT JOIN counts USING (lang, t)),
+sums AS (SELECT doc_id, cells.lang, sum(n * w) AS s FROM tf JOIN cells USING (t) GROUP BY ALL),
+logs AS (SELECT doc_id, lang, p + coalesce(s, 0) AS l FROM (SELECT doc_id FROM documents) CROSS JOIN prior LEFT JOIN sums USING (doc_id, lang)),
+top AS (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM logs)
+SELECT doc_id, first(lang ORDER BY l DESC, lang) AS detected_lang,
+       round(max(exp(l - m)) FILTER (lang = 'en') / sum(exp(l - m)), 6) AS p_english FROM top GROUP BY doc_id""")
+def lang_bayes(t):
+    """Every document's language and its probability of being English, by tables of trigram weights."""
+    rows = language.counted_rows(docs(t), "text", "doc_id", "lang")
+    tables = language.fit(rows, "lang")
+    found = language.detect(tables, rows, ["doc_id"])
+    return found.select("doc_id", "detected_lang", F.col("p")[tables.langs.index("en")].alias("p_english"))

@@ -128,6 +128,41 @@ def stratified_split(
     return tagged.withColumn(name, tag).drop("__cut")
 
 
+def largest_remainders(sizes: DataFrame, label: str, share: float) -> DataFrame:
+    """(label, __want) from (label, __size): the rounded share of all rows, dealt to the classes by largest remainder.
+
+    Whole quotas first; what is left goes to the largest remainders, ties to the first label. All in integers.
+    The windows go over one row per class.
+    """
+    every = Window.partitionBy(F.lit(0))
+    rows = sizes.withColumn("__all", F.sum("__size").over(every))
+    rows = rows.withColumn("__total", F.round(F.lit(share) * F.col("__all")).cast("bigint"))
+    rows = rows.withColumn("__base", F.expr("(__total * __size) div __all")).withColumn("__rest", F.expr("(__total * __size) % __all"))
+    left = F.col("__total") - F.sum("__base").over(every)
+    place = F.row_number().over(every.orderBy(F.desc("__rest"), F.asc_nulls_last(label)))
+    return rows.select(label, (F.col("__base") + (place <= left).cast("int")).alias("__want"))
+
+
+def split_exact_total(
+    df: DataFrame, label: str, test_share: float, seed: int, *ids: str, name: str = "split", digits: int = 3
+) -> DataFrame:
+    """Tag every row ``test`` or ``train`` so that exactly ``round(share * rows)`` are test rows, shared out to the classes.
+
+    As :func:`stratified_split`, rows are compared with their class's cut key where they lie. Ids are unique.
+    """
+    key = sample_key(seed, *ids)
+    keyed = _keyed(df.select(*dict.fromkeys([label, *ids])), key, digits).select(label, "__b", "__key")
+    buckets = materialize(_buckets(keyed, [label]), "split-buckets")
+    want = largest_remainders(buckets.select(label, "__size").distinct(), label, test_share)
+    border = _join_on(buckets, want, [label]).where("__off < __want AND __off + __n >= __want")
+    border = border.select(label, "__b", (F.col("__want") - F.col("__off")).alias("__need"))
+    local = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__key"))
+    near = _join_on(keyed, broadcast_if_small(border), [label, "__b"]).withColumn("__rn", local)
+    cuts = near.where(F.col("__rn") == F.col("__need")).select(label, F.col("__key").alias("__cut"))
+    tagged = _join_on(df, broadcast_if_small(cuts), [label], "left")
+    return tagged.withColumn(name, F.when(key <= F.col("__cut"), "test").otherwise("train")).drop("__cut")
+
+
 PARTS = 4096  # equal parts of the range of positions, counted per round of a search
 FEW = 10_000  # positions one task may sort
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskwise.functions.text import na_to_null, to_number
+from deskwise.session import materialize
 
 
 def strip_headers(df: DataFrame) -> DataFrame:
@@ -61,6 +62,34 @@ def read_table(
     return tokens_to_null(df) if na_tokens else df
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected records) of CSV files with typed columns.
+
+    A record is rejected if its number of fields is not the schema's or a field is not of its column's type. Rejects
+    have ``file``, ``split_start`` (bytes), ``record`` (its text) and ``reason``. One scan that keeps every record; both
+    sides read what it stored, so a record is on exactly one of them. Works on streams' batches too.
+    """
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    raw = spark.read.schema(T.StructType([*texts, T.StructField(MALFORMED, T.StringType())])).option("header", header).option("escape", '"')
+    raw = raw.option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).option("enforceSchema", True)
+    rows = raw.csv(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+    return split_typed(materialize(rows, "csv-records"), schema)
+
+
+def split_typed(rows: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejects) of text columns; a column that does not parse names itself in the reason."""
+    typed = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema}
+    bad = [F.when(F.col(f"`{n}`").isNotNull() & c.isNull(), F.lit(f"{n} is not {schema[n].dataType.simpleString()}")) for n, c in typed.items()]
+    wrong = F.concat_ws("; ", F.when(F.col(MALFORMED).isNotNull(), F.lit("number of fields")), *bad)
+    judged = rows.withColumn("reason", wrong)
+    fields = F.to_json(F.struct(*[F.col(f"`{n}`") for n in typed]))
+    good = judged.where("reason = ''").select(*[c.alias(n) for n, c in typed.items()])
+    rejects = judged.where("reason <> ''").select(
+        F.col("__file").alias("file"), F.col("__start").alias("split_start"), F.coalesce(MALFORMED, fields).alias("record"), "reason"
+    )
+    return good, rejects
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy text work to every core when a freshly read table has too few splits.
 
@@ -71,10 +100,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+BOM = "\ufeff"
+MALFORMED = "__malformed"
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", bom: bool = False) -> None:
+    """Write a table. ``bom`` starts every CSV file with the UTF-8 byte order mark that spreadsheets look for.
+
+    The mark is the first character of the header, so any file system that Spark writes to will do.
+    """
+    if fmt == "csv" and bom:
+        df = df.toDF(BOM + df.columns[0], *df.columns[1:])
     writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.format(fmt).save(path)
 
 
