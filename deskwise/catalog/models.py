@@ -15,9 +15,10 @@ from deskwise.functions import text as tx
 from deskwise.functions import vectors as vx
 from deskwise.functions.lexicon import FUNCTION_WORDS
 from deskwise.operators import features, language, metrics, models, ranking
+from deskwise.operators.selftrain import SelfTraining
 from deskwise.plans import corpus, evaluation
 from deskwise.plans import triage as plan
-from deskwise.session import materialize
+from deskwise.session import materialize, shared_dir
 
 _WORDS = f"""words AS (SELECT doc_id, [w for w in regexp_extract_all(lower(clean), '[{s.W}]{{2,}}')
   if NOT list_contains({s.str_list(FUNCTION_WORDS['en'])}, w)] AS ws
@@ -74,7 +75,9 @@ def vocabulary_ids(t):
     return features.term_ids(features.vocabulary(terms_of(t), min_df=2, max_features=None))
 
 
-@query("tfidf_vectors")
+@query("tfidf_vectors", s.ctes(_WORDS, """voc AS (SELECT term, sum(n) AS cf FROM (
+  SELECT doc_id, term, count(*) AS n FROM terms GROUP BY ALL) GROUP BY term HAVING count(*) >= 3 ORDER BY cf DESC, term LIMIT 5000)""") + """
+SELECT doc_id, (doc_id IN (SELECT doc_id FROM terms JOIN voc USING (term)))::INTEGER::DOUBLE AS length FROM documents""")
 def tfidf_vectors(t):
     """Row-local TF-IDF vectors; their length is 1, or 0 for a document without known terms."""
     ready = terms_of(t)
@@ -167,7 +170,8 @@ def clean_pairs_model(t):
     return corpus.clean_pairs(pairs(t), ["pos"], language_model=model).select("message_id", *corpus.PAIR)
 
 
-@query("encode_hash")
+@query("encode_hash", f"""
+SELECT doc_id, 256 AS dims, (len(regexp_extract_all(lower(text), '[{s.W}]{{2,}}')) > 0)::INTEGER::DOUBLE AS length FROM documents""")
 def encode_hash(t):
     rows = docs(t).select("doc_id", "text")
     model = features.hashed_encoder(rows, "text")
@@ -178,6 +182,46 @@ def encode_hash(t):
     )
 
 
+QUOTA, LEAST, ROUNDS = 8, 0.15, 3
+
+
+def _self_training_sql() -> str:
+    """Three rounds one after another."""
+    steps = [s.VECTORS, "seed AS (SELECT vec_id, true_intent AS label, e FROM v WHERE vec_id IN (SELECT doc_id FROM labels))"]
+    for r in range(1, ROUNDS + 1):
+        before = " UNION ALL ".join(["SELECT vec_id, label FROM seed", *(f"SELECT vec_id, label FROM acc{k}" for k in range(1, r))])
+        steps.append(f"""known{r} AS ({before}),
+sums{r} AS (SELECT label, i, sum(x) AS s FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM known{r} JOIN v USING (vec_id)) GROUP BY ALL),
+cent{r} AS (SELECT label, list(s ORDER BY i) AS total, (SELECT count(*) FROM known{r} k WHERE k.label = sums{r}.label) AS n FROM sums{r} GROUP BY label),
+scores{r} AS (SELECT vec_id, label, round(list_dot_product(e, total) / n, 6) AS s
+              FROM (SELECT * FROM v WHERE vec_id NOT IN (SELECT vec_id FROM known{r})) CROSS JOIN cent{r}),
+pred{r} AS (SELECT vec_id, first(label ORDER BY s DESC, label) AS label, round(1 / sum(exp(10 * (s - m))), 6) AS confidence
+            FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS m FROM scores{r}) GROUP BY vec_id),
+acc{r} AS (SELECT vec_id, label, confidence, {r} AS round FROM pred{r} WHERE confidence >= {LEAST}
+           QUALIFY row_number() OVER (PARTITION BY label ORDER BY confidence DESC, vec_id) <= {QUOTA})""")
+    return s.ctes(*steps) + " UNION ALL ".join(f"SELECT * FROM acc{r}" for r in range(1, ROUNDS + 1))
+
+
+@query("self_training", _self_training_sql())
+def self_training(t):
+    """Labelled vectors teach the others in three rounds of at most eight rows a class."""
+    rows = intents(t).select(F.col("vec_id").alias("id"), F.col("true_intent").alias("label"), F.col("embedding").alias("vector"))
+    known = t("labels").select(F.col("doc_id").alias("id")).distinct()
+    job = SelfTraining(shared_dir(rows.sparkSession, "self-training"), QUOTA, LEAST, ROUNDS)
+    found = job.run(rows.join(known, "id", "left_semi"), rows.join(known, "id", "left_anti").drop("label"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("method_comparison")
+def method_comparison(t):
+    """Majority, TF-IDF with regression, and vectors with regression on the same held-out messages, with their lift."""
+    rows = split_messages(t)
+    golden = rows.where("split = 'test'")
+    train = evaluation.training_rows(rows, golden, "query_id", "customer_message", ["query_id"])
+    compared = evaluation.compare_methods(train, golden, "true_intent", "customer_message", "features")
+    return compared.withColumns({c: F.round(c, 6) for c in ("accuracy", "macro_f1", "lift_pp")})
+
+
 @query("lang_bayes", rf"""
 WITH low AS (SELECT doc_id, lang, {s.squeeze('lower(text)')} AS x FROM documents),
 grams AS (SELECT doc_id, lang, substring(x, i, 3) AS t FROM low, unnest(generate_series(1, length(x) - 2)) AS s(i)),
