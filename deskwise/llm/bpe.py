@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,30 +24,39 @@ WHITE = "[\t-\r \x85\xa0  -     　]+"
 
 MARK = " "  # in front of a special token; no chunk of a text begins with white space
 NEVER = np.iinfo(np.int64).max
+BASIC = 0xFFFF  # the last code point of 16 bits
 
 
-def _ranges(members: list[tuple[int, int]]) -> str:
-    """Inside of a character set from ranges of code points, both ends included."""
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in members)
+def _ranges(members: list[tuple[int, int]], top: int) -> str:
+    """Inside of a character set from ranges of code points, both ends included, up to ``top``."""
+    return "".join(f"\\U{a:08x}-\\U{min(b, top):08x}" for a, b in members if a <= top)
 
 
-@lru_cache(maxsize=1)
-def patterns() -> tuple[re.Pattern, re.Pattern]:
-    """Contractions, runs of letters, single numbers, runs of anything else but white space; characters to normalise apart.
+@dataclass(frozen=True)
+class Characters:
+    """Patterns for texts within ASCII, within 16 bits, and any: a set of characters beyond 16 bits is searched range by range.
+
+    ``words``: contractions, runs of letters, single numbers, runs of anything else but white space. ``apart``: characters to
+    normalise by the library (never in ASCII).
+    """
+
+    words: tuple[re.Pattern, re.Pattern, re.Pattern]
+    apart: tuple[re.Pattern, re.Pattern]
+
 
-    Which characters are letters, numbers and white space is asked of the vocabulary's library, once for all code
+@lru_cache(maxsize=1)
+def characters() -> Characters:
+    """Which characters are letters, numbers and white space is asked of the vocabulary's library, once for all code
     points, since versions of Unicode differ. To normalise apart are those that :mod:`unicodedata` doesn't
     know, and the marks that it puts in another order than the library.
     """
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     everything = "".join(map(chr, points))
 
-    def members(kind: str) -> str:
+    def members(kind: str) -> list[tuple[int, int]]:
         found = pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(everything)
-        runs = [(a + 0x800 * (a >= 0xD800), b - 1 + 0x800 * (b - 1 >= 0xD800)) for _, (a, b) in found]
-        return _ranges(runs)
+        return [(a + 0x800 * (a >= 0xD800), b - 1 + 0x800 * (b - 1 >= 0xD800)) for _, (a, b) in found]
 
-    letters, numbers, white = members(r"\p{L}+"), members(r"\p{N}+"), members(r"\s+")
     unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
     marks = {unicodedata.combining(chr(c)): chr(c) for c in reversed(points) if unicodedata.combining(chr(c))}
     nfc = normalizers.NFC()
@@ -54,8 +64,15 @@ def patterns() -> tuple[re.Pattern, re.Pattern]:
         trial = "\n".join(f"{mark}{other}\n{other}{mark}" for other in marks.values())
         unknown[ord(mark)] = nfc.normalize_str(trial) != unicodedata.normalize("NFC", trial)
     edges = np.flatnonzero(np.diff(np.concatenate(([False], unknown, [False])).astype(np.int8))).reshape(-1, 2)
-    words = f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+"
-    return re.compile(words), re.compile(f"[{_ranges([(a, b - 1) for a, b in edges.tolist()])}]")
+    kinds = [members(k) for k in (r"\p{L}+", r"\p{N}+", r"\s+")]
+
+    def words(top: int) -> re.Pattern:
+        letters, numbers, white = (_ranges(k, top) for k in kinds)
+        return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
+
+    strange = [(a, b - 1) for a, b in edges.tolist()]
+    apart = [re.compile(f"[{_ranges(strange, top)}]") for top in (BASIC, 0x10FFFF)]
+    return Characters((words(0x7F), words(BASIC), words(0x10FFFF)), tuple(apart))
 
 
 def numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
@@ -84,8 +101,7 @@ class Encoder:
             np.minimum.at(used, side[order], order)
         # A merge may be done at all its places in one round if no merge that uses its result comes before it.
         self.at_once = used[self.made] > self.ranks
-        self.white = re.compile(WHITE)
-        self.piece, self.apart = patterns()
+        self.white, self.characters = re.compile(WHITE), characters()
         self.normaliser = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         names = [t.encode() + b" " for t in vocab.tokens]
         self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
@@ -158,7 +174,7 @@ class Encoder:
         """Normalised text (NFC, lower case letter by letter) without its white space."""
         if text.isascii():
             text = text.lower()
-        elif self.apart.search(text):
+        elif self.characters.apart[max(text) > chr(BASIC)].search(text):
             text = self.normaliser.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -185,6 +201,9 @@ class Encoder:
         upto = np.append(0, np.cumsum(per_chunk))
         return flat, upto[ends] - upto[ends - sizes]
 
+    def pieces(self, chunk: str) -> list[str]:
+        return self.characters.words[0 if chunk.isascii() else 1 + (max(chunk) > chr(BASIC))].findall(chunk)
+
     def _distinct(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids of distinct chunks with the start and length of each."""
         pieces, counts = [], []
@@ -193,7 +212,7 @@ class Encoder:
                 pieces.append(c)
                 counts.append(1)
                 continue
-            cut = [c] if c[0] == MARK and c[1:] in self.vocab.special else self.piece.findall(c)
+            cut = [c] if c[0] == MARK and c[1:] in self.vocab.special else self.pieces(c)
             pieces += cut
             counts.append(len(cut))
         codes, distinct = numbered(pieces)
