@@ -14,7 +14,7 @@ from deskwise.config import BATCH
 from deskwise.functions import text as tx
 from deskwise.functions import vectors as vx
 from deskwise.functions.lexicon import FUNCTION_WORDS
-from deskwise.operators import features, language, metrics, models, ranking
+from deskwise.operators import embeddings, features, language, metrics, models, ranking
 from deskwise.operators.selftrain import SelfTraining
 from deskwise.plans import corpus, evaluation
 from deskwise.plans import triage as plan
@@ -242,3 +242,54 @@ def lang_bayes(t):
     tables = language.fit(rows, "lang")
     found = language.detect(tables, rows, ["doc_id"])
     return found.select("doc_id", "detected_lang", F.col("p")[tables.langs.index("en")].alias("p_english"))
+
+
+def tokenised(t):
+    cleaned = docs(t).select("doc_id", "lang", tx.clean_for_clustering("text").alias("clean"))
+    return features.with_terms(cleaned, "clean", (), bigrams=False, out="words").drop("clean")
+
+
+_TOKENS = f"""words AS (SELECT doc_id, regexp_extract_all(lower(clean), '[{s.W}]{{2,}}') AS ws
+  FROM (SELECT doc_id, {s.squeeze(s.sub('lower(text)', s.URL['cluster'], ' '))} AS clean FROM documents)),
+uni AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words)"""
+
+
+@query("ppmi_table", s.ctes(_TOKENS, """known AS (SELECT w FROM uni GROUP BY w HAVING count(DISTINCT doc_id) >= 3),
+pairs AS (SELECT a.w, b.w AS c FROM uni a JOIN uni b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + 4),
+counts AS (SELECT w, c, count(*) AS n FROM (SELECT w, c FROM pairs UNION ALL SELECT c, w FROM pairs)
+           WHERE w IN (FROM known) AND c IN (FROM known) GROUP BY ALL),
+margins AS (SELECT w, sum(n) AS m FROM counts GROUP BY w),
+weighed AS (SELECT counts.w, c, n, ln(n * (SELECT sum(n) FROM counts)::DOUBLE / (x.m::DOUBLE * y.m)) AS p
+            FROM counts JOIN margins x ON x.w = counts.w JOIN margins y ON y.w = c)""") + """
+SELECT w, c, n, round(p, 6) AS ppmi FROM weighed WHERE p > 0""")
+def ppmi_table(t):
+    """Weights of all pairs of words that stand near each other more often than by chance."""
+    found = embeddings.ppmi(embeddings.cooccurrences(tokenised(t), "words"))
+    return found.withColumn("ppmi", F.round("ppmi", 6))
+
+
+@query("text_vectors")
+def text_vectors(t):
+    """Every document's learned vector, from the words of all documents."""
+    rows = materialize(tokenised(t), "tokens")
+    words = materialize(embeddings.word_vectors(embeddings.ppmi(embeddings.cooccurrences(rows, "words"))), "word-vectors")
+    return embeddings.text_vectors(rows, "doc_id", "words", words)
+
+
+@query("text_vectors_accuracy")
+def text_vectors_accuracy(t):
+    """Share of held-out documents whose language the nearest class centroid tells: learned vectors against word counts."""
+    rows = materialize(tokenised(t), "tokens")
+    words = materialize(embeddings.word_vectors(embeddings.ppmi(embeddings.cooccurrences(rows, "words"))), "word-vectors")
+    split = ranking.stratified_split(rows.select("doc_id", "lang"), "lang", 0.2, 42, "doc_id")
+    learned = embeddings.text_vectors(rows, "doc_id", "words", words)
+    joined = rows.select("doc_id", F.concat_ws(" ", "words").alias("text"))
+    counts = features.encode_with(joined, "text", features.word_counter(64)).drop("text")
+    found = []
+    for method, vectors in (("learned", learned), ("word counts", counts)):
+        both = materialize(vectors.join(split, "doc_id"), "split-vectors")
+        classes = models.centroids(both.where("split = 'train'"), "lang")
+        scored = models.centroid_predict(models.centroid_scores(both.where("split = 'test'"), classes))
+        rate = metrics.accuracy(metrics.pair_counts(scored, "lang", "predicted_intent"))
+        found.append(rate.select(F.lit(method).alias("method"), "n_rows", F.round("accuracy", 6).alias("accuracy")))
+    return metrics.union_all(found)
