@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import math
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskwise.llm.blocks import blocks
+from deskwise.session import materialize
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -498,44 +500,64 @@ def _load(text: str) -> Part:
     return Part.load(json.loads(text))
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 16, held_hosts: int = 512) -> DataFrame:
-    """(host, wrapper): the wrapper of every host, aligned from all its pages.
+def skeleton(part: Part) -> str:
+    """Digest of a wrapper's structure, whatever its texts."""
+    shape = [row[:4] for row in part.dump()]
+    return hashlib.md5(json.dumps(shape, separators=(",", ":")).encode()).hexdigest()
 
-    Aligning is done while scanning, so that a task hands on one wrapper for each host, however many pages it
-    has; these meet in ``salts`` groups per host first and then in one. A task holds wrappers of at most
-    ``held_hosts`` hosts and hands on the oldest beyond that.
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", group: int = 256, held_wrappers: int = 4096) -> DataFrame:
+    """(host, wrapper): the wrapper of every host, aligned from all its pages; the same in whatever order pages come.
+
+    Aligning depends on the order, adding up the texts of pages of one skeleton doesn't. So pages are first
+    reduced to the distinct skeletons of their host, each with the sums of its slots. Skeletons are then aligned in a fixed
+    tree: those whose digests begin alike in the order of the digests, their results in the order of the beginnings,
+    one digit fewer each time. The first beginnings are as long as it takes for a group to have about ``group`` skeletons, and
+    every later group has 16 wrappers at most, so no task gathers a host. A scanning task holds at most
+    ``held_wrappers`` wrappers between two blocks of pages and hands on the oldest beyond that.
     """
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Part] = {}
+        held: dict[tuple[str, str], Part] = {}
 
-        def out(hosts: list[str]) -> pa.RecordBatch:
-            texts = [_dump(held.pop(h)) for h in hosts]
-            salt = [zlib.crc32(t.encode()) % salts for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(salt, pa.int32()), pa.array(texts)], ["host", "salt", "wrapper"])
+        def out(keys: list[tuple[str, str]]) -> pa.RecordBatch:
+            texts = [_dump(held.pop(k)) for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(texts)], ["host", "place", "wrapper"])
 
         for batch in batches:
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, new = _host(url), wrap(parse(page))
-                held[host] = _same_part(held.pop(host), new) if host in held else new
-            if len(held) > held_hosts:
-                yield out(list(held)[: len(held) - held_hosts])
+            for block in blocks(batch, "html"):
+                for url, page in zip(block.column("url").to_pylist(), block.column("html").to_pylist(), strict=True):
+                    new = wrap(parse(page))
+                    key = _host(url), skeleton(new)
+                    held[key] = _same_part(held.pop(key), new) if key in held else new
+                if len(held) > held_wrappers:
+                    yield out(list(held)[: len(held) - held_wrappers])
         if held:
             yield out(list(held))
 
-    def merge(rows: pd.DataFrame) -> str:
-        merged = Part.load(json.loads(rows["wrapper"].iloc[0]))
-        for text in rows["wrapper"].iloc[1:]:
-            merged = _same_part(merged, Part.load(json.loads(text)))
-        return _dump(merged)
-
-    def some(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [merge(rows)]})
-
-    scanned = rows.mapInArrow(scan, "host string, salt int, wrapper string")
-    parts = scanned.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(some, "host string, wrapper string")
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        merged, same, last = None, None, None
+        for place, text in rows.sort_values("place", kind="stable")[["place", "wrapper"]].itertuples(index=False):
+            part = Part.load(json.loads(text))
+            if place == last:
+                same = _same_part(same, part)
+                continue
+            if same is not None:
+                merged = same if merged is None else _same_part(merged, same)
+            same, last = part, place
+        merged = same if merged is None else _same_part(merged, same)
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "place": rows["begin"].iloc[:1], "wrapper": [_dump(merged)]})
+
+    found = materialize(rows.mapInArrow(scan, "host string, place string, wrapper string"), "skeletons")
+    most = found.select("host", "place").distinct().groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    digits = 0
+    while group * 16**digits < most:
+        digits += 1
+    for length in range(digits, -1, -1):
+        begun = found.withColumn("begin", F.substring("place", 1, length))
+        found = begun.groupBy("host", "begin").applyInPandas(merge, "host string, place string, wrapper string")
+    return found.select("host", "wrapper")
 
 
 def main_texts(

@@ -110,7 +110,7 @@ def test_pages_of_a_host(spark, empty):
     pages = [(k, f"http://h.org/{k}", f"<html><body>{body.format(k)}") for k in range(8)]
     pages += [(100, None, PAGE), (101, "http://h.org/x", None), (102, "HTTPS://Other.org?x", PAGE), (103, "", ""), (0, *pages[0][1:])]
     table = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, host string")
-    found = wrappers.infer_wrappers(table, held_hosts=1)
+    found = wrappers.infer_wrappers(table, held_wrappers=1)
     for limit in (32 << 20, -1):  # by broadcast and by join
         got = [tuple(r) for r in main_texts(table, found, broadcast_bytes=limit).collect()]
         texts = {i: t for i, _, t, _ in got}
@@ -132,3 +132,26 @@ def test_given_pages_lose_nothing(spark, sf):
     pages = sf("pages")
     got = {r.page_id: r.text for r in main_texts(pages, wrappers.infer_wrappers(pages)).collect()}
     assert got == {r.page_id: article(r.html) for r in pages.collect()}
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages(spark):
+    """Pages without any element or word that names their parts, in three orders, over 1, 4 and 211 partitions."""
+    rng = random.Random(9)
+    rows = []
+    for host in range(6):
+        for k in range(14):
+            body = "".join(f"<div><p>{host} {k} line {i} of running text</p></div>" for i in range(rng.randrange(1, 5)))
+            extra = "".join(rng.choice(["<hr>", "<section><b>x</b></section>", "<table><tr><td>1</td></tr></table>", "<dl><dt>a<dd>b</dl>"]) for _ in range(rng.randrange(4)))
+            rows.append((host * 100 + k, f"http://h{host}.org/{k}", f"<body><div>Site {host}</div><div>{extra}</div><div>{body}</div>{extra}<div>End</div>"))
+    schema, seen = "page_id long, url string, html string", set()
+    for seed, partitions, group, held in ((0, 1, 256, 4096), (1, 4, 256, 3), (2, 211, 256, 1)):
+        random.Random(seed).shuffle(rows)
+        table = spark.createDataFrame(rows, schema).repartition(partitions)
+        found = wrappers.infer_wrappers(table, group=group, held_wrappers=held).collect()
+        assert len(found) == 6
+        seen.add(tuple(sorted(map(tuple, found))))
+    assert len(seen) == 1
+    for partitions in (1, 4):  # and with a tree of several levels
+        found = wrappers.infer_wrappers(spark.createDataFrame(rows, schema).repartition(partitions), group=1).collect()
+        seen.add(tuple(sorted(map(tuple, found))))
+    assert len(seen) == 2 and len(found) == 6
