@@ -45,6 +45,7 @@ NOT_MAIN_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article articlebody main maincontent".split())
 LANDMARKS = frozenset("html body main article".split())  # what a class says of these is about the layout
+GROUPING = frozenset("div section center".split())  # elements that say nothing of what they hold
 TALK_WORDS = frozenset("comment comments reply replies discussion disqus respond".split())
 
 
@@ -178,12 +179,36 @@ def parse(page: str | None) -> Block:
             stack.append((tag, block))
     flush()
     _spare(root)
+    _shape(root)
     return root
 
 
 # -- wrappers -------------------------------------------------------------------------------------
 
 
+def _shape(root: Block) -> None:
+    """Tell blocks that only group others apart by what they hold, so that neighbours of different content are no repetition.
+
+    A word that begins with ``^`` is added to their signature: links (most of the text), text alone, blocks with
+    text, or nothing. Which blocks occur inside doesn't matter; a text may have lists on one page and none on another.
+    """
+    order: list[tuple[Block, int]] = []
+    todo = [(root, -1)]
+    while todo:
+        block, up = todo.pop()
+        todo += [(kid, len(order)) for kid in block.kids]
+        order.append((block, up))
+    chars, links = [len(b.text) for b, _ in order], [min(b.links, len(b.text)) for b, _ in order]
+    for at in range(len(order) - 1, -1, -1):
+        block, up = order[at]
+        if up >= 0:
+            chars[up] += chars[at]
+            links[up] += links[at]
+        if block.sig.split(".", 1)[0] in GROUPING:
+            nested = any(kid.sig != "#text" for kid in block.kids)
+            block.sig += ".^links" if 2 * links[at] > chars[at] else ".^none" if not chars[at] else ".^blocks" if nested else ".^text"
+
+
 @dataclass
 class Part:
     """One element of a wrapper: a block or text slot that may be missing (optional) or come again (repeated)."""

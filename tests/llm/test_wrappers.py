@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 from deskwise.llm import wrappers
 from deskwise.llm.wrappers import extract, main_texts, parse, wrap
@@ -134,6 +136,21 @@ def test_given_pages_lose_nothing(spark, sf):
     assert got == {r.page_id: article(r.html) for r in pages.collect()}
 
 
+def test_slots_decide_where_no_element_names_the_text(spark):
+    """The given pages with every landmark element renamed and every class, id and role taken away."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = [
+        (r.page_id, r.url, re.sub(r"(<\w+[^>]*?)\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", r"\1", re.sub(r"<(/?)(article|main|nav|header|footer|aside)\b[^>]*>", r"<\1div>", r.html, flags=re.I)))
+        for r in pages.collect()
+    ]
+    table = spark.createDataFrame(plain, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in main_texts(table, wrappers.infer_wrappers(table)).collect()}
+    whole = {r.page_id: r.text for r in main_texts(pages, wrappers.infer_wrappers(pages)).collect()}
+    hosts = Counter(wrappers._host(url) for _, url, _ in plain)
+    known = [i for i, url, _ in plain if hosts[wrappers._host(url)] >= 4]
+    assert len(known) > 150 and sum(found[i] == whole[i] for i in known) >= 0.95 * len(known)
+
+
 def test_wrappers_do_not_depend_on_the_order_of_pages(spark):
     """Pages without any element or word that names their parts, in three orders, over 1, 4 and 211 partitions."""
     rng = random.Random(9)
