@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deskwise.functions import text as tx
 from deskwise.functions.columns import col, compute_once
+from deskwise.session import broadcast_if_small
 
 ROW = "__row"
 STRETCH = 1 << 16  # turn numbers of a conversation in one window
@@ -27,14 +28,18 @@ def pair_turns(
 
     Turn numbers are unique inside a conversation. Each stretch of ``STRETCH`` numbers is one window, so that
     a conversation holding a third of all rows still spreads over every partition; the last message of a
-    stretch meets the first one of the conversation's next stretch.
+    stretch meets the first one of the conversation's next stretch. Texts are shuffled once: which messages are first is
+    found on the keys alone, and they are few, since most conversations have one stretch only.
     """
     message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = turns.select(F.col(conv), F.floor(F.col(turn) / STRETCH).alias("__stretch"), message.alias("__m"))
     inside = Window.partitionBy(conv, "__stretch").orderBy("__m.turn")
     across = Window.partitionBy(conv).orderBy("__stretch")
-    heads = rows.withColumn(ROW, F.row_number().over(inside)).where(F.col(ROW) == 1)
-    heads = heads.select(conv, F.lag("__stretch").over(across).alias("__stretch"), F.col("__m").alias("__head"))
+    starts = rows.groupBy(conv, "__stretch").agg(F.min("__m.turn").alias("__turn"))
+    starts = starts.withColumn("__before", F.lag("__stretch").over(across)).where("__before IS NOT NULL")
+    starts = starts.select(F.col(conv).alias("__conv"), F.col("__turn"), "__before")
+    first = (F.col(conv) == F.col("__conv")) & (F.col("__m.turn") == F.col("__turn"))
+    heads = rows.join(broadcast_if_small(starts), first).select(conv, F.col("__before").alias("__stretch"), F.col("__m").alias("__head"))
     asked = rows.withColumn("__next", F.lead("__m").over(inside)).where(F.col("__m.role") == inbound)
     reply = F.coalesce("__next", "__head")
     pairs = asked.join(heads, [conv, "__stretch"], "left").withColumn("__reply", reply)

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskwise.session import materialize, shared_dir
+from deskwise.operators.joins import lookup_join
+from deskwise.session import broadcast_if_small, materialize, shared_dir
 
 DECIMALS = 6
 SCALE = 10**DECIMALS
@@ -461,8 +462,14 @@ def rerank(
 
 
 def gather_cases(cases: DataFrame, history: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fetch wide history columns for the few winning rows only; a case without a history row keeps nulls."""
-    return cases.join(history.select("history_id", *columns), "history_id", "left")
+    """Fetch wide history columns for the few winning rows only; a case without a history row keeps nulls.
+
+    A case that is everybody's neighbour is dealt to as many tasks as its count asks for. Only rows that some case
+    names are looked at.
+    """
+    wanted = cases.select(F.col("history_id").alias("__wanted")).distinct()
+    rows = history.select(F.col("history_id").alias("__id"), *columns).join(broadcast_if_small(wanted), F.col("__id") == F.col("__wanted"), "left_semi")
+    return lookup_join(cases, "history_id", rows, "__id", "left").drop("__id")
 
 
 def best_similarity(cases: DataFrame, profile: str) -> DataFrame:

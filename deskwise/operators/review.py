@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskwise.operators.curation import blank_columns
+from deskwise.operators.joins import lookup_join
 from deskwise.operators.ranking import uniform_sample
 
 SCORES = ("human_relevance", "human_actionability", "human_safety", "human_grounding", "human_overall")
@@ -31,7 +32,8 @@ def check_scores(df: DataFrame, scores=SCORES) -> DataFrame:
 
 def upsert(current: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Rows of ``updates`` replace those of ``current`` with the same key."""
-    return current.join(updates.select(key), key, "left_anti").unionByName(updates)
+    keys = updates.select(F.col(key).alias("__updated")).where("__updated IS NOT NULL").distinct()
+    return lookup_join(current, key, keys, "__updated", "left_anti").unionByName(updates)
 
 
 def review_summary(df: DataFrame, scores=SCORES, overall: str = "human_overall", good: int = 4) -> DataFrame:

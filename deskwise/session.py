@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,14 +29,15 @@ def get_spark(app: str = "deskwise", master: str | None = None, **extra: str) ->
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only a local session may fall back to a temporary folder; on a cluster an unset
-    ``spark.checkpoint.dir`` is an error, because executors would not see the path.
+    Where it is unset, a session whose master is this machine takes a new temporary folder once; on a cluster that is an
+    error, because executors would not see the path.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = os.path.join(tempfile.gettempdir(), "deskwise-scratch")
+        base = tempfile.mkdtemp(prefix="deskwise-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
