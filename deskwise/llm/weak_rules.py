@@ -17,20 +17,31 @@ GOOD, BAD, ABSTAIN = 1, 0, -1
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Prior of a good document and, by rule and class, the probability of each vote."""
+    """Prior of a good document and, by rule and class, the probability of each vote.
+
+    With ``one_sided`` an abstention is no evidence and a vote never counts against what it says, which is for labelers
+    that abstain nearly always; without, the posterior is that of the model.
+    """
 
     prior: float
     rates: dict[str, dict[int, dict[int, float]]]
+    one_sided: bool = False
 
     def log_odds(self, rule: str, vote: int) -> float:
-        """Evidence of one vote for a good document; a rule never counts against its own vote."""
+        """Evidence of one vote for a good document."""
         odds = math.log(self.rates[rule][GOOD][vote] / self.rates[rule][BAD][vote])
+        if not self.one_sided:
+            return odds
         return max(odds, 0.0) if vote == GOOD else min(odds, 0.0) if vote == BAD else 0.0
 
     def posterior(self, votes: Mapping[str, int]) -> float:
         odds = math.log(self.prior / (1 - self.prior)) + sum(self.log_odds(r, v) for r, v in votes.items())
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
+    def log_likelihood(self, votes: Mapping[str, int]) -> float:
+        good, bad = (math.log(p) + sum(math.log(self.rates[r][k][v]) for r, v in votes.items()) for k, p in ((GOOD, self.prior), (BAD, 1 - self.prior)))
+        return max(good, bad) + math.log1p(math.exp(-abs(good - bad)))
+
 
 def repeated_words(words: Column, n: int = 8) -> Column:
     """Words inside n-word windows that occur twice or more in the same text, each word once.
@@ -126,34 +137,45 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit_votes(votes: DataFrame, names: list[str], rounds: int = 50, prior: float = 0.9) -> VoteModel:
+def fit_votes(votes: DataFrame, names: list[str], rounds: int = 500, prior: float = 0.9) -> VoteModel:
     """Accuracies of the rules from their votes alone, by expectation-maximisation with two classes.
 
-    An abstention is no evidence, and no vote counts against what it says.
-
     The votes are counted by pattern on Spark, over all rows; at most ``3 ** rules`` pattern counts reach the
     driver, whatever the number of rows. The start says that rules are right rather than wrong; counts are
     smoothed by one, so that no vote is ever certain. An empty table leaves the start as it is.
     """
     counts = [(tuple(r[:-1]), r[-1]) for r in votes.groupBy(*names).count().collect()]
     start = {GOOD: {GOOD: 0.85, BAD: 0.005, ABSTAIN: 0.145}, BAD: {GOOD: 0.6, BAD: 0.3, ABSTAIN: 0.1}}
-    return maximise(counts, names, start, prior, rounds)
+    return maximise(counts, names, start, prior, rounds, one_sided=False)
+
 
+def maximise(
+    counts: list[tuple[tuple, int]], names: list[str], start: dict[int, dict[int, float]], prior: float, rounds: int = 50,
+    one_sided: bool = True, tolerance: float = 1e-9,
+) -> VoteModel:
+    """Expectation-maximisation over counted vote patterns; ``start`` has the first rates of every rule by class and vote.
 
-def maximise(counts: list[tuple[tuple, int]], names: list[str], start: dict[int, dict[int, float]], prior: float, rounds: int = 50) -> VoteModel:
-    """Expectation-maximisation over counted vote patterns; ``start`` has the first rates of every rule by class and vote."""
-    model = VoteModel(prior, {n: {k: dict(v) for k, v in start.items()} for n in names})
+    It ends when the log likelihood changes by less than a ``tolerance``-th part, or after ``rounds``. Likelihood says nothing of
+    a ``one_sided`` model, whose posterior is another; that takes all rounds.
+    """
+    model, before = VoteModel(prior, {n: {k: dict(v) for k, v in start.items()} for n in names}, one_sided), None
     for _ in range(rounds if counts else 0):
         seen = {n: {GOOD: dict.fromkeys((GOOD, BAD, ABSTAIN), 1.0), BAD: dict.fromkeys((GOOD, BAD, ABSTAIN), 1.0)} for n in names}
         good = bad = 1.0
+        likelihood = 0.0
         for pattern, rows in counts:
-            p = model.posterior(dict(zip(names, pattern, strict=True)))
+            votes = dict(zip(names, pattern, strict=True))
+            p = model.posterior(votes)
+            likelihood += rows * model.log_likelihood(votes)
             good, bad = good + p * rows, bad + (1 - p) * rows
-            for n, v in zip(names, pattern, strict=True):
+            for n, v in votes.items():
                 seen[n][GOOD][v] += p * rows
                 seen[n][BAD][v] += (1 - p) * rows
+        if not one_sided and before is not None and abs(likelihood - before) <= tolerance * abs(likelihood):
+            break
+        before = likelihood
         rates = {n: {k: {v: x / sum(by.values()) for v, x in by.items()} for k, by in seen[n].items()} for n in names}
-        model = VoteModel(good / (good + bad), rates)
+        model = VoteModel(good / (good + bad), rates, one_sided)
     return model
 
 
@@ -163,7 +185,7 @@ def posterior(model: VoteModel) -> Column:
     for rule in model.rates:
         vote = F.col(rule)
         score = F.when(vote == GOOD, model.log_odds(rule, GOOD)).when(vote == BAD, model.log_odds(rule, BAD))
-        odds = odds + score.otherwise(0.0)
+        odds = odds + score.otherwise(model.log_odds(rule, ABSTAIN))
     return 1 / (1 + F.exp(-odds))
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from deskwise.llm import decontaminate, shards, weak_rules
@@ -98,3 +99,28 @@ def test_quality_rules(spark, hostile, empty, sf):
     assert judged.where("quality = 0 and kept").count() <= 1
     assert judged.where("quality = 1 and not kept and not base_failed").count() <= 1
     assert weak_rules.judge(hostile).count() == hostile.count() and weak_rules.judge(empty).count() == 0
+
+
+@pytest.mark.parametrize("good", [0.8, 0.5])
+def test_accuracies_of_simulated_rules_are_recovered(spark, good):
+    """Five rules of known accuracy vote or abstain at random; nothing but their votes is given."""
+    rng = random.Random(3)
+    names, right, speaks = list("abcde"), [0.9, 0.8, 0.75, 0.85, 0.7], [0.9, 0.6, 0.8, 0.5, 0.95]
+    counts, truth, n = Counter(), Counter(), 40_000
+    for _ in range(n):
+        label = int(rng.random() < good)
+        votes = tuple((label if rng.random() < r else 1 - label) if rng.random() < s else -1 for r, s in zip(right, speaks))
+        counts[votes] += 1
+        truth[votes, label] += 1
+    rows = spark.createDataFrame([(*v, k) for v, k in counts.items()], [*names, "k"]).selectExpr(*names, "explode(sequence(1, int(k))) as one").drop("one")
+    model = weak_rules.fit_votes(rows, names)
+    assert abs(model.prior - good) < 0.05
+    for name, r in zip(names, right):
+        for label in (0, 1):
+            rates = model.rates[name][label]
+            assert abs(rates[label] / (rates[0] + rates[1]) - r) < 0.05
+    hits = sum(k for (votes, label), k in truth.items() if (model.posterior(dict(zip(names, votes))) >= 0.5) == label)
+    best = sum(max(truth[v, 0], truth[v, 1]) for v in counts)
+    assert hits >= 0.98 * best
+    column = rows.limit(200).select(*names, weak_rules.posterior(model).alias("p")).collect()
+    assert all(abs(r.p - model.posterior({n: r[n] for n in names})) < 1e-9 for r in column)
