@@ -51,11 +51,13 @@ def characters() -> Characters:
     know, and the marks that it puts in another order than the library.
     """
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    everything = "".join(map(chr, points))
 
-    def members(kind: str) -> list[tuple[int, int]]:
-        found = pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(everything)
-        return [(a + 0x800 * (a >= 0xD800), b - 1 + 0x800 * (b - 1 >= 0xD800)) for _, (a, b) in found]
+    def members(kind: str, step: int = 1 << 13) -> list[tuple[int, int]]:
+        split, found = pre_tokenizers.Split(Regex(kind), "removed", invert=True), []
+        for at in range(0, len(points), step):  # the library keeps much beside a long text
+            for _, (a, b) in split.pre_tokenize_str("".join(map(chr, points[at : at + step]))):
+                found.append((points[at + a], points[at + b - 1]))
+        return found
 
     unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
     marks = {unicodedata.combining(chr(c)): chr(c) for c in reversed(points) if unicodedata.combining(chr(c))}
