@@ -173,22 +173,21 @@ RESPONSE_EXAMPLE_REASON = (
     "The automated response evaluation marked the response as PARTIAL."
 )
 
+# --- Fixed values: evidence sentences of the failure modes.
+EVIDENCE = {
+    "confusion": "%s was predicted as %s %d times.",
+    "retrieval": "%d of %d Golden queries had a top-1 retrieval whose predicted intent did not match the expected intent.",
+    "over": "%d routine cases were escalated although the expected decision was AUTO_HANDLE.",
+    "missed": "%d cases required human handling but the system selected AUTO_HANDLE.",
+    "partial": "%d of %d responses were rated PARTIAL; intent relevance was only %.2f%% in the automated response evaluation.",
+}
+
 # --- Fixed values: text tokens a CSV reader of the data-frame world takes as missing.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# --- Fixed values: entities decoded without leaving the JVM; the ampersand has to come last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-    ("&trade;", "™"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"),
-    ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&amp;", "&"),
-)
-
 # Function words per language, written from grammar word lists; used for the stop-word share
 # (how English is a text) and, for English, as the default stop list of TF-IDF.
 FUNCTION_WORDS = {
