@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from deskwise.config import TriageConfig
 from deskwise.functions import text as tx
+from deskwise.functions.columns import compute_once
 from deskwise.operators import curation as cu
 from deskwise.operators import guards, ranking
 from deskwise.operators.features import fit_tfidf, with_terms
@@ -93,6 +94,32 @@ def cleaning_funnel(pairs: DataFrame, profile: str = "strict", min_chars: int =
     return one.unpivot([], one.columns, "step", "n_rows")
 
 
+def write_clean_pairs(
+    pairs: DataFrame, order: Sequence[str], path: str, profile: str = "strict", min_chars: int = 10, english: float = 0.80
+) -> dict[str, int]:
+    """Write what :func:`clean_pairs` keeps and return the figures of :func:`cleaning_funnel`, from that one job.
+
+    Rows are observed as they flow by, once before the de-duplication and once behind it. Here it comes before the tests that
+    follow it in the funnel, which is the same result: equal pairs pass or fail together.
+    """
+    a, b = PAIR
+    before, after = Observation("cleaned"), Observation("distinct")
+    whole = F.col(a).isNotNull() & F.col(b).isNotNull()
+    cleaned = cu.clean_columns(pairs.withColumn("__full", whole), PAIR, profile)
+    filled = F.col("__full") & (F.col(a) != "") & (F.col(b) != "")
+    counts = [F.count(F.lit(1)).alias("1 input"), F.count_if("__full").alias("2 not null"), F.count_if(filled).alias("3 not empty")]
+    distinct = cu.dedupe_first(cleaned.observe(before, *counts).where(filled).drop("__full"), PAIR, order)
+    long = (F.length(a) >= min_chars) & (F.length(b) >= min_chars)
+    speaks = (tx.language_share(a) >= english) & (tx.language_share(b) >= english)
+    # The step a pair gets to; the language test only runs on what the cheap tests leave over.
+    step = F.when(~long, 4).when(tx.is_acknowledgement(a), 5).when(~speaks, 6).otherwise(7)
+    judged = compute_once(distinct, {"__step": step})
+    names = {4: "4 distinct", 5: "5 long enough", 6: "6 not an acknowledgement", 7: "7 english"}
+    judged = judged.observe(after, *[F.count_if(F.col("__step") >= k).alias(n) for k, n in names.items()])
+    judged.where("__step = 7").drop("__step").write.parquet(path)
+    return {**before.get, **after.get}
+
+
 def discover_intents(
     messages: DataFrame,
     order: Sequence[str],

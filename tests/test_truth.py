@@ -4,7 +4,8 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from deskwise.operators import guards, ranking
+from deskwise.operators import curation, guards, ranking
+from deskwise.plans import corpus
 
 
 @pytest.mark.parametrize("piece", [1024, 7, 1])
@@ -38,6 +39,18 @@ def test_guard_counts_come_from_the_writing_job(spark, tmp_path):
     assert kept.columns == sent.columns and kept.count() == counts["n_kept"] == 2
 
 
+def test_the_funnel_comes_from_the_writing_job(spark, tmp_path):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    sent = curation.pair_turns(turns).withColumn("pos", F.col("conv_id") * 1000 + F.col("turn"))
+    odd = [("thanks", "ok then, the bye"), ("", "the end is near"), (None, "x"), ("the same is the same", "as it was in the end"), ("the same is the same", "as it was in the end"), ("a b", "c")]
+    odd = spark.createDataFrame([(10**9 + k, *p) for k, p in enumerate(odd)], "pos long, customer_message string, agent_response string")
+    sent = sent.select("pos", *corpus.PAIR).unionByName(odd)
+    counts = corpus.write_clean_pairs(sent, ["pos"], str(tmp_path / "clean"))
+    assert counts == {r.step: r.n_rows for r in corpus.cleaning_funnel(sent).collect()}
+    assert rows(spark.read.parquet(str(tmp_path / "clean")), "pos") == rows(corpus.clean_pairs(sent, ["pos"]), "pos")
+    assert len(set(counts.values())) > 3
+
+
 @pytest.mark.parametrize("share", [0.0, 0.1, 0.2, 0.37, 0.5, 1.0])
 def test_a_split_has_the_total_asked_for(spark, share):
     sizes = {"a": 33, "b": 7, "c": 1, "d": 12, None: 5}
