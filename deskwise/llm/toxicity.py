@@ -24,7 +24,7 @@ from deskwise.session import materialize
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "dumb", "ugly", "hate", "jerk", "fool")
 SECOND_PERSON = frozenset("you your yours yourself tu toi te vous votre du dich dir dein ihr euch usted ti tus".split())
 STEM_SIZES = range(3, 9)
-LEET = str.maketrans("013457@$!", "oieastasi")
+LEET = str.maketrans("0134579@$!", "oieastgasi")
 
 FEATURES = [
     "insult_rate", "insults", "insult_kinds", "learned_rate", "learned_sum", "learned_kinds", "learned_top", "near_you",
@@ -32,6 +32,23 @@ FEATURES = [
 ]
 
 
+TOKEN = re.compile(r"\S*[0134579@$!*._\-]\S*")  # what may be disguised: a look-alike, a star or a separator somewhere
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")  # single letters in a row
+EDGES = ".,;:?!\"'()[]-_"
+
+
+def disguised(token: str, lexicon: Lexicon, insults: frozenset[str]) -> bool:
+    """Is a token an insult or a learned word behind look-alikes at any place, separators between letters, or stars for letters?"""
+    token = token.lstrip("([\"'").rstrip(EDGES)
+    if not re.search(r"[0134579@$!*._\-]", token) or not re.search(r"[^\W\d_]", token):
+        return False
+    plain = token.translate(LEET)
+    if "*" in plain and any(len(w) == len(plain) and all(a in ("*", b) for a, b in zip(plain, w, strict=True)) for w in insults):
+        return True
+    plain = re.sub(r"[*.\-_]", "", plain)
+    return plain in insults or bool(lexicon.of([plain]))
+
+
 def describe(text: str | None, lexicon: Lexicon, insults: frozenset[str], reach: int = 5) -> list[float]:
     """The features of one whole text; null and empty texts have zeros throughout."""
     text = text or ""
@@ -45,11 +62,8 @@ def describe(text: str | None, lexicon: Lexicon, insults: frozenset[str], reach:
     if found and you:
         at = [k for k, w in enumerate(words) if w in SECOND_PERSON]
         near = sum(any(words[j] in insults for j in range(max(0, k - reach), min(len(words), k + reach + 1))) for k in at)
-    # Disguised words: letters mixed with look-alikes, or cut up by stars and dots.
-    hidden = 0
-    for token in re.findall(r"[a-z]+[0134579@$!*.\-_]+[a-z][\w@$!*.\-]*", lower):
-        plain = re.sub(r"[*.\-_]", "", token.translate(LEET))
-        hidden += plain in insults or bool(lexicon.of([plain]))
+    hidden = sum(disguised(token, lexicon, insults) for token in TOKEN.findall(lower))
+    hidden += sum(any(w in spaced.replace(" ", "") for w in insults) for spaced in SPACED.findall(lower))
     letters = max(1, len(text) - text.count(" "))
     return [
         len(found) / n, math.log1p(len(found)), len(set(found)), len(learned) / n, math.log1p(sum(w for _, w in learned)),
@@ -87,8 +101,7 @@ def learn_lexicon(train: DataFrame, size: int = 400, least: int = 4, floor: floa
         return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
     often = counted(texts.where("label = 1"), None).where(F.col("n") >= least)
-    # At most a million stems of the sample's toxic documents can be telling; the sample bounds them well below.
-    found = {r["stem"]: r["n"] for r in often.orderBy(F.desc("n"), "stem").limit(1_000_000).collect()}
+    found = {r["stem"]: r["n"] for r in often.collect()}  # bounded by the sample of toxic documents
     known = frozenset(found)
     clean = {r["stem"]: r["n"] for r in counted(texts.where("label = 0"), known).collect()}
     odds = {

@@ -121,3 +121,15 @@ def test_statistics_and_stems():
     assert quality.describe(None) == quality.describe("") == quality.describe(" \n") == [0.0] * len(quality.STATISTICS)
     assert toxicity.stems("Idiots, no") == {"idi", "idio", "idiot", "idiots"}
     assert Counter(toxicity.Lexicon({"idi": 1.0}).of(["idiot", "id", "other"])) == Counter([("idi", 1.0)])
+
+
+def test_disguised_insults_are_found():
+    known, none = frozenset(toxicity.INSULTS), toxicity.Lexicon({})
+    at = toxicity.FEATURES.index("hidden_rate")
+    for token in ("idi*t", "$tupid", "1diot", "st*pid", "i.d.i.o.t", "1d10t", "(m0r0n)", "l-o-s-e-r!", "i d i o t", "u9ly", "'tr@sh'", "STUP!D,"):
+        found = toxicity.describe(f"Well, you are a {token} indeed.", none, known)
+        assert found[at] > 0, token
+    for text in ("It costs 5$ or 10.50 at 9-11.", "e.g. a well-known 3-day trip", "2 * 3 = 6 ** 2", "a b c of it", "mail a.b@c.de", "", None, "*** --- ..."):
+        assert toxicity.describe(text, none, known)[at] == 0, text
+    learned = toxicity.Lexicon({"blor": 3.0})
+    assert toxicity.describe("such bl0rking", learned, known)[at] > 0

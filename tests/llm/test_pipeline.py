@@ -37,4 +37,4 @@ def test_stages_against_brute_force(spark):
 
 def test_registered_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and "pipeline" in entry.queries()
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] and "pipeline" in entry.queries()
