@@ -1,3 +1,8 @@
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from deskwise.llm import pii
@@ -32,7 +37,32 @@ def test_stages_against_brute_force(spark):
     masked = stages["PII"](spark, spark.createDataFrame(clean, docs.schema), FOLDER)
     assert masked.columns == docs.columns and masked.count() == len(clean)
     assert all(not pii.base_spans(r.text) and r.n_chars == len(r.text) for r in masked.collect())
-    assert stages["BPE encoding and decoding"](spark, masked, FOLDER).where("n_tokens * 4 = length(ids)").count() == len(clean)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in masked.collect()}
+    coded = stages["BPE encoding and decoding"](spark, masked, FOLDER).collect()
+    assert len(coded) == len(clean)
+    for r in coded:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+
+
+def test_stages_take_odd_tables(spark, hostile, empty):
+    """Nulls in every column, empty, blank and very long texts, repeated rows and ids, columns named like inner ones; nothing at all."""
+    kinds = {"quality classifier": None, "SimHash near-dedup": 7, "benchmark decontamination": None, "PII": 14}
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (hostile, empty):
+            docs = table.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(None).cast("long")})
+            rows = stage(spark, docs, FOLDER).collect()
+            if table is empty:
+                assert not rows, name
+            elif name in kinds:
+                assert set(rows[0].asDict()) == set(corpus_pipeline.COLUMNS) and len(rows) <= 14, name
+            else:
+                assert len(rows) == 14 and {r.n_tokens for r in rows if r.doc_id in (2, 3)} == {0}
+            if name == "SimHash near-dedup" and rows:
+                assert len({brute_fp(r.text) for r in rows}) == len(rows) == len({find for find in classes({brute_fp(r.text) for r in hostile.collect()}).values()})
+            if name == "PII" and rows:
+                assert len(rows) == 14 and not any(pii.base_spans(r.text or "") for r in rows)
 
 
 def test_registered_names():
