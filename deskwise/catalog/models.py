@@ -171,7 +171,7 @@ def clean_pairs_model(t):
 
 
 @query("encode_hash", f"""
-SELECT doc_id, 256 AS dims, (len(regexp_extract_all(lower(text), '[{s.W}]{{2,}}')) > 0)::INTEGER::DOUBLE AS length FROM documents""")
+SELECT doc_id, 256::BIGINT AS dims, (len(regexp_extract_all(lower(text), '[{s.W}]{{2,}}')) > 0)::INTEGER::DOUBLE AS length FROM documents""")
 def encode_hash(t):
     rows = docs(t).select("doc_id", "text")
     model = features.hashed_encoder(rows, "text")
