@@ -125,7 +125,7 @@ def _quantised_top50(t):
 
 @query("semantic_top50_pq")
 def semantic_top50_pq(t):
-    """Approximate: one byte for every four dimensions is scanned, 150 rows of a query are scored exactly."""
+    """Approximate: one byte for every two dimensions is scanned, 150 rows of a query are scored exactly."""
     return as_bigint(_quantised_top50(t), "semantic_rank")
 
 

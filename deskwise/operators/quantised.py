@@ -2,7 +2,7 @@
 
 History vectors are filed under their nearest pivot. What is left of a vector after its pivot is cut into
 ``subspaces`` pieces, and each piece becomes the number of its nearest codeword, one byte. A search reads bytes
-instead of vectors: a sixteenth of the volume at 64 float dimensions and 16 pieces. The best ``rescore`` rows of a query by
+instead of vectors: an eighth of the volume at 64 float dimensions and 32 pieces. The best ``rescore`` rows of a query by
 these approximate scores, a number that does not grow with the history, are scored exactly.
 
 The exact strategies of :mod:`deskwise.operators.retrieval` stay the default. How many of the true best rows are found
@@ -113,7 +113,7 @@ def train_books(filed: HistoryIndex, subspaces: int, codewords: int, sample_rows
 
 
 def index_quantised(
-    history: DataFrame, carry: Sequence[str] = (), subspaces: int = 16, codewords: int = 256, n_pivots: int = 4096,
+    history: DataFrame, carry: Sequence[str] = (), subspaces: int = 32, codewords: int = 256, n_pivots: int = 4096,
     sample_rows: int = 65_536, rounds: int = 12, seed: int = 5, path: str | None = None,
 ) -> QuantisedIndex:
     """File ``history`` (history_id, embedding, carried columns) and write codes and codewords below ``path``.
