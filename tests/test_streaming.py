@@ -1,6 +1,7 @@
 from frames import rows
 from pyspark.sql import functions as F
 
+from deskwise import catalog
 from deskwise.config import BATCH
 from deskwise.operators.guards import exclude_ids
 from deskwise.plans import triage as plan
@@ -65,3 +66,20 @@ def test_dedupe_and_mix_over_events(spark, tmp_path):
     mix = run(spark, ms.decision_mix(stream.withColumn("d", F.col("event_type")), "ts", "d"), tmp_path, "mix")
     total = mix.agg(F.sum("n")).first()[0]
     assert 0 < total <= events.count()
+
+
+def folder_of_folders(spark, path):
+    """The smallest tables, each a folder of two files."""
+    for name in ("conversations", "documents", "labels", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(2).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def same_as_one_file(spark, name, path):
+    run = catalog.queries()[name]
+    found, want = (run(spark, folder) for folder in (folder_of_folders(spark, path), "/root/testdata/sf0.001"))
+    assert rows(found, *found.columns) == rows(want, *found.columns) and found.count() > 0
+
+
+def test_messages_of_a_table_of_several_files(spark, tmp_path):
+    same_as_one_file(spark, "stream_messages", tmp_path)
