@@ -83,3 +83,7 @@ def same_as_one_file(spark, name, path):
 
 def test_messages_of_a_table_of_several_files(spark, tmp_path):
     same_as_one_file(spark, "stream_messages", tmp_path)
+
+
+def test_guarded_documents_of_a_table_of_several_files(spark, tmp_path):
+    same_as_one_file(spark, "stream_guard", tmp_path)
