@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from frames import rows
@@ -186,3 +188,42 @@ def test_grid_search_emits_few_rows(spark, monkeypatch):
     monkeypatch.setattr(rt, "top_candidates", counted)
     assert found(rt.semantic_candidates(queries, history, exclude_self=True, strategy="grid", block_rows=256)) == want
     assert sum(emitted) <= 3 * 50 * queries.count()
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_running_best_equals_brute_force_in_little_memory():
+    rng = np.random.default_rng(7)
+    vectors = unit(rng.normal(size=(6000, 16)))
+    vectors[1000:1600] = vectors[1000]  # copies: the lowest ids win
+    ids, asked = rng.permutation(6000) + 100, np.arange(0, 6000, 3)
+    best = rt.Best(ids[asked], vectors[asked].astype(float), 20, True)
+
+    def run():
+        for i in range(0, 6000, 4000):
+            best.add(rt.Items(ids[i : i + 4000], vectors[i : i + 4000].astype(float), [ids[i : i + 4000] * 2]))
+        return best.columns()
+
+    (qids, hids, sims, twice), peak = peak_mb(run)
+    got = sorted(zip(qids.tolist(), (-sims).tolist(), hids.tolist()))
+    want = brute(ids[asked].tolist(), vectors[asked], ids.tolist(), vectors, 20, True)
+    assert got == sorted((q, -s, h) for q, h, s, _ in want) and (twice == 2 * hids).all()
+    assert peak < 100  # all pairs of a block were in memory several times: 360 MB
+
+
+def test_what_tasks_keep_decides_the_strategy_too(spark, crowded, monkeypatch):
+    q, h = frame(spark, range(30), crowded[0], name="query_id"), frame(spark, range(600), crowded[1])
+    used, grid = [], rt._grid_search
+    monkeypatch.setattr(rt, "_grid_search", lambda *a: used.append("grid") or grid(*a))
+    monkeypatch.setattr(rt, "MAX_KEPT", 90, raising=False)
+    want = found(rt.semantic_candidates(q, h, k=3))
+    assert used == []
+    monkeypatch.setattr(rt, "MAX_KEPT", 89, raising=False)
+    assert found(rt.semantic_candidates(q, h, k=3)) == want and used == ["grid"]
