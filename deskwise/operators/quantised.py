@@ -24,10 +24,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from deskwise.functions import vectors as vx
 from deskwise.operators.joins import lookup_join
-from deskwise.operators.retrieval import DECIMALS, HistoryIndex, index_history, load_index, matrix_of, top_candidates
+from deskwise.operators.retrieval import DECIMALS, Best, HistoryIndex, Items, index_history, load_index, matrix_of, top_candidates
 from deskwise.session import materialize, shared_dir
 
-QUERIES_AT_ONCE = 256
+CODES_AT_ONCE = 4096
 
 
 @dataclass(frozen=True)
@@ -170,29 +170,23 @@ def approximate(queries: DataFrame, index: QuantisedIndex, keep: int, probe_shar
         found = []
         if left.num_rows and right.num_rows:
             sizes, pivots, books = shipped.value
-            cell = right["cell"].to_numpy()
-            code = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(-1, len(books))
-            rows = decoded(code, cell, books, pivots)
-            asked, ids = left["query_id"].combine_chunks(), right["history_id"].combine_chunks()
-            vectors = matrix_of(left["vector"])
-            for at in range(0, len(asked), QUERIES_AT_ONCE):
-                q = vectors[at : at + QUERIES_AT_ONCE]
-                scores = q @ rows.T
-                if probe_share < 1:
-                    order = np.argsort(-(q @ pivots.T), axis=1, kind="stable")
-                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                    visits = np.zeros(order.shape, bool)
-                    np.put_along_axis(visits, order, before < probe_share * sizes.sum(), axis=1)
-                    scores[~visits[:, cell]] = -np.inf
-                if keep < len(ids):
-                    best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-                else:
-                    best = np.broadcast_to(np.arange(len(ids)), scores.shape)
-                scores = np.take_along_axis(scores, best, 1)
-                row, col = np.nonzero(scores > -np.inf)
-                found.append([asked.take(pa.array(row + at)), ids.take(pa.array(best[row, col])), pa.array(scores[row, col])])
-        parts = [pa.table(p, names=schema.names) for p in found]
-        return pa.concat_tables(parts) if parts else pa.table({f: pa.array([], t) for f, t in zip(schema.names, arrow_types, strict=True)})
+            vectors, asked = matrix_of(left["vector"]), np.arange(left.num_rows)
+            visits = None
+            if probe_share < 1:
+                order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                visits = np.zeros(order.shape, bool)
+                np.put_along_axis(visits, order, before < probe_share * sizes.sum(), axis=1)
+            best = Best(asked, vectors, keep, False, scale=None)
+            for at in range(0, right.num_rows, CODES_AT_ONCE):  # decoded vectors are in memory for so many rows only
+                part = right.slice(at, CODES_AT_ONCE)
+                cell = part["cell"].to_numpy()
+                code = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(-1, len(books))
+                items = Items(part["history_id"].to_numpy(), decoded(code, cell, books, pivots))
+                best.add(items, allowed=None if visits is None else visits[:, cell[items.order]])
+            row, ids, scores = best.columns()
+            found = [left["query_id"].combine_chunks().take(pa.array(row)), pa.array(ids, arrow_types[1]), pa.array(scores)]
+        return pa.table(found or [pa.array([], t) for t in arrow_types], names=schema.names)
 
     arrow_types = [to_arrow_type(f.dataType) for f in schema]
     keys = ["qb", "hb"]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,18 @@ def test_an_index_is_loaded_again_and_odd_inputs(spark, tmp_path):
 def test_an_empty_history(spark):
     index = qz.index_quantised(frame(spark, unit(3, 8, 8)).where("false"))
     assert qz.quantised_candidates(frame(spark, unit(3, 8, 9), "query_id"), index).count() == 0
+
+
+def test_decoded_scores_need_little_memory():
+    history, queries = unit(4 * qz.CODES_AT_ONCE, 16, 8), unit(512, 16, 9)
+    best = rt.Best(np.arange(512), queries, 150, False, scale=None)
+    tracemalloc.start()
+    for at in range(0, len(history), qz.CODES_AT_ONCE):
+        best.add(rt.Items(np.arange(at, at + qz.CODES_AT_ONCE), history[at : at + qz.CODES_AT_ONCE]))
+    row, ids, scores = best.columns()
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    truth = queries @ history.T
+    assert np.allclose(scores, truth[row, ids]) and np.bincount(row).tolist() == [150] * 512
+    assert {(r, i) for r, i in zip(row.tolist(), ids.tolist())} == {(r, i) for r, c in enumerate(np.argsort(-truth, axis=1)[:, :150]) for i in c.tolist()}
+    assert peak < 60  # scores of all pairs, their negatives and their places took three times 64 MB
