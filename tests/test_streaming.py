@@ -87,3 +87,7 @@ def test_messages_of_a_table_of_several_files(spark, tmp_path):
 
 def test_guarded_documents_of_a_table_of_several_files(spark, tmp_path):
     same_as_one_file(spark, "stream_guard", tmp_path)
+
+
+def test_growing_history_of_a_table_of_several_files(spark, tmp_path):
+    same_as_one_file(spark, "stream_growing_history", tmp_path)
