@@ -91,3 +91,7 @@ def test_guarded_documents_of_a_table_of_several_files(spark, tmp_path):
 
 def test_growing_history_of_a_table_of_several_files(spark, tmp_path):
     same_as_one_file(spark, "stream_growing_history", tmp_path)
+
+
+def test_triage_of_a_table_of_several_files(spark, tmp_path):
+    same_as_one_file(spark, "stream_triage", tmp_path)
