@@ -227,3 +227,38 @@ def test_what_tasks_keep_decides_the_strategy_too(spark, crowded, monkeypatch):
     assert used == []
     monkeypatch.setattr(rt, "MAX_KEPT", 89, raising=False)
     assert found(rt.semantic_candidates(q, h, k=3)) == want and used == ["grid"]
+
+
+def test_a_cell_is_searched_only_where_its_angles_can_reach_the_bound():
+    rng = np.random.default_rng(11)
+    history = unit(np.array([4, 1, 1, 1, 1, 1]) * rng.normal(size=(3000, 6))).astype(np.float64)
+    queries, pivot, ids = history[:40], history[7], np.arange(3000)
+    sims = np.rint(queries @ history.T * rt.SCALE) / rt.SCALE
+    bound = np.sort(sims, axis=1)[:, -10]
+    best, pairs = rt.Best(ids[:40], queries, 10, False, bound), []
+    add = best._add
+    best._add = lambda rows, items, allowed: pairs.append(len(rows) * len(items.ids)) or add(rows, items, allowed)
+    rt.Shells(pivot, ids, history, [ids % 7], 64).visit(best, np.arange(40))
+    qids, hids, found_sims, carried = best.columns()
+    got = {(int(q), int(h), float(x), int(c)) for q, h, x, c in zip(qids, hids, found_sims, carried)}
+    want = {(i, int(j), float(sims[i, j]), int(j % 7)) for i in range(40) for j in sorted(range(3000), key=lambda j: (-sims[i, j], j))[:10]}
+    assert got == want
+    assert sum(pairs) < 40 * 3000 / 2
+
+
+def test_without_a_bound_or_with_rows_that_are_no_numbers_a_cell_is_searched_whole():
+    rng = np.random.default_rng(12)
+    history = unit(rng.normal(size=(200, 6))).astype(np.float64)
+    history[3], history[50] = np.nan, 0.0
+    queries, ids = np.vstack([np.zeros(6), history[60:64]]), np.arange(200)
+    best = rt.Best(np.arange(5), queries, 5, False)
+    rt.Shells(history[9], ids, history, [], 16).visit(best, np.arange(5))
+    sims = np.rint(queries @ np.nan_to_num(history).T * rt.SCALE) / rt.SCALE
+    known = [j for j in range(200) if j != 3]
+    want = {(i, j, float(sims[i, j])) for i in range(5) for j in sorted(known, key=lambda j: (-sims[i, j], j))[:5]}
+    assert {(int(q), int(h), float(x)) for q, h, x in zip(*best.columns())} == want
+
+
+def test_small_angles_do_not_suffer_from_lengths_that_are_rounded():
+    rows = unit(np.random.default_rng(13).normal(size=(500, 64))).astype(np.float64)
+    assert np.diag(rt._angles(rows, rows)).max() < 1e-7
