@@ -1,5 +1,6 @@
 import html
 import html.entities
+import time
 
 import pytest
 from frames import column
@@ -132,3 +133,16 @@ def test_whitespace_is_pythons(spark):
     assert all(r["s"] == r["t"].strip() for r in got)
     assert all(r["u"] == re.sub(r"https?://\S+", " ", "http://" + r["t"]) for r in got)
     assert all((" " in r["q"]) == r["t"][0].isspace() for r in got)
+
+
+def test_ampersands_that_begin_no_entity_are_left_alone(spark):
+    odd = ["&", "&&", "& &amp;&", "&;&#;&#x;&#xg;&#38;&#x26;", "a&b&amp&ampx&notit;&&lt&&", "&é;&1;&_lt;", "&&amp;lt;", "&#\n1;& #38;"]
+    got = column(texts(spark, *odd).orderBy("i"), tx.decode_entities("t"))
+    assert got == [html.unescape(t) for t in odd]
+
+
+def test_a_text_of_bare_ampersands_is_not_taken_apart(spark):
+    df = texts(spark, "& " * 100_000 + "&lt;")
+    took = time.monotonic()
+    assert column(df, F.length(tx.decode_entities("t"))) == [200_001]
+    assert time.monotonic() - took < 4
