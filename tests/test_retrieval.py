@@ -262,3 +262,16 @@ def test_without_a_bound_or_with_rows_that_are_no_numbers_a_cell_is_searched_who
 def test_small_angles_do_not_suffer_from_lengths_that_are_rounded():
     rows = unit(np.random.default_rng(13).normal(size=(500, 64))).astype(np.float64)
     assert np.diag(rt._angles(rows, rows)).max() < 1e-7
+
+
+def test_a_part_of_the_history_gives_bounds_that_few_further_rows_reach(spark, monkeypatch):
+    """Vectors like word counts: what the second round emits is less than what is wanted."""
+    rng = np.random.default_rng(17)
+    vectors = unit(rng.gamma(0.4, size=(12000, 1)) * rng.dirichlet(np.full(12, 0.5), 12000) + 0.02)
+    asked = list(range(0, 12000, 60))
+    queries, history = frame(spark, asked, vectors[asked], name="query_id"), frame(spark, range(12000), vectors)
+    ranked, ranks = rt.top_candidates, []
+    monkeypatch.setattr(rt, "top_candidates", lambda pairs, k: ranks.append(pairs.count()) or ranked(pairs, k))
+    got = found(rt.semantic_candidates(queries, history, 5, strategy="grid", block_rows=64))
+    assert got == brute(asked, vectors[asked], list(range(12000)), vectors, 5)
+    assert ranks[-1] <= 2 * 5 * len(asked)
