@@ -1,7 +1,7 @@
 from frames import rows
 from pyspark.sql import functions as F
 
-from deskwise import catalog
+from deskwise import catalog, session
 from deskwise.config import BATCH
 from deskwise.operators.guards import exclude_ids
 from deskwise.plans import triage as plan
@@ -95,3 +95,17 @@ def test_growing_history_of_a_table_of_several_files(spark, tmp_path):
 
 def test_triage_of_a_table_of_several_files(spark, tmp_path):
     same_as_one_file(spark, "stream_triage", tmp_path)
+
+
+def test_guard_with_more_labels_than_are_sent(spark, tmp_path, monkeypatch):
+    """The labels are shuffled, and so is a stream that is joined as it is."""
+    monkeypatch.setattr(session, "MAX_BROADCAST_ROWS", 10)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    want = rows(docs.join(labels, "doc_id", "left_anti").select("doc_id", "lang"), "doc_id")
+    got = catalog.queries()["stream_guard"](spark, folder_of_folders(spark, tmp_path / "tables"))
+    assert rows(got, "doc_id") == want
+    docs.select(F.expr("nullif(doc_id, 3)").alias("doc_id"), "lang").write.parquet(str(tmp_path / "in"))
+    sent = spark.read.parquet(str(tmp_path / "in"))
+    guarded = exclude_ids(ms.file_stream(spark, str(tmp_path / "in"), sent.schema), labels, "doc_id")
+    want = rows(exclude_ids(sent, labels, "doc_id"), "doc_id")
+    assert rows(run(spark, guarded, tmp_path, "kept"), "doc_id") == want and None in [r[0] for r in want]
