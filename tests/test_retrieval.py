@@ -275,3 +275,35 @@ def test_a_part_of_the_history_gives_bounds_that_few_further_rows_reach(spark, m
     got = found(rt.semantic_candidates(queries, history, 5, strategy="grid", block_rows=64))
     assert got == brute(asked, vectors[asked], list(range(12000)), vectors, 5)
     assert ranks[-1] <= 2 * 5 * len(asked)
+
+
+@pytest.mark.parametrize("block_rows", [16, 4096])
+def test_history_that_is_sent_and_history_that_is_shuffled_give_the_same(spark, crowded, monkeypatch, block_rows):
+    """A row that is no number, strings as ids and carried columns; chunks smaller than the crowded cell."""
+    queries, history = crowded
+    history = np.vstack([history, np.full((1, 8), np.nan)])
+    ids = [f"h{i:03d}" for i in range(len(history))]
+    h = frame(spark, ids, history, "string", extra=["A", None, "B"] * 300)
+    q = frame(spark, [*range(30), *range(30, 40)], np.vstack([queries, history[:10]]), name="query_id")
+    monkeypatch.setattr(rt, "CHUNK_NUMBERS", 8 * 50)
+    got = []
+    for most in (4 << 30, 0):
+        monkeypatch.setattr(rt, "MAX_SHIPPED", most)
+        df = rt.semantic_candidates(q, h, 9, ["intent"], strategy="grid", block_rows=block_rows)
+        got.append(rows(df.select("query_id", "semantic_rank", "history_id", "similarity", "intent"), "query_id", "semantic_rank"))
+    assert got[0] == got[1] and len(got[0]) == 40 * 9
+    whole = rt.semantic_candidates(q, h, 9, strategy="broadcast")
+    assert [r[:4] for r in got[0]] == rows(whole.select("query_id", "semantic_rank", "history_id", "similarity"), "query_id", "semantic_rank")
+
+
+def test_history_is_not_repeated_in_the_shuffle(spark, monkeypatch):
+    """Queries are dealt out once and go through the history that was sent; vectors were shuffled once for each of 16 shares and 16 stretches."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = rt.index_history(vectors.select(F.col("vec_id").alias("history_id"), "embedding"))
+    df = rt.semantic_candidates(queries, None, 5, strategy="grid", index=index)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in text and "MapInArrow search" in text
+    sent = index.chunks
+    again = rt.semantic_candidates(queries, None, 5, strategy="grid", index=index)
+    assert index.chunks is sent and found(again) == found(df)

@@ -2,10 +2,13 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
+from deskwise import session
+from deskwise.catalog import triage as tri
 from deskwise.config import BATCH, RUNTIME
 from deskwise.functions import lexicon as lx
 from deskwise.operators import decisions as dc
 from deskwise.plans import triage as plan
+from deskwise.session import tables
 
 CLAIM = "Return / Refund"
 
@@ -118,3 +121,19 @@ def test_every_document_with_text_is_a_message(spark):
     assert abs(sum(x * x for x in got[1]["embedding"]) - 1) < 1e-6
     assert sorted(set(got[1]["embedding"]))[-1] == max(got[1]["embedding"]) and sum(got[4]["embedding"]) == 0
     assert got[1]["true_intent"] != got[4]["true_intent"]
+
+
+def test_texts_are_not_shuffled_while_the_other_side_can_be_sent(spark, monkeypatch):
+    """Labels and best similarities are sent to the texts, whatever the optimizer thinks of their size; too many are shuffled, with the same rows."""
+    t = tables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent, _, _ = tri.triaged(t, tri.CONF["batch"])
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (tri.messages(tri.docs(t), t), sent)]
+        assert not any("SortMergeJoin" in p for p in plans)
+        monkeypatch.setattr(session, "NARROW", 3)
+        shuffled, _, _ = tri.triaged(t, tri.CONF["batch"])
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert rows(shuffled, "query_id") == rows(sent, "query_id") and sent.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
