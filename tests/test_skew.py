@@ -57,3 +57,13 @@ def test_rows_go_through_the_filter_once(spark):
 
     assert [r[0] for r in rows(rk.first_n_kept(df, "pos", 3, keep), "pos")] == [7, 10007, 20007]
     assert seen.value <= 40_000
+
+
+def test_a_lookup_of_texts_is_measured_before_its_rows_are_moved(spark, monkeypatch):
+    """A limit gathers its rows in one task, texts and all; sizes are added up without that."""
+    df = spark.createDataFrame([(i, "x" * 100, [i]) for i in range(50)], "k int, text string, l array<int>").repartition(4)
+    limited, limit = [], type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: limited.append(n) or limit(self, n))
+    assert session.small_table(df, max_rows=49) is None and session.small_table(df, max_bytes=5000) is None
+    assert limited == []
+    assert rows(session.small_table(df, max_rows=50), "k") == rows(df, "k") and session.small_table(df.select("k"), max_rows=49) is None
