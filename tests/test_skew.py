@@ -65,5 +65,5 @@ def test_a_lookup_of_texts_is_measured_before_its_rows_are_moved(spark, monkeypa
     limited, limit = [], type(df).limit
     monkeypatch.setattr(type(df), "limit", lambda self, n: limited.append(n) or limit(self, n))
     assert session.small_table(df, max_rows=49) is None and session.small_table(df, max_bytes=5000) is None
-    assert limited == []
+    assert set(limited) <= {1}  # the sums themselves
     assert rows(session.small_table(df, max_rows=50), "k") == rows(df, "k") and session.small_table(df.select("k"), max_rows=49) is None
